@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from infragraph.llm import quality
 from infragraph.llm.common import documents, fold
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -40,8 +41,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_path())
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from infragraph.llm.mixing import mix_report
+
+    return mix_report(documents(spark, sf_dir))
+
+
+def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_document_fingerprints, op5_language_id, op8_token_counts)
+    f.__name__: f for f in (op4_document_fingerprints, op5_language_id, op8_token_counts, op9_mix_sources, op10_quality_cascade)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_quality_cascade": quality.ORACLE}
