@@ -35,6 +35,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from infragraph.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from infragraph.llm.token_counts import count_tokens
 
@@ -52,7 +58,7 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_document_fingerprints, op5_language_id, op8_token_counts, op9_mix_sources, op10_quality_cascade)
+    f.__name__: f for f in (op4_document_fingerprints, op5_language_id, op6_simhash_near_dedup, op8_token_counts, op9_mix_sources, op10_quality_cascade)
 }
 
 ORACLES: dict[str, str] = {"op10_quality_cascade": quality.ORACLE}

@@ -15,7 +15,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
