@@ -19,6 +19,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each whole text, decoded again and held against the text's digest."""
+    from infragraph.llm.sampling import decode, encode_samples
+
+    encoded = encode_samples(documents(spark, sf_dir), tokenizer_path(), k=2)
+    named = encoded.withColumn("ids_hash", F.xxhash64("ids"))
+    back = decode(named, tokenizer_path())
+    good = F.sha2(F.regexp_replace("text", "\u2581", " ").cast("binary"), 256) == F.col("text_sha256")
+    return back.select("doc_id", "sample", "n_pieces", "log_prob", "inclusion", "ids_hash", good.alias("round_trip"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from infragraph.llm.fingerprint import fingerprint_edits
 
@@ -58,7 +69,7 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_document_fingerprints, op5_language_id, op6_simhash_near_dedup, op8_token_counts, op9_mix_sources, op10_quality_cascade)
+    f.__name__: f for f in (op1_sampled_segmentations, op4_document_fingerprints, op5_language_id, op6_simhash_near_dedup, op8_token_counts, op9_mix_sources, op10_quality_cascade)
 }
 
 ORACLES: dict[str, str] = {"op10_quality_cascade": quality.ORACLE}
