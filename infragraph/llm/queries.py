@@ -27,7 +27,18 @@ def op1_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = encoded.withColumn("ids_hash", F.xxhash64("ids"))
     back = decode(named, tokenizer_path())
     good = F.sha2(F.regexp_replace("text", "\u2581", " ").cast("binary"), 256) == F.col("text_sha256")
-    return back.select("doc_id", "sample", "n_pieces", "log_prob", "inclusion", "ids_hash", good.alias("round_trip"))
+    return back.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids_hash", good.alias("round_trip"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with remainder 0 are only scored; those with remainder 1 are counted and tune the weights."""
+    from infragraph.llm.lm_scoring import COUNTED, SCORED, TUNING, score_documents, split_chunks
+
+    docs = documents(spark, sf_dir)
+    rest = fold("doc_id", 10)
+    folds = F.when(rest == 0, SCORED).when(rest == 1, TUNING).otherwise(COUNTED)
+    scored = score_documents(docs, folds, split_chunks(docs))
+    return scored.select("doc_id", (F.col("fold") == SCORED).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +80,7 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sampled_segmentations, op4_document_fingerprints, op5_language_id, op6_simhash_near_dedup, op8_token_counts, op9_mix_sources, op10_quality_cascade)
+    f.__name__: f for f in (op1_sampled_segmentations, op2_lm_scoring, op4_document_fingerprints, op5_language_id, op6_simhash_near_dedup, op8_token_counts, op9_mix_sources, op10_quality_cascade)
 }
 
 ORACLES: dict[str, str] = {"op10_quality_cascade": quality.ORACLE}

@@ -2,7 +2,7 @@
 
 Each text's segmentations into pieces form a lattice. A perturbed A* search draws ``k`` distinct ones, in
 the order of their Gumbel-perturbed log probabilities: a sample without replacement under the lattice's
-distribution, with the inclusion score ``1 - exp(-exp(log_prob - kappa))``, where kappa is the perturbed
+distribution, with the inclusion score ``1 - exp(-exp(log_prob - kappa))``, kept as a logarithm, where kappa is the perturbed
 value of the best segmentation left out. The search bound of a partial path is exact (the backward log-sum
 over its completions, perturbed top down), so the search walks straight to each next sample: at each
 decision the edges not taken wait as one group, whose perturbed maximum is a Gumbel truncated at the
@@ -277,7 +277,9 @@ class Batch:
             out.append(self._branch(out, go, where[go], best[go], taken, r))
         for s in out:
             with np.errstate(over="ignore"):
-                s["inclusion"] = -np.expm1(-np.exp(s["log_prob"] - best[s["texts"]]))
+                ahead = s["log_prob"] - best[s["texts"]]
+                with np.errstate(divide="ignore"):
+                    s["log_inclusion"] = np.where(ahead < -30, ahead, np.log(-np.expm1(-np.exp(np.clip(ahead, -30, 30)))))
         return out
 
     def _places(self, edges: np.ndarray, texts: np.ndarray, per: np.ndarray) -> np.ndarray:
@@ -355,11 +357,11 @@ def row_keys(ids: list, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest("\0" if i is None else str(i), seed) for i in ids], np.uint64)
 
 
-SAMPLES = "sample int, n_pieces long, log_prob double, perturbed double, inclusion double, text_sha256 string, ids array<int>"
+SAMPLES = "sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, text_sha256 string, ids array<int>"
 
 
 def encode_samples(docs: DataFrame, model_path: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 3 << 20, **scoring) -> DataFrame:
-    """Rows (id_col, sample, n_pieces, log_prob, perturbed, inclusion, text_sha256, ids), up to ``k`` a text; map-only.
+    """Rows (id_col, sample, n_pieces, log_prob, perturbed, log_inclusion, text_sha256, ids), up to ``k`` a text; map-only.
 
     Memory follows ``max_bytes``, or the longest single text.
     """
@@ -379,8 +381,8 @@ def encode_samples(docs: DataFrame, model_path: str, k: int = 2, seed: int = 1,
                 n = len(s["texts"])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
                 yield pa.record_batch(
-                    [part.column(0).take(pa.array(s["texts"])), pa.array(np.full(n, r, np.int32)), pa.array(sizes), *(pa.array(s[c]) for c in ("log_prob", "perturbed", "inclusion")), pa.array(sha[s["texts"]], pa.string()), lists],
-                    [id_col, "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "text_sha256", "ids"],
+                    [part.column(0).take(pa.array(s["texts"])), pa.array(np.full(n, r, np.int32)), pa.array(sizes), *(pa.array(s[c]) for c in ("log_prob", "perturbed", "log_inclusion")), pa.array(sha[s["texts"]], pa.string()), lists],
+                    [id_col, "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "text_sha256", "ids"],
                 )
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
