@@ -41,6 +41,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.col("fold") == SCORED).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from infragraph.llm.line_dedup import line_classes
+
+    return line_classes(documents(spark, sf_dir)).drop("row")
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from infragraph.llm.fingerprint import fingerprint_edits
 
@@ -80,7 +86,7 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sampled_segmentations, op2_lm_scoring, op4_document_fingerprints, op5_language_id, op6_simhash_near_dedup, op8_token_counts, op9_mix_sources, op10_quality_cascade)
+    f.__name__: f for f in (op1_sampled_segmentations, op2_lm_scoring, op3_line_dedup, op4_document_fingerprints, op5_language_id, op6_simhash_near_dedup, op8_token_counts, op9_mix_sources, op10_quality_cascade)
 }
 
 ORACLES: dict[str, str] = {"op10_quality_cascade": quality.ORACLE}
