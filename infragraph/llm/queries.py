@@ -69,6 +69,12 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from infragraph.llm.repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from infragraph.llm.token_counts import count_tokens
 
@@ -86,7 +92,7 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sampled_segmentations, op2_lm_scoring, op3_line_dedup, op4_document_fingerprints, op5_language_id, op6_simhash_near_dedup, op8_token_counts, op9_mix_sources, op10_quality_cascade)
+    f.__name__: f for f in (op1_sampled_segmentations, op2_lm_scoring, op3_line_dedup, op4_document_fingerprints, op5_language_id, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_token_counts, op9_mix_sources, op10_quality_cascade)
 }
 
 ORACLES: dict[str, str] = {"op10_quality_cascade": quality.ORACLE}
