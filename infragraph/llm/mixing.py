@@ -105,7 +105,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     right = sources.withColumnRenamed("source", "source_")
     placed = sized.join(right, sized["source"].eqNullSafe(right["source_"])).drop("source_").withColumn("bucket", F.pmod(F.col("h"), F.lit(max(1, math.ceil(n / bucket_rows)))))
-    placed = stored(running(placed, ["sk"], "bucket", ["h", "doc_id"], "size", "off").drop("bucket", "h"), "mix-placed")
+    placed = stored(running(placed, ["sk"], "bucket", ["h", "doc_id"], "size", "off").drop("bucket"), "mix-placed")
     wanted = share * total
     slots_wanted = math.ceil(wanted / block_words)
     shards = max(1, math.ceil(slots_wanted / shard_slots))
@@ -135,3 +135,18 @@ def _slots(sources: DataFrame, shard: DataFrame, shards: int, m: int, wanted: fl
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken)."""
     return mix_sources(docs, **options).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with each document as often as the mix takes it, same columns.
+
+    A document taken ``t`` words of its ``size`` comes floor(t / size) times, and once more with the
+    probability of the remainder, by a hash of the seed and the row; equal rows share their words evenly.
+    """
+    taken = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, **options).taken()
+    of_row = taken.where("taken > 0").groupBy("h").agg((F.sum("taken") / F.sum("size")).alias("times_")).withColumnRenamed("h", "h_")
+    rows = docs.withColumn("h__", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
+    joined = rows.join(of_row, F.col("h__") == F.col("h_"))
+    copies = F.floor("times_") + (unit(F.lit(seed), F.col("h__"), F.lit("copies")) < F.col("times_") - F.floor("times_")).cast("long")
+    out = joined.withColumn("copies__", copies).where("copies__ > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -205,3 +205,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, sample_r
         linked = own.join(low, "component").select("fp", "low")
         least = distinct.join(linked, "fp", "left").select("fp", F.coalesce("low", "doc_id").alias("component_id"))
     return rows.join(least, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one with the smallest id.
+
+    Rows that share an id are one document and share its fate, one of them stays. A null id stands for the
+    text's hash, so that such rows are told apart by their texts.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), -F.lit(1) - F.pmod(F.xxhash64(text_col), F.lit(1 << 62)))
+    rows = docs.withColumn("key__", key)
+    found = near_duplicates(rows, width, max_bits, id_col="key__", text_col=text_col)
+    first = found.where(F.col("key__") == F.col("component_id")).select("key__").distinct()
+    return rows.join(first, "key__", "left_semi").dropDuplicates(["key__"]).drop("key__")
