@@ -119,12 +119,12 @@ class Lattice:
         ends = np.cumsum(lengths)
         word = np.repeat(np.arange(words), lengths)
         left = np.repeat(ends, lengths) - np.arange(len(points))  # characters up to the word's end
-        node = np.arange(len(points)) + word  # one node more for each word: its end
+        node = (np.arange(len(points)) + word).astype(np.int32)  # one node more for each word: its end
         self.first = ends - lengths + np.arange(words)
         self.is_end = np.zeros(len(points) + words, bool)
         self.is_end[ends + np.arange(words)] = True
         src, dst, piece = [], [], []
-        live, h = np.arange(len(points)), np.zeros(len(points), np.uint64)
+        live, h = np.arange(len(points), dtype=np.int32), np.zeros(len(points), np.uint64)
         plus = points.astype(np.uint64) + np.uint64(1)
         for n in range(1, vocab.longest + 1):
             with np.errstate(over="ignore"):
@@ -135,7 +135,7 @@ class Lattice:
                 got = np.where(got < 0, -2, got)  # no piece for the character: its bytes
             hit = got != -1
             src.append(node[live[hit]])
-            dst.append(node[live[hit]] + n)
+            dst.append(node[live[hit]] + np.int32(n))
             piece.append(got[hit])
             go = (at >= 0) & (left[live] > n)
             live, h = live[go], h[go]
@@ -360,10 +360,10 @@ def row_keys(ids: list, seed: int) -> np.ndarray:
 SAMPLES = "sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, text_sha256 string, ids array<int>"
 
 
-def encode_samples(docs: DataFrame, model_path: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 3 << 20, **scoring) -> DataFrame:
+def encode_samples(docs: DataFrame, model_path: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1 << 20, **scoring) -> DataFrame:
     """Rows (id_col, sample, n_pieces, log_prob, perturbed, log_inclusion, text_sha256, ids), up to ``k`` a text; map-only.
 
-    Memory follows ``max_bytes``, or the longest single text.
+    Memory follows ``max_bytes``, or the longest single text: about 100 bytes for each character.
     """
     import hashlib
 
@@ -401,17 +401,16 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surfaces = pa.array(Vocabulary.load(model_path).surface, pa.binary())
         for batch in batches:
-            ids = batch.column(batch.num_columns - 1)
-            texts = []
-            for at in range(0, len(ids), 256):
-                some = ids.slice(at, 256)
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                some, texts = rows.column(rows.num_columns - 1), []
                 size = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
                 parts = surfaces.take(some.flatten())
                 bounds = np.r_[0, np.cumsum(size)].astype(np.int64)
                 joined = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), parts)
                 for t, ok in zip(pc.binary_join(joined, b"").to_pylist(), some.is_valid().to_pylist(), strict=True):
                     texts.append((t[1:] if t[:1] == b" " else t).decode("utf-8", "replace") if ok else None)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, out_col])
+                yield pa.record_batch([*rows.columns[:-1], pa.array(texts, pa.string())], [*keep, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
     return base.mapInArrow(run, f"{schema}, `{out_col}` string")
