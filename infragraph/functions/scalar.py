@@ -44,7 +44,7 @@ def candidate_variants(text: ColumnOrName) -> Column:
 
 def normalize_identity_key(text: ColumnOrName) -> Column:
     """Lower case, runs of other than letters and digits as one dash, no dash at the ends."""
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(F.trim(_c(text))), r"[^\p{L}\p{Nd}]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(F.trim(_c(text))), r"[^\p{L}\p{Nd}]+", "-"), F.lit("-"))
 
 
 def normalize_cycle(path: ColumnOrName) -> Column:
@@ -66,10 +66,10 @@ def potential_hosts(text: ColumnOrName) -> Column:
     words = F.filter(F.split(_c(text), r"[ \t\r\n,;]+"), lambda w: w != "")
 
     def host(word: Column) -> Column:
-        bare = F.trim(F.lit("\"'()[]{}<>"), word)
+        bare = F.trim(word, F.lit("\"'()[]{}<>"))
         rest = F.when(bare.contains("://"), F.regexp_extract(bare, "://(.*)$", 1)).otherwise(bare)
         place = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, r"[/?#].*$", ""), r"^.*@", ""), r":\d*$", "")
-        return F.lower(F.trim(F.lit("."), place))
+        return F.lower(F.trim(place, F.lit(".")))
 
     return F.array_distinct(F.filter(F.transform(words, host), lambda h: h.rlike(r"^[\p{L}\p{Nd}_.-]+$")))
 
@@ -82,8 +82,8 @@ def image_uses_latest(image: ColumnOrName) -> Column:
 
 
 def sanitize_node_part(text: ColumnOrName) -> Column:
-    """Characters that would break an id, as dashes."""
-    return F.translate(F.trim(_c(text)), " /:", "---")
+    """Lower case, with the characters that would break an id replaced."""
+    return F.translate(F.lower(F.trim(_c(text))), " ./:@\\", "--____")
 
 
 def split_targets(text: ColumnOrName) -> Column:
@@ -94,21 +94,18 @@ def split_targets(text: ColumnOrName) -> Column:
 
 
 def k8s_service_id(target: ColumnOrName) -> Column:
-    """``k8s:service:<namespace>/<name>`` from a name, ``namespace/name``, a DNS name or such an id."""
-    t = _c(target)
-    labels = F.split(t, r"\.")
-    dotted = F.concat(F.lit("k8s:service:"), labels[1], F.lit("/"), labels[0])
-    return (
-        F.when(t.startswith("k8s:"), t)
-        .when(t.contains("/"), F.concat(F.lit("k8s:service:"), t))
-        .when(t.contains("."), dotted)
-        .otherwise(F.concat(F.lit("k8s:service:default/"), t))
-    )
-
-
-def redis_connection_string(host: ColumnOrName, port: ColumnOrName = F.lit(None)) -> Column:
-    """``redis://host:port``, port 6379 unless given."""
-    return F.concat(F.lit("redis://"), _c(host), F.lit(":"), F.coalesce(F.nullif(_c(port).cast("string"), F.lit("")), F.lit("6379")))
+    """``k8s:service:<namespace>/<name>`` from such an id, ``namespace/name`` or a name."""
+    t = F.trim(_c(target))
+    scoped = F.when(t.contains("/"), t).otherwise(F.concat(F.lit("default/"), t))
+    return F.when(t.startswith("k8s:service:"), t).otherwise(F.concat(F.lit("k8s:service:"), scoped))
+
+
+def redis_connection_string(service_id: ColumnOrName, port: ColumnOrName, db: ColumnOrName) -> Column:
+    """The in-cluster address of a redis service id, with port 6379 and database 0 unless given; null without a namespace."""
+    scoped = F.regexp_replace(_c(service_id), "^k8s:service:", "")
+    ns, name = F.substring_index(scoped, "/", 1), F.substring_index(scoped, "/", -1)
+    p, d = (F.coalesce(F.nullif(F.trim(_c(x)), F.lit("")), F.lit(default)) for x, default in ((port, "6379"), (db, "0")))
+    return F.when(scoped.contains("/") & (ns != "") & (name != ""), F.concat(F.lit("redis://"), name, F.lit("."), ns, F.lit(".svc.cluster.local:"), p, F.lit("/"), d))
 
 
 def days_until(expires: ColumnOrName, as_of: ColumnOrName) -> Column:

@@ -97,9 +97,15 @@ def orphan_secrets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lone.select(F.lit("info").alias("severity"), F.lit("orphan-secret").alias("rule"), F.col("id").alias("resource_id"), F.col("name").alias("resource"), "type", F.lit(text).alias("description"), F.lit(text).alias("title"))
 
 
+def _described(rule: Rule) -> Column:
+    """A node's findings of one rule as an array of structs."""
+    texts = F.filter(rule.found(), lambda d: d.isNotNull())
+    return F.transform(texts, lambda d: F.struct(F.lit(rule.severity).alias("severity"), F.lit(rule.id).alias("rule"), d.alias("description")))
+
+
 def node_findings(nodes: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Findings of the rules on one node: a single pass."""
-    each = [F.transform(F.filter(r.found(), lambda d: d.isNotNull()), lambda d, r=r: F.struct(F.lit(r.severity).alias("severity"), F.lit(r.id).alias("rule"), d.alias("description"))) for r in rules]
+    each = [_described(r) for r in rules]
     rows = nodes.withColumn(M, F.coalesce(M, F.create_map().cast("map<string,string>"))).select("id", "name", "type", F.explode(F.concat(*each)).alias("f"))
     return rows.select("f.severity", "f.rule", F.col("id").alias("resource_id"), F.col("name").alias("resource"), "type", "f.description", F.col("f.description").alias("title"))
 
