@@ -561,3 +561,116 @@ def r2_latest_rows(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_type", "value", "ts")
     return latest_rows(e).select("id", "event_type", "first_seen", "last_seen")
+
+
+# ---- ingest: documents written from the tables, parsed again, and held against the tables
+
+Tables = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def parsed(source: str, docs: DataFrame) -> DataFrame:
+    """(kind, id, detail): node types, edges' via, and warnings of parsed documents."""
+    import infragraph.sources.all_parsers  # noqa: F401
+    from infragraph.sources.documents import PARSERS
+
+    n, e, w = PARSERS[source](docs.withColumn("source", F.lit(source)), as_of())
+    out = n.select(F.lit("node").alias("kind"), "id", F.concat_ws("|", "name", "type", "provider").alias("detail"))
+    out = out.unionAll(e.select(F.lit("edge").alias("kind"), "id", F.coalesce(F.col("metadata")["via"], F.col("metadata")["source"], F.lit("")).alias("detail")))
+    return out.unionAll(w.select(F.lit("warning").alias("kind"), F.col("source_file").alias("id"), F.col("message").alias("detail")))
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their nation and region."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+
+
+@direct("""SELECT 'node' AS kind, 'tf:vm:' || c_name AS id, c_name || '|vm|aws' AS detail FROM customer UNION ALL SELECT 'node', 'tf:subnet:' || n_name, n_name || '|subnet|aws' FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)
+UNION ALL SELECT 'edge', 'tf:vm:' || c_name || '->depends_on->tf:subnet:' || n_name, 'tfstate_dependency' FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'edge', 'tf:vm:' || c_name || '->connects_to->tf:subnet:' || n_name, 'subnetwork' FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT DISTINCT 'warning', n_name || '.tfstate', 'unmapped resource type: null_resource.nothing' FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
+def i1_tf_state(spark, sf_dir):
+    """A state file for each nation."""
+    provider = "'provider[\"registry.terraform.io/hashicorp/aws\"]'"
+    vm = f"named_struct('mode', 'managed', 'type', 'aws_instance', 'name', concat('c', c_custkey), 'provider', {provider}, 'instances', array(named_struct('attributes', named_struct('name', c_name, 'subnetwork', concat('projects/x/', n_name)), 'dependencies', array(concat('aws_subnet.', n_name), 'aws_subnet.unknown'))))"
+    own = f"named_struct('mode', 'managed', 'type', 'aws_subnet', 'name', n_name, 'provider', {provider}, 'instances', array(named_struct('attributes', named_struct('name', n_name, 'subnetwork', ''), 'dependencies', array(''))))"
+    none = f"named_struct('mode', 'managed', 'type', 'null_resource', 'name', 'nothing', 'provider', {provider}, 'instances', array(named_struct('attributes', named_struct('name', 'x', 'subnetwork', ''), 'dependencies', array(''))))"
+    data = own.replace("'managed'", "'data'")
+    files = placed(spark, sf_dir).groupBy("n_name").agg(F.expr(f"collect_list({vm})").alias("vms"))
+    docs = files.selectExpr("concat(n_name, '.tfstate') as path", f"to_json(named_struct('version', 4, 'resources', concat(vms, array({own}, {none}, {data})))) as text")
+    return parsed("terraform", docs)
+
+
+@direct("""SELECT 'node' AS kind, 'tf:vm:' || c_name AS id, c_name || '|vm|aws' AS detail FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT 'action', c_mktsegment, CASE c_mktsegment WHEN 'MACHINERY' THEN 'create' WHEN 'HOUSEHOLD' THEN 'delete' WHEN 'FURNITURE' THEN 'replace' ELSE 'update' END FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 2""")
+def i4_tf_plan(spark, sf_dir):
+    """A plan for each nation; the segment decides the actions."""
+    import infragraph.sources.all_parsers  # noqa: F401
+    from infragraph.sources.documents import PARSERS
+
+    actions = "case c_mktsegment when 'MACHINERY' then array('create') when 'HOUSEHOLD' then array('delete') when 'FURNITURE' then array('delete', 'create') when 'BUILDING' then array('no-op') else array('update') end"
+    after = "if(c_mktsegment = 'HOUSEHOLD', null, named_struct('name', c_name, 'region', c_mktsegment))"
+    change = f"named_struct('address', concat('aws_instance.c', c_custkey), 'mode', 'managed', 'type', 'aws_instance', 'name', concat('c', c_custkey), 'provider_name', 'registry.terraform.io/hashicorp/aws', 'change', named_struct('actions', {actions}, 'before', named_struct('name', c_name, 'region', c_mktsegment), 'after', {after}))"
+    docs = placed(spark, sf_dir).groupBy("n_name").agg(F.expr(f"collect_list({change})").alias("c")).selectExpr("concat('tfplan-', n_name, '.json') as path", "to_json(named_struct('resource_changes', c)) as text")
+    n, _, _ = PARSERS["terraform-plan"](docs, as_of())
+    seen = n.select(F.lit("action").alias("kind"), F.col("metadata")["region"].alias("id"), F.col("metadata")["plan_action"].alias("detail")).distinct()
+    return n.select(F.lit("node").alias("kind"), "id", F.concat_ws("|", "name", "type", "provider").alias("detail")).unionAll(seen)
+
+
+@direct("""SELECT 'node' AS kind, 'cfn:subnet:' || n_name AS id, n_name || '|subnet|aws' AS detail FROM nation UNION ALL SELECT 'node', 'cfn:network:' || r_name, r_name || '|network|aws' FROM region
+UNION ALL SELECT 'edge', 'cfn:subnet:' || n_name || '->depends_on->cfn:network:' || r_name, CASE WHEN n_nationkey % 2 = 0 THEN 'DependsOn' ELSE 'Ref' END FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'edge', 'cfn:subnet:' || n_name || '->connects_to->cfn:network:' || r_name, 'VpcId' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0""")
+def i6_cloudformation(spark, sf_dir):
+    """A template for each region; references by DependsOn, nested Ref, and plain ids."""
+    t = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    body = "to_json(named_struct('Type', 'AWS::EC2::Subnet', 'DependsOn', if(n_nationkey % 2 = 0, r_name, null), 'Properties', named_struct('CidrBlock', named_struct('Fn::Join', array(named_struct('Ref', r_name))), 'VpcId', if(n_nationkey % 3 = 0, r_name, null))))"
+    entry = f"concat('\"', n_name, '\":', {body})"
+    docs = t.groupBy("r_name").agg(F.expr(f"array_join(collect_list({entry}), ',')").alias("e"))
+    return parsed("cloudformation", docs.selectExpr("concat('cloudformation/', r_name, '.json') as path", "concat('{\"Resources\":{\"', r_name, '\":{\"Type\":\"AWS::EC2::VPC\"},', e, '}}') as text"))
+
+
+@direct("""SELECT 'node' AS kind, 'plm:vm:' || c_name AS id, c_name || '|vm|aws' AS detail FROM customer UNION ALL SELECT 'node', 'plm:subnet:' || n_name, n_name || '|subnet|aws' FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)
+UNION ALL SELECT 'edge', 'plm:vm:' || c_name || '->' || k || '->plm:subnet:' || n_name, via FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES ('depends_on', 'dependencies'), ('connects_to', 'subnetId'), ('member_of', 'parent')) v(k, via)""")
+def i9_pulumi(spark, sf_dir):
+    """A stack for each nation."""
+    vm = "named_struct('urn', concat('urn::', c_custkey), 'type', 'aws:ec2/instance:Instance', 'parent', concat('urn::', n_name), 'inputs', named_struct('name', c_name, 'subnetId', n_name), 'dependencies', array(concat('urn::', n_name)))"
+    own = "named_struct('urn', concat('urn::', n_name), 'type', 'aws:ec2/subnet:Subnet', 'parent', '', 'inputs', named_struct('name', '', 'subnetId', ''), 'dependencies', cast(array() as array<string>))"
+    stack = own.replace("aws:ec2/subnet:Subnet", "pulumi:pulumi:Stack")
+    docs = placed(spark, sf_dir).groupBy("n_name").agg(F.expr(f"collect_list({vm})").alias("v")).selectExpr("concat('pulumi/', n_name, '.json') as path", f"to_json(named_struct('deployment', named_struct('resources', concat(v, array({own}, {stack}))))) as text")
+    return parsed("pulumi", docs)
+
+
+@direct("""SELECT 'node' AS kind, 'compose:container:' || s_name AS id, s_name || '|container|docker' AS detail FROM supplier UNION ALL SELECT DISTINCT 'node', 'compose:network:' || n_name, n_name || '|network|docker' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT DISTINCT 'node', 'compose:volume:' || n_name || '-data', n_name || '-data|disk|docker' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'edge', 'compose:container:' || s_name || '->connects_to->compose:network:' || n_name, 'networks' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'edge', 'compose:container:' || s_name || '->mounts_volume->compose:volume:' || n_name || '-data', 'volumes' FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def i11_compose(spark, sf_dir):
+    """A file for each nation; a host path and an undeclared volume make no edge."""
+    t = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    body = "to_json(named_struct('image', 'shop/app:1', 'networks', array(n_name), 'volumes', array(concat(n_name, '-data:/data'), '/var:/var', 'other:/x')))"
+    docs = t.groupBy("n_name").agg(F.expr(f"array_join(collect_list(concat('\"', s_name, '\":', {body})), ',')").alias("e"))
+    text = "concat('{\"services\":{', e, '},\"networks\":{\"', n_name, '\":{}},\"volumes\":{\"', n_name, '-data\":{}}}')"
+    return parsed("compose", docs.selectExpr("concat(n_name, '/docker-compose.yml') as path", f"{text} as text"))
+
+
+@direct("""SELECT 'node' AS kind, 'k8s:' || k || ':shop/' || lower(split_part(s_name, '#', 2)) AS id, lower(split_part(s_name, '#', 2)) || '|' || k || '|kubernetes' AS detail FROM supplier, (VALUES ('pod'), ('service'), ('secret')) v(k)
+UNION ALL SELECT 'edge', 'k8s:pod:shop/' || x || '->member_of->k8s:service:shop/' || x, 'selector' FROM (SELECT split_part(s_name, '#', 2) AS x FROM supplier)
+UNION ALL SELECT 'edge', 'k8s:pod:shop/' || x || '->mounts_secret->k8s:secret:shop/' || x, 'envFrom' FROM (SELECT split_part(s_name, '#', 2) AS x FROM supplier)
+UNION ALL SELECT 'edge', 'k8s:pod:shop/' || x || '->connects_to->k8s:service:shop/' || x, 'env:SELF' FROM (SELECT split_part(s_name, '#', 2) AS x FROM supplier)""")
+def i12_kubernetes(spark, sf_dir):
+    """A file for each nation with a Deployment and a Service for each supplier; secrets are only referred to."""
+    t = table(spark, sf_dir, "supplier").withColumn("x", F.split("s_name", "#")[1])
+    meta = "named_struct('name', x, 'namespace', 'shop')"
+    pod = f"to_json(named_struct('kind', 'Deployment', 'metadata', {meta}, 'spec', named_struct('template', named_struct('metadata', named_struct('labels', map('app', x, 'tier', 'web')), 'spec', named_struct('containers', array(named_struct('name', 'c', 'image', 'a:1', 'envFrom', array(named_struct('secretRef', named_struct('name', x))), 'env', array(named_struct('name', 'SELF', 'value', concat('http://', x, '.shop.svc:80/'))))))))))"
+    service = f"to_json(named_struct('kind', 'Service', 'metadata', {meta}, 'spec', named_struct('selector', map('app', x))))"
+    docs = t.groupBy("s_nationkey").agg(F.expr(f"array_join(collect_list(concat({pod}, ',', {service})), ',')").alias("e"))
+    return parsed("kubernetes", docs.selectExpr("concat('k8s/', s_nationkey, '.yaml') as path", "concat('{\"kind\":\"List\",\"items\":[', e, ']}') as text"))
+
+
+@direct("""SELECT 'node' AS kind, 'ansible:vm:c' || c_custkey AS id, 'c' || c_custkey || '|vm|local' AS detail FROM customer UNION ALL SELECT 'node', 'ansible:database:shop@c' || min(c_custkey), 'shop@c' || min(c_custkey) || '|database|postgres' FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'edge', 'ansible:vm:c' || c_custkey || '->depends_on->ansible:database:shop@c' || m, 'ansible_inventory_var' FROM (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_mktsegment) AS m FROM customer) WHERE c_custkey <> m
+UNION ALL SELECT 'edge', 'ansible:database:shop@c' || min(c_custkey) || '->connects_to->ansible:vm:c' || min(c_custkey), 'ansible_inventory_var' FROM customer GROUP BY c_mktsegment""")
+def i18_ansible(spark, sf_dir):
+    """An INI inventory for each segment, whose hosts use a database on its first host."""
+    c = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.min("c_custkey").alias("m"), F.array_join(F.collect_list(F.concat(F.lit("c"), "c_custkey", F.lit(" rack=1"))), "\n").alias("hosts"))
+    text = F.concat(F.lit("["), "c_mktsegment", F.lit("]\n"), "hosts", F.lit("\n["), "c_mktsegment", F.lit(":vars]\ndb_host = c"), "m", F.lit("\ndb_name=shop\n"))
+    return parsed("ansible", c.select(F.concat(F.lit("ansible/"), "c_mktsegment", F.lit(".ini")).alias("path"), text.alias("text")))
