@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, hot: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = rows.select("id").groupBy("id").count().agg(F.max("count")).first()[0]
     several = ids is not None and ids > 1
-    rows = rows.withColumn("row", F.xxhash64("text").cast("int") if several else F.lit(0))
+    rows = rows.withColumn("row", F.shiftright(F.xxhash64("text"), 33).cast("int") if several else F.lit(0))
     once = rows.dropDuplicates(["id", "row"]) if several else rows  # a repeated row is one document
     spans = repeated_spans(once, width, gram, hot)
     of_doc = spans.groupBy("id", "row").agg(F.collect_list(F.struct("at", "end")).alias("runs"))
