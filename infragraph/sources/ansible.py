@@ -47,7 +47,9 @@ def ansible_ini_hosts(docs: DataFrame) -> DataFrame:
     return out.select("path", F.col("pos").cast("long").alias("place"), "hostname", groups.alias("groups"), merged(F.col("shared"), F.col("own")).alias("vars"))
 
 
-@F.pandas_udf("array<struct<hostname:string,groups:array<string>,vars:map<string,string>>>")
+HOSTS = "array<struct<hostname:string,groups:array<string>,vars:map<string,string>>>"
+
+
 def nested_hosts(bodies: pd.Series) -> pd.Series:
     """Hosts of a nested inventory; variables go down, a child's beat its parents', a host's beat all."""
 
@@ -70,7 +72,7 @@ def nested_hosts(bodies: pd.Series) -> pd.Series:
 
 def ansible_yaml_hosts(bodies: DataFrame) -> DataFrame:
     """I19 as rows (path, place, hostname, groups, vars)."""
-    rows = bodies.where(~F.col("body").startswith("[")).select("path", "doc_no", F.posexplode(nested_hosts("body")).alias("i", "h"))
+    rows = bodies.where(~F.col("body").startswith("[")).select("path", "doc_no", F.posexplode(F.pandas_udf(nested_hosts, HOSTS)("body")).alias("i", "h"))
     return rows.select("path", (F.col("doc_no") * 1_000_000 + F.col("i")).cast("long").alias("place"), "h.hostname", "h.groups", "h.vars")
 
 

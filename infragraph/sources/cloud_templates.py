@@ -25,7 +25,6 @@ PULUMI_LINKS = "vpcId networkId network virtualNetworkName subnetId subnet subne
 PULUMI_LISTS = "subnetIds securityGroupIds securityGroups".split()
 
 
-@F.pandas_udf(LIST)
 def nested_references(bodies: pd.Series) -> pd.Series:
     """Logical ids named by Ref and Fn::GetAtt anywhere in a JSON value; below such a map nothing is searched."""
 
@@ -49,6 +48,10 @@ def nested_references(bodies: pd.Series) -> pd.Series:
     return bodies.map(names)
 
 
+def references(bodies: str) -> Column:
+    return F.pandas_udf(nested_references, LIST)(bodies)
+
+
 def _cfn_metadata(props: Column, kind: Column) -> Column:
     """I24 for CloudFormation."""
     cidrs = F.flatten(F.transform(js(props["SecurityGroupIngress"], MAPS), lambda r: F.array_compact(F.array(F.nullif(r["CidrIp"], F.lit("")), F.nullif(r["CidrIpv6"], F.lit(""))))))
@@ -77,7 +80,7 @@ def cloudformation(docs: DataFrame, as_of: Column) -> Tables:
 
     listed = F.coalesce(js("depends", LIST), F.when(F.col("depends") != "", F.array("depends")))
     a = to(known.select("node_id", F.explode(listed).alias("dep")), "dep", "depends_on", via=F.lit("DependsOn"), raw_value=F.col("dep")).withColumn("rank", F.lit(0))
-    b = to(known.select("node_id", F.explode(nested_references("raw_props")).alias("dep")), "dep", "depends_on", via=F.lit("Ref")).where("from_id <> to_id").withColumn("rank", F.lit(1))
+    b = to(known.select("node_id", F.explode(references("raw_props")).alias("dep")), "dep", "depends_on", via=F.lit("Ref")).where("from_id <> to_id").withColumn("rank", F.lit(1))
     plain = F.array(*[F.struct(F.lit(k).alias("via"), F.col("props")[k].alias("raw")) for k in ("VpcId", "SubnetId", "SubnetIds")])
     groups = F.transform(F.coalesce(js(F.col("props")["SecurityGroupIds"], LIST), F.array().cast(LIST)), lambda g: F.struct(F.lit("SecurityGroupIds").alias("via"), g.alias("raw")))
     c = to(known.select("node_id", F.explode(F.concat(plain, groups)).alias("l")).select("node_id", "l.via", "l.raw"), "raw", "connects_to", via=F.col("via"), raw_value=F.col("raw")).withColumn("rank", F.lit(2))

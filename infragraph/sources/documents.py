@@ -86,7 +86,7 @@ def decode_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     is_json = F.col("text").rlike(r"^\s*[\[{]")
     native = docs.where(is_json).select("path", F.lit(0).alias("doc_no"), "text", F.col("text").alias("body"))
-    cut = docs.where(~is_json).select("path", F.posexplode(F.split("text", "(^|\n)---[^\n]*")).alias("doc_no", "text")).where(F.trim("text") != "")
+    cut = docs.where(~is_json).select("path", F.posexplode(F.split("text", "(^|\n)---[^\n]*")).alias("doc_no", "text")).where(F.col("text").rlike(r"\S"))
     rows = native.unionByName(cut.mapInPandas(yaml_to_json, "path string, doc_no int, text string, body string"))
     good = F.from_json("body", MAP).isNotNull() | F.from_json("body", LIST).isNotNull()
     rows = rows.withColumn("good", good & (F.coalesce("body", F.lit("null")) != "null"))

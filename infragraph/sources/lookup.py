@@ -84,6 +84,7 @@ health_check: gcp:compute/healthCheck:HealthCheck
 iam_binding: aws:iam/rolePolicyAttachment:RolePolicyAttachment aws:iam/userPolicyAttachment:UserPolicyAttachment aws:iam/groupPolicyAttachment:GroupPolicyAttachment gcp:projects/iAMBinding:IAMBinding gcp:projects/iAMMember:IAMMember azure-native:authorization:RoleAssignment
 iam_group: aws:iam/group:Group
 iam_policy: aws:s3/bucketPolicy:BucketPolicy aws:iam/policy:Policy gcp:projects/iAMPolicy:IAMPolicy
+ingress: kubernetes:networking.k8s.io/v1:Ingress
 instance_group: aws:autoscaling/group:Group gcp:compute/instanceGroup:InstanceGroup gcp:compute/instanceGroupManager:InstanceGroupManager
 ip_address: aws:ec2/eip:Eip gcp:compute/address:Address gcp:compute/globalAddress:GlobalAddress azure-native:network:PublicIPAddress azure:network/publicIp:PublicIp
 kms_key: aws:kms/key:Key gcp:kms/keyRing:KeyRing gcp:kms/cryptoKey:CryptoKey azure-native:keyvault:Vault azure:keyvault/keyVault:KeyVault
