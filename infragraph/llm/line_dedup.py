@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from infragraph.plans.components import connected_components
-from infragraph.plans.lineage import stored
+from infragraph.plans.lineage import bucketed, stored
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,7 +82,8 @@ def banded_distance(a: str, b: str, max_edits: int) -> Column:
 
 def line_links(lines: DataFrame, max_edits: int = 2, min_chars: int = 24, hot: int = 48) -> DataFrame:
     """Rows (a, b) of line ids, a < b: the links between different lines, each once."""
-    distinct = stored(lines.where(F.length("line") >= min_chars).select("lid", "line").distinct().withColumn("n", F.length("line")), "lines", "zstd")
+    long = lines.where(F.length("line") >= min_chars).groupBy("lid").agg(F.first("line").alias("line")).withColumn("n", F.length("line"))
+    distinct = bucketed(long, "lid", "lines")
     keys = distinct.select("lid", F.explode(segment_keys(max_edits, min_chars)).alias("k")).select("lid", "k.key", "k.own")
     # all that follows is about keys with an indexed line and another line
     over = "over (partition by key)"
