@@ -40,7 +40,7 @@ def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
 
 
 def segment_keys(max_edits: int, min_chars: int) -> Column:
-    """Keys of a ``line`` of ``n`` characters: structs (key, own), ``own`` for its own segments."""
+    """Keys of a ``line`` of ``n`` characters: structs (key, own), ``own`` for its own segments; null where one does not fit."""
     parts, keys = max_edits + 1, []
     for gap in range(max_edits + 1):
         other = f"(n - {gap})"  # the length of the shorter line, whose segments are looked for
@@ -52,7 +52,7 @@ def segment_keys(max_edits: int, min_chars: int) -> Column:
                 row = f"named_struct('key', xxhash64({other}, {i}, substring(line, {start} + {shift}, {size})), 'own', {str(own).lower()})"
                 fits = f"{other} >= {min_chars} and {start} + {shift} >= 1 and {start} + {shift} + {size} - 1 <= n"
                 keys.append(f"if({fits}, {row}, null)")
-    return F.filter(F.expr(f"array({', '.join(keys)})"), lambda x: x.isNotNull())
+    return F.expr(f"array({', '.join(keys)})")
 
 
 def parity_mask(line: str) -> Column:
@@ -84,7 +84,7 @@ def line_links(lines: DataFrame, max_edits: int = 2, min_chars: int = 24, hot: i
     """Rows (a, b) of line ids, a < b: the links between different lines, each once."""
     long = lines.where(F.length("line") >= min_chars).groupBy("lid").agg(F.first("line").alias("line")).withColumn("n", F.length("line"))
     distinct = bucketed(long, "lid", "lines")
-    keys = distinct.select("lid", F.explode(segment_keys(max_edits, min_chars)).alias("k")).select("lid", "k.key", "k.own")
+    keys = distinct.select("lid", F.explode(segment_keys(max_edits, min_chars)).alias("k")).where("k is not null").select("lid", "k.key", "k.own")
     # all that follows is about keys with an indexed line and another line
     over = "over (partition by key)"
     met = keys.selectExpr("lid", "key", "own", f"count(1) {over} as n", f"min(lid) {over} <> max(lid) {over} and max(own) {over} as pairs").where("pairs").drop("pairs")
