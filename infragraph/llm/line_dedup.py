@@ -98,7 +98,10 @@ def line_links(lines: DataFrame, max_edits: int = 2, min_chars: int = 24, hot: i
     rows = rows.select("lid", "key", "own", "mask", F.explode(block).alias("s")).select("lid", "key", "own", "mask", F.col("s.at").alias("at"), F.col("s.bits").alias("bits"))
     index = rows.where("own").select("key", "at", "bits", F.col("lid").alias("a"), F.col("mask").alias("ma"))
     probe = rows.select("key", "at", "bits", F.col("lid").alias("b"), F.col("mask").alias("mb"), F.col("own").alias("own_b"))
-    close = (F.col("a") != F.col("b")) & (~F.col("own_b") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) <= 2 * max_edits)
+    # a pair that agrees in several blocks is met in the first of them only
+    same = [F.shiftrightunsigned(F.col("ma").bitwiseXOR(F.col("mb")), i * width).bitwiseAND(F.lit((1 << width) - 1)) == 0 for i in range(blocks)]
+    first_same = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(same)])
+    close = ((F.col("at") < 0) | (F.col("at") == first_same)) & (F.col("a") != F.col("b")) & (~F.col("own_b") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) <= 2 * max_edits)
     met_pairs = index.join(probe, ["key", "at", "bits"]).where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"))
