@@ -357,37 +357,49 @@ def row_keys(ids: list, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest("\0" if i is None else str(i), seed) for i in ids], np.uint64)
 
 
-SAMPLES = "sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, text_sha256 string, ids array<int>"
+def decoded(surfaces: pa.Array, lists: pa.ListArray) -> list[bytes | None]:
+    """The text of each list of piece ids as bytes, without the mark before the text; null for null."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    parts = surfaces.take(lists.flatten())
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), parts), b"")
+    return [(t[1:] if t[:1] == b" " else t) if ok else None for t, ok in zip(joined.to_pylist(), lists.is_valid().to_pylist(), strict=True)]
 
 
-def encode_samples(docs: DataFrame, model_path: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1 << 20, **scoring) -> DataFrame:
-    """Rows (id_col, sample, n_pieces, log_prob, perturbed, log_inclusion, text_sha256, ids), up to ``k`` a text; map-only.
+SAMPLES = "sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_hash long, round_trip boolean"
 
-    Memory follows ``max_bytes``, or the longest single text: about 100 bytes for each character.
+
+def encode_samples(docs: DataFrame, model_path: str, k: int = 2, seed: int = 1, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 768 << 10, **scoring) -> DataFrame:
+    """Rows (id_col, sample, n_pieces, log_prob, perturbed, log_inclusion, ids_hash, round_trip), up to ``k`` a text; map-only.
+
+    With ``keep_ids`` the piece ids follow as ``ids``. ``round_trip`` tells whether they decode to the whole
+    text (spaces for U+2581). Memory follows ``max_bytes``, or the longest single text: about 100 bytes for
+    each character.
     """
-    import hashlib
+    import xxhash
 
     if k > 15:
         raise ValueError("k is at most 15")  # salts of a place
+    columns = [id_col, *(c.split()[0] for c in SAMPLES.split(", ")), *(["ids"] if keep_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.load(model_path, **scoring)
-        for part in slices(batches, "text", max_bytes=max_bytes):
+        surfaces = pa.array(vocab.surface, pa.binary())
+        for part in slices(batches, "text", max_bytes=max_bytes, max_rows=500):
             texts = [t or "" for t in part.column(1).to_pylist()]
-            sha = np.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], object)
+            raw = [t.replace("▁", " ").encode() for t in texts]
             batch = Batch(vocab, texts, row_keys(part.column(0).to_pylist(), seed))
             for r, s in enumerate(batch.samples(k)):
                 flat, sizes = batch.ids(s)
-                n = len(s["texts"])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
-                yield pa.record_batch(
-                    [part.column(0).take(pa.array(s["texts"])), pa.array(np.full(n, r, np.int32)), pa.array(sizes), *(pa.array(s[c]) for c in ("log_prob", "perturbed", "log_inclusion")), pa.array(sha[s["texts"]], pa.string()), lists],
-                    [id_col, "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "text_sha256", "ids"],
-                )
+                ends = np.cumsum(sizes)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
+                same = [t == raw[i] for t, i in zip(decoded(surfaces, lists), s["texts"].tolist(), strict=True)]
+                names = np.array([xxhash.xxh64_intdigest(flat[e - n : e].tobytes()) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], np.uint64).view(np.int64)
+                out = [part.column(0).take(pa.array(s["texts"])), pa.array(np.full(len(sizes), r, np.int32)), pa.array(sizes), *(pa.array(s[c]) for c in ("log_prob", "perturbed", "log_inclusion")), pa.array(names), pa.array(same, pa.bool_())]
+                yield pa.record_batch([*out, *([lists] if keep_ids else [])], columns)
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, {SAMPLES}")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, {SAMPLES}" + (", ids array<int>" if keep_ids else ""))
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -402,15 +414,9 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
         surfaces = pa.array(Vocabulary.load(model_path).surface, pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                some, texts = rows.column(rows.num_columns - 1), []
-                size = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
-                parts = surfaces.take(some.flatten())
-                bounds = np.r_[0, np.cumsum(size)].astype(np.int64)
-                joined = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), parts)
-                for t, ok in zip(pc.binary_join(joined, b"").to_pylist(), some.is_valid().to_pylist(), strict=True):
-                    texts.append((t[1:] if t[:1] == b" " else t).decode("utf-8", "replace") if ok else None)
-                yield pa.record_batch([*rows.columns[:-1], pa.array(texts, pa.string())], [*keep, out_col])
+                part = batch.slice(at, 256)
+                texts = [t if t is None else t.decode("utf-8", "replace") for t in decoded(surfaces, part.column(part.num_columns - 1))]
+                yield pa.record_batch([*part.columns[:-1], pa.array(texts, pa.string())], [*keep, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
     return base.mapInArrow(run, f"{schema}, `{out_col}` string")

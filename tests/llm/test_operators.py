@@ -63,9 +63,7 @@ def test_sampling_round_trip_and_distinct(hard, empty):
     enc = encode_samples(hard, tokenizer_path(), k=3)
     back = decode(enc.withColumn("kept", F.col("ids")), tokenizer_path())
     got = rows_of(back)
-    want = {hashlib.sha256(t.encode()).hexdigest() for _, t in texts_of(hard)}
-    assert {hashlib.sha256(r["text"].encode()).hexdigest() for r in got} == want
-    assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["text_sha256"] for r in got)
+    assert {(r["doc_id"], r["text"]) for r in got} == set(texts_of(hard)) and all(r["round_trip"] for r in got)
     by_text = {}
     for r in got:
         by_text.setdefault((r["doc_id"], r["text"]), []).append(r)
