@@ -16,7 +16,7 @@ from infragraph.llm.language_id import fit_language_model, identify
 from infragraph.llm.line_dedup import drop_repeated_lines
 from infragraph.llm.mixing import mixed_documents
 from infragraph.llm.queries import tokenizer_path
-from infragraph.llm.sampling import decode, encode_samples
+from infragraph.llm.sampling import encode_samples
 from infragraph.llm.simhash import keep_first
 from infragraph.plans.lineage import stored
 
@@ -48,10 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sample_segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of each document, with piece ids that decode to its text."""
-    encoded = encode_samples(docs, tokenizer_path(), k=2)
-    back = decode(encoded.withColumn("pieces", F.col("ids")), tokenizer_path())
-    good = F.sha2(F.col("text").cast("binary"), 256) == F.col("text_sha256")
-    return back.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", good.alias("round_trip"), F.col("pieces").alias("ids"))
+    return encode_samples(docs, tokenizer_path(), k=2).select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "round_trip", "ids")
 
 
 STAGES = [
