@@ -563,6 +563,84 @@ def r2_latest_rows(spark, sf_dir):
     return latest_rows(e).select("id", "event_type", "first_seen", "last_seen")
 
 
+@case("SELECT id, coalesce(nullif(md['encrypted'], ''), nullif(md['storage_encrypted'], ''), '') AS encrypted, coalesce(md['publicly_accessible'], '') = 'true' AS open FROM nodes WHERE type IN ('database', 'bucket')")
+def x2_meta_value(nodes, edges):
+    from infragraph.functions.scalar import meta_true, meta_value
+
+    some = nodes.where("type in ('database', 'bucket')")
+    return some.select("id", meta_value("metadata", "encrypted", "storage_encrypted").alias("encrypted"), meta_true("metadata", "publicly_accessible").alias("open"))
+
+
+@direct("SELECT p_partkey, regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') AS key, p_size % 2 = 0 AND p_type = 'ECONOMY' AS matches FROM part")
+def x3_x5_keys_and_labels(spark, sf_dir):
+    """Normalised brand names; a selector of two pairs against labels."""
+    from infragraph.functions.scalar import labels_match, normalize_identity_key
+
+    p = table(spark, sf_dir, "part")
+    labels = F.create_map(F.lit("even"), (F.col("p_size") % 2 == 0).cast("string"), F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"))
+    want = F.create_map(F.lit("even"), F.lit("true"), F.lit("type"), F.lit("ECONOMY"))
+    return p.select("p_partkey", normalize_identity_key("p_brand").alias("key"), labels_match(want, labels).alias("matches"))
+
+
+@direct("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'k8s:service:default/' || c_name ELSE 'k8s:service:' || lower(c_mktsegment) || '/' || c_name END AS service,
+CASE WHEN c_custkey % 2 = 0 THEN 'redis://' || c_name || '.default.svc.cluster.local:6379/' || c_nationkey ELSE 'redis://' || c_name || '.' || lower(c_mktsegment) || '.svc.cluster.local:6379/' || c_nationkey END AS link,
+replace(lower(c_name), '@', '_') AS part FROM customer""")
+def x8_service_names(spark, sf_dir):
+    from infragraph.functions.scalar import k8s_service_id, redis_connection_string, sanitize_node_part
+
+    c = table(spark, sf_dir, "customer")
+    target = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lower("c_mktsegment"), F.lit("/"), "c_name"))
+    service = k8s_service_id(target)
+    return c.select("c_custkey", service.alias("service"), redis_connection_string(service, F.lit(""), F.col("c_nationkey").cast("string")).alias("link"), sanitize_node_part("c_name").alias("part"))
+
+
+@direct("""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'terraform' WHEN 1 THEN 'terraform-plan' WHEN 2 THEN 'compose' WHEN 3 THEN 'cloudformation' WHEN 4 THEN 'ansible' END AS source FROM part""")
+def s2_classify_source(spark, sf_dir):
+    from infragraph.sources.documents import classify_source
+
+    names = "array('a/{}.tfstate', 'tfplan-{}.json', 'b/docker-compose.{}.yml', 'cfn-x/cloudformation/{}.json', 'ansible/{}.ini', 'docs/{}.txt')"
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", f"replace(element_at({names}, p_size % 6 + 1), '{{}}', cast(p_partkey as string)) as path")
+    return p.select("p_partkey", classify_source().alias("source"))
+
+
+@case("SELECT 'node' AS kind, id, type FROM nodes UNION ALL SELECT 'edge', id, type FROM edges")
+def s5_save_and_load(nodes, edges):
+    from infragraph.plans.lineage import scratch_path
+
+    spark = nodes.sparkSession
+    path = scratch_path(spark, "graph")
+    store.save_graph(nodes, edges, path)
+    n, e = store.load_graph(spark, path)
+    return n.select(F.lit("node").alias("kind"), "id", "type").unionAll(e.select(F.lit("edge").alias("kind"), "id", "type"))
+
+
+@direct(f"SELECT status, count(*) AS n FROM (SELECT {STATUS} AS status FROM events UNION ALL SELECT 'completed') GROUP BY 1")
+def p2_record_scan(spark, sf_dir):
+    scans = scans_of(spark, sf_dir)
+    last = scans.agg((F.max("id") + 1).alias("id")).select("id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in scans.schema.fields[1:-1]], F.lit("completed").alias("status"))
+    return S.record_scan(scans, last).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@case("SELECT source, false AS initial FROM nodes GROUP BY 1 UNION ALL SELECT 'ansible', true")
+def dr4_is_initial(nodes, edges):
+    names = ["terraform", "cloudformation", "pulumi", "kubernetes", "compose", "ansible"]
+    return nodes.sparkSession.createDataFrame([(x, S.is_initial(nodes, x)) for x in names], "source string, initial boolean")
+
+
+@case("SELECT 'removed' AS change, id FROM edges WHERE type = 'member_of'")
+def b2_report_with_baseline(nodes, edges):
+    """The edges' part of a report's difference to a report written before."""
+    from infragraph.operators.report import report, report_with_baseline, write_report
+    from infragraph.plans.lineage import scratch_path
+
+    spark = nodes.sparkSession
+    scans = spark.createDataFrame([], "id long, status string")
+    path = scratch_path(spark, "report")
+    write_report({k: v for k, v in report(nodes, edges, scans).items() if k in ("nodes", "edges", "findings")}, path)
+    d = report_with_baseline(report(nodes, edges.where("type <> 'member_of'"), scans), spark, path)
+    return d.where("kind = 'edges'").select("change", "id")
+
+
 # ---- ingest: documents written from the tables, parsed again, and held against the tables
 
 Tables = tuple[DataFrame, DataFrame, DataFrame]
