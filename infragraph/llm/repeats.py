@@ -31,6 +31,7 @@ from infragraph.plans.lineage import stored
 
 PRIME = np.uint64(0xD1342543DE82EF95)
 PLACE = 28  # bits of a place in a block
+SALT = 52  # bits of a packed place; a salt of up to 1000 lies above
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -57,13 +58,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all texts: text number, anchor hash, first window and number of windows of each anchor's run."""
+def anchors(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all texts: text number, anchor hash, and packed place of each anchor's run.
+
+    A packed place holds the first window, the number of windows and how far the anchor lies behind it.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < width:
-        return none, none, none, none
+        return none, none, none
     h = gram_hashes(data, gram)
     key = (h >> np.uint64(PLACE)) << np.uint64(PLACE) | np.arange(len(h), dtype=np.uint64) & np.uint64((1 << PLACE) - 1)
     low = sliding_min(key, width - gram + 1) & np.uint64((1 << PLACE) - 1)
@@ -78,7 +82,8 @@ def anchors(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.n
     place = low[at].astype(np.int64)
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])
     count = np.diff(np.r_[new, len(at)])
-    return owner[new], h[place[new]].view(np.int64), at[new] - begin[owner[new]], count
+    first = at[new]
+    return owner[new], h[place[new]].view(np.int64), (first - begin[owner[new]]) << 16 | count << 8 | (place[new] - first)
 
 
 def _anchor_rows(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -87,35 +92,38 @@ def _anchor_rows(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]],
             texts = [t.encode() for t in part.column(2).to_pylist()]
             if sum(map(len, texts)) >= 1 << PLACE:
                 raise ValueError(f"a text has more than {1 << PLACE} bytes")
-            owner, h, first, count = anchors(texts, width, gram)
+            owner, h, loc = anchors(texts, width, gram)
             ids, rows = (part.column(i).take(pa.array(owner)) for i in (0, 1))
-            yield pa.record_batch([pa.array(h), ids, rows, pa.array(first << 16 | count)], ["h", "id", "row", "loc"])
+            yield pa.record_batch([pa.array(h), ids, rows, pa.array(loc)], ["h", "id", "row", "loc"])
 
     return run
 
 
-def _segments(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cuts the segments of the anchors that matter out of each text."""
+def _segments(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts the segments of the anchors that matter out of each text; ``h`` is a hash of the anchor's bytes again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for part in slices(batches, "text", max_bytes=1 << 20, max_rows=500):
-            h, salt, ids, rows, at, seg = [], [], [], [], [], []
-            for doc, row, text, own in zip(*(part.column(i).to_pylist() for i in range(3)), part.column(3).to_pylist(), strict=True):
+            h, salt, at, seg, sizes = [], [], [], [], []
+            for text, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 raw = text.encode()
+                sizes.append(len(own))
                 for a in own:
-                    first, count = a["loc"] >> 16, a["loc"] & 0xFFFF
-                    h.append(a["h"])
-                    salt.append(a["salt"])
-                    ids.append(doc)
-                    rows.append(row)
+                    loc = a & (1 << SALT) - 1
+                    first, count, anchor = loc >> 16, loc >> 8 & 0xFF, loc & 0xFF
+                    h.append(xxh64_intdigest(raw[first + anchor : first + anchor + gram]))
+                    salt.append(a >> SALT)
                     at.append(first)
                     seg.append(raw[first : first + count + width - 1])
-            yield pa.record_batch([pa.array(h, pa.int64()), pa.array(salt, pa.int32()), pa.array(ids, pa.int64()), pa.array(rows, pa.int32()), pa.array(at, pa.int64()), pa.array(seg, pa.binary())], ["h", "salt", "id", "row", "at", "seg"])
+            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.record_batch([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(salt, pa.int32()), part.column(0).take(owner), part.column(1).take(owner), pa.array(at, pa.int64()), pa.array(seg, pa.binary())], ["h", "salt", "id", "row", "at", "seg"])
 
     return run
 
 
-#: A mark: bytes at .. end of the text are repeated. A segment left over: ``seg`` is set, its windows are the first of their part.
+#: A mark: bytes at .. end of the text are repeated, h and salt are 0. A segment left over: ``seg`` is set, its windows are the first of their part.
 FOUND = "h long, salt int, id long, row int, at long, end long, seg binary"
 
 
@@ -129,7 +137,7 @@ def _mark(width: int, most: int = 2 << 20) -> Callable[[Iterator[pa.RecordBatch]
         step = np.diff(np.r_[False, marked, False].astype(np.int8))
         starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         owner = np.searchsorted(shard.begin, starts, side="right") - 1
-        marks = [(*rows[o][:4], rows[o][4] + s, rows[o][4] + e + width - 1, None) for o, s, e in zip(owner.tolist(), (starts - shard.begin[owner]).tolist(), (ends - shard.begin[owner]).tolist(), strict=True)]
+        marks = [(0, 0, *rows[o][2:4], rows[o][4] + s, rows[o][4] + e + width - 1, None) for o, s, e in zip(owner.tolist(), (starts - shard.begin[owner]).tolist(), (ends - shard.begin[owner]).tolist(), strict=True)]
         left = []
         if partial:
             free = ~marked & (shard.left >= width)
@@ -176,7 +184,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = text.encode()
             kept, at, gone, spans = [], 0, 0, 0
             last = -1
-            for s, e in sorted((r["at"], r["end"]) for r in runs or ()):
+            for s, e in sorted((r >> 16, (r >> 16) + (r & 0xFFFF)) for r in runs or ()):
                 if s > last:
                     spans += 1
                     kept.append(raw[at:s])
@@ -194,10 +202,10 @@ def repeated_spans(rows: DataFrame, width: int = 100, gram: int = 24, hot: int =
     """Rows (id, row, at, end): the marked runs of windows of texts given as (id, row, text)."""
     found = rows.select("id", "row", "text").mapInArrow(_anchor_rows(width, gram), "h long, id long, row int, loc long")
     again = found.selectExpr("h", "id", "row", "loc", "count(1) over (partition by h) as n").where("n > 1")
-    salt = F.when(F.col("n") > hot, 1 + F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / hot))).otherwise(0).cast("int")
-    wanted = again.select("id", "row", F.struct("h", salt.alias("salt"), "loc").alias("a")).groupBy("id", "row").agg(F.collect_list("a").alias("own"))
+    salt = F.when(F.col("n") > hot, 1 + F.pmod(F.xxhash64("id"), F.least(F.ceil(F.col("n") / hot), F.lit(1000)))).otherwise(0)
+    wanted = again.select("id", "row", F.shiftleft(salt.cast("long"), SALT).bitwiseOR(F.col("loc")).alias("a")).groupBy("id", "row").agg(F.collect_list("a").alias("own"))
     texts = rows.select("id", "row", "text").join(wanted, ["id", "row"])
-    segments = texts.select("id", "row", "text", "own").mapInArrow(_segments(width), "h long, salt int, id long, row int, at long, seg binary")
+    segments = texts.select("id", "row", "text", "own").mapInArrow(_segments(width, gram), "h long, salt int, id long, row int, at long, seg binary")
     order = ["h", "salt", "id", "row", "at"]
     first = stored(segments.repartition("h", "salt").sortWithinPartitions(*order).mapInArrow(_mark(width), FOUND), "repeats-marks", "zstd")
     left = first.where("seg is not null").select("h", F.lit(0).alias("salt"), "id", "row", "at", "seg")
@@ -217,7 +225,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 24, hot: int =
     rows = rows.withColumn("row", F.shiftright(F.xxhash64("text"), 33).cast("int") if several else F.lit(0))
     once = rows.dropDuplicates(["id", "row"]) if several else rows  # a repeated row is one document
     spans = repeated_spans(once, width, gram, hot)
-    of_doc = spans.groupBy("id", "row").agg(F.collect_list(F.struct("at", "end")).alias("runs"))
+    run = F.shiftleft("at", 16).bitwiseOR(F.col("end") - F.col("at"))
+    of_doc = spans.groupBy("id", "row").agg(F.collect_list(run).alias("runs"))
     joined = rows.join(of_doc, ["id", "row"], "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.mapInArrow(_cut, schema).withColumnRenamed("doc_id", id_col)
