@@ -6,7 +6,8 @@ to each other mostly share one, so a text is cut into segments, each the windows
 whose hash is nowhere else cannot hold a repeated window and is dropped; this filter is exact. The segments
 of the rest are dealt by anchor hash, and each task goes through its segments in hash order, a few
 megabytes at a time: it builds their suffix array by induced sorting and the permuted common prefixes, and
-marks each window that has an equal one earlier. An anchor with many segments (a passage that a large share
+marks each window that has an equal one earlier;
+equal segments of a shard, as copies of a document give them, are collapsed before. An anchor with many segments (a passage that a large share
 of all documents holds) is first dealt by hash and a salt: every part marks what it repeats itself, and only
 windows that are the first of their part go on to the part of the whole anchor.
 
@@ -155,23 +156,30 @@ def _mark(width: int, most: int = 2 << 20) -> Callable[[Iterator[pa.RecordBatch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, key = 0, None
+        size, key, seen, copies = 0, None, set(), []
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[:2] != key and held and (size >= most or r[1] or key[1]):
                     marks, left = solve(held, bool(key[1]))
-                    yield out(marks + [(*x[:5], x[4] + len(x[5]), x[5]) for x in left])
-                    held, size = [], 0
+                    yield out(copies + marks + [(*x[:5], x[4] + len(x[5]), x[5]) for x in left])
+                    held, size, seen, copies = [], 0, set(), []
                 elif size >= 2 * most:  # one anchor fills the shard: go on with the windows that are first
                     marks, held = solve(held, True)
-                    yield out(marks)
-                    size = min(sum(len(x[5]) for x in held), most)
+                    yield out(copies + marks)
+                    size, copies = min(sum(len(x[5]) for x in held), most), []
                 key = r[:2]
+                if r[5] in seen:  # copies of a segment are collapsed; rows come in order, so the first is kept
+                    copies.append((0, 0, r[2], r[3], r[4], r[4] + len(r[5]), None))
+                    if len(copies) >= 50_000:
+                        yield out(copies)
+                        copies = []
+                    continue
+                seen.add(r[5])
                 held.append(r)
                 size += len(r[5])
         if held:
             marks, left = solve(held, bool(key[1]))
-            yield out(marks + [(*x[:5], x[4] + len(x[5]), x[5]) for x in left])
+            yield out(copies + marks + [(*x[:5], x[4] + len(x[5]), x[5]) for x in left])
 
     return run
 
