@@ -132,11 +132,12 @@ def line_classes(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, hot:
     )
 
 
-def drop_repeated_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, min_left: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that are not kept, same columns.
 
-    A document of which less than ``min_left`` of the characters is left, that is a copy of lines kept
-    elsewhere, goes as a whole; documents that lose no line are returned as they are.
+    What is left of a document stays, however little: it may hold the line for which copies elsewhere were
+    removed. A document goes only if nothing but white space is left; documents that lose no line are
+    returned as they are.
     """
     gone = line_classes(docs, max_edits, min_chars, id_col=id_col, text_col=text_col).where(~F.col("kept"))
     gone = gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone_")).select(F.col("row").alias("row_"), F.col("doc_id").alias("id_"), "gone_")
@@ -144,5 +145,5 @@ def drop_repeated_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24
     joined = rows.join(gone, (F.col("row__") == F.col("row_")) & F.col(id_col).eqNullSafe(F.col("id_")), "left")
     left = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(gone_, i)), '\\n')")
     cut = joined.withColumn("left_", F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(left))
-    stays = F.col("gone_").isNull() | (F.length("left_") >= F.greatest(F.lit(1), min_left * F.length(text_col)))
+    stays = F.col("gone_").isNull() | F.col("left_").rlike(r"\S")
     return cut.where(stays).select(*[F.col("left_").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

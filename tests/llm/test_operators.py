@@ -183,6 +183,16 @@ def test_line_classes_and_removal(spark, hard, empty):
     assert line_classes(empty).count() == 0 and drop_repeated_lines(empty).count() == 0
 
 
+def test_every_line_class_keeps_a_line(spark):
+    from infragraph.llm.line_dedup import drop_repeated_lines
+
+    shared = [f"shared passage number {i} {c * 60}" for i, c in enumerate("abcdefghij")]
+    own, tail = "the first of its class, copied once", "below the length"
+    texts = {1: "\n".join(shared), 2: "\n".join([*shared, own]), 3: own, 4: "\n".join([*shared, tail]), 5: shared[0] + "\n \n"}
+    left = {r["doc_id"]: r["text"] for r in drop_repeated_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert left == {1: texts[1], 2: own, 4: tail}
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
