@@ -9,6 +9,9 @@ fingerprints; so does the number of partitions. Plans differ in cost only: every
 Equal fingerprints are collapsed first. A partition value that more than ``hot`` fingerprints share is not
 expanded into pairs: there each fingerprint meets the others at the fingerprints one step from it, since
 two are within 2 bits exactly if such steps meet. That is linear in the group and leaves out no link.
+
+The pipeline's stage also links documents by the Jaccard similarity of their shingles, for which a few bits
+of a fingerprint are no measure; see ``keep_first``.
 """
 
 from __future__ import annotations
@@ -29,19 +32,26 @@ from infragraph.plans.lineage import stored
 BITS = 64
 
 
-def shingle_fingerprint(text: str | None, width: int) -> int:
-    """The fingerprint of a text's word shingles, 0 for a text without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """64-bit hashes of a text's word shingles in order; a text of fewer words is one shingle, none has none."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: ASCII white space and A-Z only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     data = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - width + 1)
     last = ends[-n:]
-    hashed = np.fromiter((xxhash.xxh64_intdigest(data[s:e], 42) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(data[s:e], 42) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def hashes_fingerprint(hashed: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, 0 for none."""
+    n = len(hashed)
+    if not n:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for i in range(0, n, 65536):
         bits = np.unpackbits(hashed[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -49,6 +59,11 @@ def shingle_fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def shingle_fingerprint(text: str | None, width: int) -> int:
+    """The fingerprint of a text's word shingles, 0 for a text without words."""
+    return hashes_fingerprint(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fp): the fingerprint as a signed long; map-only."""
 
@@ -182,6 +197,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def plan_for(distinct: DataFrame, n: int, max_bits: int, sample_rows: int) -> list[Part]:
+    """The plan for ``n`` distinct fingerprints, from a sample of at most ``sample_rows`` of them."""
+    share = min(1.0, 1.2 * sample_rows / max(1, n))
+    picked = distinct.where(F.pmod(F.xxhash64(F.col("fp"), F.lit("plan")), F.lit(1_000_000)) < int(share * 1_000_000)).select("fp").limit(sample_rows)
+    return allocate(np.array([r["fp"] for r in picked.collect()], np.int64), n, max_bits)
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, sample_rows: int = 20_000, hot: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one for each row of ``docs``.
 
@@ -192,10 +214,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, sample_r
     rows = stored(fingerprints(docs, width, id_col, text_col), "simhash-rows")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
     n = distinct.count()
-    share = min(1.0, 1.2 * sample_rows / max(1, n))
-    picked = distinct.where(F.pmod(F.xxhash64(F.col("fp"), F.lit("plan")), F.lit(1_000_000)) < int(share * 1_000_000)).select("fp").limit(sample_rows)
-    sample = np.array([r["fp"] for r in picked.collect()], np.int64)
-    plan = allocate(sample, n, max_bits)
+    plan = plan_for(distinct, n, max_bits, sample_rows)
     found = connected_components(links(distinct.select("fp"), plan, max_bits, hot)) if n > 1 else None
     if found is None:
         least = distinct.select("fp", F.col("doc_id").alias("component_id"))
@@ -207,14 +226,141 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, sample_r
     return rows.join(least, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def common_shingles(texts: DataFrame, width: int, sample_rows: int, least: int = 8, most: int = 200_000) -> np.ndarray:
+    """Sorted hashes of at most ``most`` shingles that ``least`` or more of some ``sample_rows`` texts hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            found = [np.unique(shingle_hashes(t, width)) for t in part.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
+
+    share = min(1.0, sample_rows / max(1, texts.count()))
+    picked = texts.select("text").where(F.pmod(F.xxhash64("text", F.lit("common")), F.lit(1_000_000)) < int(share * 1_000_000))
+    often = picked.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(most)
+    return np.sort(np.array([r["shingle"] for r in often.select("shingle").collect()], np.int64).view(np.uint64))
+
+
+def prefix_rows(texts: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
+    """Rows (row, fp, sid, n, prefix): the fingerprint, a hash of the set of shingles, its size and its prefix.
+
+    The prefix holds the first ``n - ceil(n * percent / 100) + 1`` shingles, ``common`` ones last and else by
+    hash. Two sets of that Jaccard similarity share a shingle of their prefixes, whatever the order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for part in slices(batches, "text"):
+            fp, sid, size, prefix = [], [], [], []
+            for t in part.column(1).to_pylist():
+                hashed = shingle_hashes(t, width)
+                own = np.unique(hashed)
+                n = len(own)
+                at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
+                ranked = own[np.argsort(common[at] == own, kind="stable")] if len(common) else own
+                fp.append(hashes_fingerprint(hashed))
+                sid.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
+                size.append(n)
+                prefix.append(ranked[: n - -(-n * percent // 100) + 1 if n else 0].view(np.int64))
+            columns = [part.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["row", "fp", "sid", "n", "prefix"])
+
+    return texts.mapInArrow(run, "row long, fp long, sid long, n long, prefix array<long>")
+
+
+def shingle_sets(texts: DataFrame, some: DataFrame, width: int, slots: int = 1 << 22) -> DataFrame:
+    """Rows (sid, shingles) for the rows (row, sid) of ``some``, which name a text (row, text) each.
+
+    A bitmap of the wanted rows' hashes spares the texts of most others their hashing; the join is exact.
+    """
+    slot = F.pmod("row", F.lit(slots))
+    found = some.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits"))
+    wanted = np.zeros(slots, bool)
+    for r in found.collect():
+        wanted[r["at"] << 15 : (r["at"] + 1) << 15] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+    packed = np.packbits(wanted, bitorder="little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy() % slots
+            kept = batch.filter(pa.array((packed[at >> 3] >> (at & 7) & 1).astype(bool)))
+            for part in slices([kept], "text"):
+                sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
+
+    sets = texts.mapInArrow(run, "row long, shingles array<long>")
+    # rows that repeat wholly have one set
+    return sets.join(some, "row").groupBy("row", "sid").agg(F.first("shingles").alias("shingles")).drop("row")
+
+
+def set_links(marked: DataFrame, texts: DataFrame, width: int, percent: int, hot: int = 64) -> DataFrame:
+    """Rows (a, b) whose components are those of all pairs of sets with a Jaccard similarity of ``percent``.
+
+    ``marked`` is from ``prefix_rows`` of ``texts``. A shingle in more than ``hot`` prefixes is not expanded
+    into pairs: its sets are measured against one of them, the pivot. Those near the pivot are linked through
+    it; the others meet only sets whose distance from the pivot differs from theirs by no more than a link's,
+    as Jaccard distance is a metric. That leaves out no component. Other pairs are measured only if what their
+    prefixes share and all that may follow in the larger set suffice.
+    """
+    sets = stored(marked.groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("size")), "shingle-sets")
+    keys = marked.select("sid", F.explode("prefix").alias("shingle")).repartition("shingle").distinct()
+    met = keys.selectExpr("sid", "shingle", "count(1) over (partition by shingle) as held", "min(sid) over (partition by shingle) as pivot").where("held > 1")
+    met = met.join(sets.select("sid", "size"), "sid").withColumn("hots", F.expr(f"count_if(held > {hot}) over (partition by sid)"))
+    met = stored(met, "shingle-keys", "zstd")
+    cold, warm = met.where(F.col("held") <= hot), met.where((F.col("held") > hot) & (F.col("sid") != F.col("pivot")))
+    fits = f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}"
+    left, right = cold.selectExpr("shingle", "sid as a", "size as size_a", "hots as hots_a"), cold.selectExpr("shingle", "sid as b", "size as size_b", "hots as hots_b")
+    shared = left.join(right, "shingle").where("a < b").where(fits).groupBy("a", "b", "size_a", "size_b", "hots_a", "hots_b").agg(F.count(F.lit(1)).alias("shared"))
+    most = f"shared + least(hots_a, hots_b) + (greatest(size_a, size_b) * {percent} + 99) div 100 - 1"
+    pairs = shared.where(f"({most}) * {100 + percent} >= (size_a + size_b) * {percent}").select("a", "b")
+    pairs = pairs.unionAll(warm.select(F.col("pivot").alias("a"), F.col("sid").alias("b"))).distinct()
+
+    def measured(pairs: DataFrame, name: str) -> DataFrame:
+        some = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "row"), "sid")
+        own = stored(shingle_sets(texts, stored(some, f"shingle-{name}-some"), width), f"shingle-{name}-sets", "zstd")
+        joined = pairs.join(own.selectExpr("sid as a", "shingles as x"), "a").join(own.selectExpr("sid as b", "shingles as y"), "b")
+        both = joined.selectExpr("a", "b", "size(x) + size(y) as total", "size(array_intersect(x, y)) as same")
+        return stored(both.selectExpr("a", "b", "same", "total - same as whole"), f"shingle-{name}-measured")
+
+    near = f"same * 100 >= whole * {percent}"
+    found = measured(stored(pairs, "shingle-pairs"), "first")
+    away = found.selectExpr("a as pivot", "b as sid", "1 - same / whole as away", f"{near} as linked")
+    ring = stored(warm.select("shingle", "pivot", "sid", "size").join(away, ["pivot", "sid"]), "shingle-rings", "zstd")
+    u = ring.where("not linked").selectExpr("shingle", "sid as u", "size as size_a", "away as away_u")
+    v = ring.selectExpr("shingle", "sid as v", "size as size_b", "away as away_v", "linked")
+    close = f"abs(away_u - away_v) <= {100 - percent} / 100 + 1e-9"
+    rest = u.join(v, "shingle").where("u <> v and (linked or u < v)").where(fits).where(close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    rest = stored(rest.join(found.select("a", "b"), ["a", "b"], "left_anti"), "shingle-rest")
+    if not rest.isEmpty():
+        found = found.unionAll(measured(rest, "second"))
+    return found.where(near).select("a", "b")
+
+
+def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int = 80, sample_rows: int = 20_000, hot: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest id.
 
+    Two documents are linked if their fingerprints are within ``max_bits``, or if their sets of ``width``-word
+    shingles have a Jaccard similarity of ``percent`` hundredths or more. Every such link is found: prefixes of
+    the sets meet, and pairs that meet are measured on the whole sets. The samples decide costs only.
+
     Rows that share an id are one document and share its fate, one of them stays. A null id stands for the
     text's hash, so that such rows are told apart by their texts.
     """
     key = F.coalesce(F.col(id_col).cast("long"), -F.lit(1) - F.pmod(F.xxhash64(text_col), F.lit(1 << 62)))
-    rows = docs.withColumn("key__", key)
-    found = near_duplicates(rows, width, max_bits, id_col="key__", text_col=text_col)
-    first = found.where(F.col("key__") == F.col("component_id")).select("key__").distinct()
-    return rows.join(first, "key__", "left_semi").dropDuplicates(["key__"]).drop("key__")
+    rows = docs.withColumn("key__", key).withColumn("row__", F.xxhash64("key__", text_col))
+    texts = rows.select(F.col("row__").alias("row"), F.col(text_col).cast("string").alias("text"))
+    marked = stored(prefix_rows(texts, width, percent, common_shingles(texts, width, sample_rows)), "simhash-rows", "zstd")
+    near = set_links(marked, texts, width, percent, hot)
+    # a fingerprint's node is the least of its sets
+    fps = stored(marked.groupBy("fp").agg(F.min("sid").alias("node")), "simhash-distinct")
+    edges = near.unionAll(marked.select("fp", "sid").join(fps, "fp").where("sid <> node").selectExpr("sid as a", "node as b"))
+    n = fps.count()
+    if n > 1:
+        close = links(fps.select("fp"), plan_for(fps, n, max_bits, sample_rows), max_bits, hot)
+        a, b = fps.selectExpr("fp as a", "node as u"), fps.selectExpr("fp as b", "node as v")
+        edges = edges.unionAll(close.join(a, "a").join(b, "b").selectExpr("u as a", "v as b"))
+    found = connected_components(edges)
+    of_row = marked.select("row", "sid").distinct().join(found.withColumnRenamed("node", "sid"), "sid", "left").select("row", F.coalesce("component", "sid").alias("component"))
+    keys = stored(rows.select("key__", "row__").distinct().join(of_row, F.col("row__") == F.col("row")).select("key__", "row", "component"), "simhash-components")
+    first = keys.groupBy("component").agg(F.min("key__").alias("key__")).select("key__").distinct()
+    return rows.join(first, "key__", "left_semi").dropDuplicates(["key__"]).drop("key__", "row__")

@@ -310,6 +310,36 @@ def test_simhash_rows(hard, empty):
     assert kept.columns == hard.columns and kept.where("doc_id = 4").count() == 1 and kept.where("doc_id is null").count() == 1
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_keep_first_by_similarity(spark, hot):
+    from infragraph.llm.simhash import keep_first, shingle_fingerprint, shingle_hashes
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for i in range(14):
+        base = [rng.choice(words) for _ in range(rng.randint(30, 150))]
+        base = passage + base[: rng.randint(0, 40)] if i % 2 else base
+        for _ in range(6):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(0, 1 + len(copy) // 40)):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets, fps = [set(shingle_hashes(x, 5).tolist()) for x in texts], [shingle_fingerprint(x, 5) for x in texts]
+    low, far = list(range(len(texts))), 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        alike = 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        bits = (fps[a] ^ fps[b]).bit_count()
+        far += alike and bits > 2
+        if alike or bits <= 2:
+            old, new = max(low[a], low[b]), min(low[a], low[b])
+            low = [new if x == old else x for x in low]
+    got = keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=hot)
+    assert {r["doc_id"] for r in got.collect()} == set(low) and far > 20
+
+
 # 7 ------------------------------------------------------------------------------------------------
 
 
