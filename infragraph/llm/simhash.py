@@ -343,8 +343,8 @@ def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int
     shingles have a Jaccard similarity of ``percent`` hundredths or more. Every such link is found: prefixes of
     the sets meet, and pairs that meet are measured on the whole sets. The samples decide costs only.
 
-    Rows that share an id are one document and share its fate, one of them stays. A null id stands for the
-    text's hash, so that such rows are told apart by their texts.
+    Rows that share an id but not a text are documents of their own; of those in one group the one with the
+    smallest hash of its text stays. A null id stands for the text's hash.
     """
     key = F.coalesce(F.col(id_col).cast("long"), -F.lit(1) - F.pmod(F.xxhash64(text_col), F.lit(1 << 62)))
     rows = docs.withColumn("key__", key).withColumn("row__", F.xxhash64("key__", text_col))
@@ -361,6 +361,6 @@ def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int
         edges = edges.unionAll(close.join(a, "a").join(b, "b").selectExpr("u as a", "v as b"))
     found = connected_components(edges)
     of_row = marked.select("row", "sid").distinct().join(found.withColumnRenamed("node", "sid"), "sid", "left").select("row", F.coalesce("component", "sid").alias("component"))
-    keys = stored(rows.select("key__", "row__").distinct().join(of_row, F.col("row__") == F.col("row")).select("key__", "row", "component"), "simhash-components")
-    first = keys.groupBy("component").agg(F.min("key__").alias("key__")).select("key__").distinct()
-    return rows.join(first, "key__", "left_semi").dropDuplicates(["key__"]).drop("key__", "row__")
+    keys = stored(rows.select("key__", "row__").distinct().join(of_row, F.col("row__") == F.col("row")).select("key__", "row__", "component"), "simhash-components")
+    first = keys.groupBy("component").agg(F.min(F.struct("key__", "row__")).alias("first")).select("first.row__")
+    return rows.join(first, "row__", "left_semi").dropDuplicates(["row__"]).drop("key__", "row__")

@@ -310,6 +310,15 @@ def test_simhash_rows(hard, empty):
     assert kept.columns == hard.columns and kept.where("doc_id = 4").count() == 1 and kept.where("doc_id is null").count() == 1
 
 
+def test_keep_first_of_repeated_ids(spark):
+    from infragraph.llm.simhash import keep_first
+
+    clean, copied = " ".join(f"own{i}" for i in range(40)), " ".join(f"copied{i}" for i in range(40))
+    rows = [(1, copied), (2, copied), (2, clean), (2, clean), (3, clean + " tail")]
+    got = keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, copied), (2, clean)]
+
+
 @pytest.mark.parametrize("hot", [64, 2])
 def test_keep_first_by_similarity(spark, hot):
     from infragraph.llm.simhash import keep_first, shingle_fingerprint, shingle_hashes
