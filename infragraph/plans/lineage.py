@@ -41,7 +41,7 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
     """``df`` written once as a table in buckets of ``key``; joins and groups on the key read it without a shuffle.
 
     There are as many buckets as shuffle partitions, so a plan that ends with a shuffle on the key writes one
@@ -50,7 +50,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(n, key).saveAsTable(table)
+    df.write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(n, *([key] if isinstance(key, str) else key)).saveAsTable(table)
     out = spark.table(table)
     out.schema  # resolved before the entry goes
     spark.sql(f"DROP TABLE {table}")
