@@ -1,11 +1,10 @@
 """Suffix arrays of byte segments by induced sorting, and permuted common prefixes, vectorised.
 
 Suffixes are classified as smaller (S) or larger (L) than the next one. The leftmost-S substrings are sorted
-by one round of induction and named; where names repeat, the string of names is sorted in turn; a second
+by one round of induction and named; where names repeat, the string of names is sorted by recursion; a second
 round of induction then orders all suffixes. An induction goes through the buckets of first symbols once in
 each direction; inside a bucket it goes in waves, each a vector operation, so a shard costs linear work. The
-reduced string has too many symbols for bucket steps and is ranked by prefix doubling; its repeats are no longer
-than a segment, which bounds the rounds.
+reduced string of names goes through the same steps, level by level; see ``sorted_names``.
 
 Each segment ends with a separator. Separators are smaller than all bytes and ordered by place, later ones first, so that no
 common prefix and no comparison goes over a segment's end.
@@ -121,29 +120,68 @@ class Induction:
         edge[kinds] += way * n
 
 
-def ranked_by_doubling(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of names.
+def _refined(at: np.ndarray, key: np.ndarray, final: np.ndarray) -> np.ndarray:
+    """Ranks of the strings of keys from places ``at`` on, each up to its first ``final`` place; equal ones share a rank.
 
-    Each round sorts by three ranks at a time, as far as they fit a 64-bit key, and so triples the prefix
-    that is ordered; strings of more than two million names take two ranks at a time.
+    A string is extended only while others share its rank. Strings that share one end together.
+    """
+    rank = np.zeros(len(at), np.int64)
+    live, step = np.arange(len(at)), 0
+    while len(live):
+        place = at[live] + step
+        own = key[place]
+        by = np.argsort(own, kind="stable") if not step else np.lexsort((own, rank[live]))
+        held, own = rank[live[by]], own[by]
+        fresh = np.r_[True, (held[1:] != held[:-1]) | (own[1:] != own[:-1])]
+        start = np.flatnonzero(fresh)
+        size = np.diff(np.r_[start, len(by)])
+        # a group keeps the ranks from its first one on: a part of it starts behind the parts before
+        outer = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        base = np.repeat(outer, np.diff(np.r_[outer, len(by)]))
+        rank[live[by]] = held + np.repeat(start, size) - base
+        live = live[by[np.repeat(size > 1, size) & ~final[place[by]]]]
+        step += 1
+    return rank
+
+
+def sorted_names(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names, whose last one is the least and occurs once.
+
+    The same steps as over bytes: leftmost S substrings are sorted and named, names that repeat are sorted by
+    recursion on a string of at most half the length, and the other suffixes follow. With this many symbols
+    they are not pushed bucket by bucket: an L suffix is its run of L names and then a leftmost S suffix,
+    whose rank is known, and an S suffix is its run of S names and then an L suffix.
     """
     n = len(names)
-    rank, step, base = names.astype(np.int64), 1, len(names) + 2
-    wide = base**3 < 2**63
-    while True:
-        key = rank * base
-        key[:-step] += rank[step:] + 1
-        if wide:
-            key *= base
-            if 2 * step < n:
-                key[: -2 * step] += rank[2 * step :] + 1
-        order = np.argsort(key)
-        sorted_key = key[order]
-        fresh = np.r_[False, sorted_key[1:] != sorted_key[:-1]]
-        rank[order] = np.cumsum(fresh)
-        if fresh.sum() == n - 1 or step >= n:
-            return order
-        step = min(step * (3 if wide else 2), n)
+    small = classify(names)
+    is_left = small.copy()
+    is_left[0] = False
+    is_left[1:] &= ~small[:-1]
+    leftmost = np.flatnonzero(is_left)
+    kind = names * 2 + small
+    final = is_left.copy()
+    final[-1] = True
+    # a substring goes on to the leftmost S place after it: its own place is no end
+    own, rest = kind[leftmost], _refined(leftmost[:-1] + 1, kind, final)
+    by = np.lexsort((np.r_[rest, 0], own))
+    pair = np.stack([own, np.r_[rest, 0]])[:, by]
+    rank = np.zeros(len(leftmost), np.int64)
+    rank[by] = np.cumsum(np.r_[False, (pair[:, 1:] != pair[:, :-1]).any(axis=0)])
+    if len(leftmost) and rank.max() + 1 < len(leftmost):
+        rank[sorted_names(rank)] = np.arange(len(leftmost))
+    wide = n + 2
+    key = names * wide
+    key[leftmost] += 1 + rank
+    large = np.flatnonzero(~small)
+    large_rank = _refined(large, key, small)
+    key = names * wide + n + 1
+    key[large] = names[large] * wide + large_rank
+    ended = ~small
+    ended[-1] = True
+    smaller = np.flatnonzero(small)
+    small_rank = _refined(smaller, key, ended)
+    both = np.r_[large[np.argsort(large_rank)], smaller[np.argsort(small_rank)]]
+    return both[np.argsort(names[both], kind="stable")]
 
 
 def suffix_array(shard: Shard) -> np.ndarray:
@@ -167,7 +205,7 @@ def suffix_array(shard: Shard) -> np.ndarray:
     if name[-1] + 1 < len(found):
         by_place = np.zeros(shard.n, np.int64)
         by_place[found] = name
-        found = leftmost[ranked_by_doubling(by_place[leftmost])]
+        found = leftmost[sorted_names(by_place[leftmost])]
     return induction.order(found)
 
 
