@@ -1,13 +1,16 @@
 """Lineage cuts that outlive a lost executor.
 
 Every cut goes through the reliable checkpoint folder of the session (``spark.checkpoint.dir``). A folder
-of our own is chosen only when the session names none, which is the case in tests on one machine.
+of our own is chosen only when the session names none and runs on one machine, as in tests; on a cluster
+that is an error. What is written below the folder goes when the session's JVM ends, or with ``discard``.
 """
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="infragraph-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -27,6 +33,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/infragraph-{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str, act: Callable[..., object]) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    act(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
+
+
+def _scratch(df: DataFrame, path: str) -> DataFrame:
+    _hadoop(df.sparkSession, path, lambda fs, at: fs.deleteOnExit(at))
+    df.scratch_path = path
+    return df
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes what ``stored`` or ``bucketed`` wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        _hadoop(df.sparkSession, df.scratch_path, lambda fs, at: fs.delete(at, True))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files and broadcasts of jobs that are over.
+
+    Its cleaner acts when the driver collects garbage, which a large heap may put off while disks fill.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage replaced by a reliable checkpoint."""
     shared_dir(df.sparkSession)
@@ -38,7 +70,7 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _scratch(spark.read.schema(df.schema).parquet(path), path)
 
 
 def bucketed(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
@@ -50,8 +82,9 @@ def bucketed(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(n, *([key] if isinstance(key, str) else key)).saveAsTable(table)
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, *([key] if isinstance(key, str) else key)).saveAsTable(table)
     out = spark.table(table)
     out.schema  # resolved before the entry goes
     spark.sql(f"DROP TABLE {table}")
-    return out
+    return _scratch(out, path)
