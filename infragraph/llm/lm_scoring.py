@@ -1,24 +1,26 @@
 """Operator 2, LM scoring: deleted interpolation of n-gram estimates.
 
-The model mixes the maximum-likelihood bigram, unigram and uniform estimates of the next token. The mixture
-weights depend on how often the context was seen (buckets of powers of two) and are learned by
-expectation-maximisation on held-out counts: one fold of the learning documents is left out of the counts,
-its tokens are tabulated by bucket and estimate, and the weights that make it most likely are kept. Then
-texts are scored under counts of all learning documents.
-
-The corpus is cut into chunks of a few megabytes. Each chunk asks once for each of its distinct n-grams:
-sorted 64-bit hashes with its own counts, dealt by hash range. A range adds up the counts of all chunks and
-answers each chunk in the order it asked in, so answers carry no hashes. Both ways are linear in the
-corpus' distinct n-grams by chunk, no n-gram has more than one entry a chunk however frequent it is, and
-no vocabulary is broadcast. The number of ranges follows the corpus' size.
+The model mixes the maximum-likelihood estimates of orders ``order`` to 1 and the uniform one. The mixture
+weights depend on the longest context that was seen and on how often (buckets of powers of two). They are
+learned by expectation-maximisation on held-out counts: one fold of the learning documents is left out of
+the counts, and the weights that make its tokens most likely are kept. Then texts are scored under counts of
+all learning documents. A text's first tokens follow begin marks; an end follows its last one.
+
+Rows are dealt into chunks once and written in buckets of them; asking and scoring read that table. Each
+chunk asks once for each of its distinct n-grams of an order: sorted 64-bit hashes with its own counts, cut
+into hash ranges. A range adds up the counts of all chunks and answers each chunk in the order it asked in,
+so answers carry no hashes, no n-gram has more than one entry a chunk however frequent it is, and no
+vocabulary is broadcast. Chunks and ranges both grow with the square root of the corpus, so that the pieces
+sent between them stay of one size and their number is in proportion to the corpus.
 
 Defined results: a null text is the empty text, one end token; null ids are never held out; repeated rows
-are counted and scored as separate documents; without learning documents all estimates are uniform.
+are counted and scored as separate documents (rows of equal id and text share a chunk); without learning
+documents every token has probability 1.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,14 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from infragraph.llm.common import slices
-from infragraph.plans.lineage import stored
+from infragraph.plans.lineage import bucketed, release, stored
 
 COUNTED, TUNING, SCORED = 0, 1, 2
-STEP, LOWEST = 4, 160  # held-out estimates are tabulated in quarter octaves down to 2^-40
-BUCKETS = 42
-REQUEST = "chunk long, range int, uni binary, uni_n binary, bi binary, bi_n binary, tuning boolean"
-ANSWER = "chunk long, range int, uni binary, uni_tuned binary, bi binary, bi_tuned binary, words long, words_counted long, tokens long, tokens_counted long"
+OCTAVES = 64  # buckets of a context's length
+REQUEST = "chunk long, tuning boolean, range int, grams binary, n binary"
+ANSWER = "chunk long, level int, range int, total binary, tuned binary, words long, words_counted long, tokens long, tokens_counted long"
 
 
 class Hashes(dict):
@@ -46,88 +46,110 @@ class Hashes(dict):
         return h
 
 
-END = 0x9AE16A3B2F90404F  # the token after each text, and the context before it
+END, BEGIN = 0x9AE16A3B2F90404F, 0x3C79AC492BA7B653  # the token after each text, and the mark before it
 
 
-def tokens(texts: list[str | None], hashes: Hashes) -> list[np.ndarray]:
-    """Token hashes of each text with the end; bytes methods know ASCII white space and A-Z only."""
-    out = []
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of all texts, an end after each, and the tokens of each text; bytes methods know ASCII white space and A-Z only."""
+    hashes, out = Hashes(), []
     for t in texts:
         words = t.encode().lower().split() if t else []
         a = np.empty(len(words) + 1, np.uint64)
         a[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
         a[-1] = END
         out.append(a)
-    return out
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array([len(a) for a in out], np.int64)
 
 
-def pairs(words: np.ndarray) -> np.ndarray:
-    """A hash of each token and the one before it; a text's first token follows an end."""
-    before = np.r_[np.uint64(END), words[:-1]]
-    z = before * np.uint64(0xC2B2AE3D27D4EB4F) + (words ^ (words >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of a context and the token after it."""
+    with np.errstate(over="ignore"):
+        z = context * np.uint64(0xC2B2AE3D27D4EB4F) + (word ^ (word >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return z ^ (z >> np.uint64(32))
 
 
+def grams(words: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each token the n-gram that ends with it, of each order from 1 on; ``first`` are the texts' first tokens."""
+    out, begin = [words], np.array([BEGIN], np.uint64)
+    for _ in range(1, order):
+        context = np.r_[begin, out[-1][:-1]]
+        context[first] = begin
+        out.append(joined(context, words))
+        begin = joined(begin, np.array([BEGIN], np.uint64))
+    return out
+
+
+def packed(a: np.ndarray) -> bytes:
+    """64-bit numbers by bytes of like value, which compress well: in sorted hashes' steps and in counts the high ones are zero."""
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def range_cuts(sorted_hashes: np.ndarray, ranges: int) -> np.ndarray:
     """Where each hash range begins and ends among sorted hashes."""
     bounds = [(i << 64) // ranges for i in range(1, ranges)]
     return np.r_[0, np.searchsorted(sorted_hashes, np.array(bounds, np.uint64)), len(sorted_hashes)]
 
 
-def _requests(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = Hashes(), {}
-        for part in slices(batches, "text"):
-            if len(hashes) > 1_000_000:
-                hashes.clear()
-            chunks, fold, texts = (part.column(i).to_pylist() for i in range(3))
-            for c, f, a in zip(chunks, fold, tokens(texts, hashes), strict=True):
-                held.setdefault((c, f == TUNING), []).append((a, f != SCORED))
-        del hashes
-        for (chunk, tuning), own in held.items():
-            words = np.concatenate([a for a, _ in own])
-            learns = np.repeat(np.array([x for _, x in own], np.int64), [len(a) for a, _ in own])
-            own.clear()
-            cols = []
-            for grams in (words, pairs(words)):
-                u, at = np.unique(grams, return_inverse=True)
-                n = np.bincount(at, learns, len(u)).astype("<u4")
-                cut = range_cuts(u, ranges)
-                cols.append([u.astype("<u8")[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
-                cols.append([n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
-            some = [i for i in range(ranges) if cols[0][i] or cols[2][i]]
-            for at in range(0, len(some), 64):
-                now = some[at : at + 64]
-                yield pa.record_batch(
-                    [pa.array(np.full(len(now), chunk)), pa.array(np.array(now, np.int32)), *(pa.array([c[i] for i in now], pa.binary()) for c in cols), pa.array([tuning] * len(now))],
-                    ["chunk", "range", "uni", "uni_n", "bi", "bi_n", "tuning"],
-                )
+def _requests(level: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
+    def run(docs: pa.Table) -> pa.Table:
+        words, sizes = tokens(docs.column("text").to_pylist())
+        fold = np.asarray(docs.column("fold").to_numpy())
+        learns = np.repeat((fold != SCORED).astype(np.float64), sizes)
+        own = grams(words, np.cumsum(sizes) - sizes, level)[-1]
+        u, at = np.unique(own, return_inverse=True)
+        n = np.bincount(at, learns, len(u)).astype(np.uint64)
+        cut = range_cuts(u, ranges)
+        some = np.flatnonzero(cut[1:] > cut[:-1])
+        chunk, tuning = docs.column("chunk")[0].as_py(), bool(fold[0] == TUNING)
+        parts = [slice(int(cut[i]), int(cut[i + 1])) for i in some]
+        return pa.table(
+            {
+                "chunk": pa.array(np.full(len(some), chunk)),
+                "tuning": pa.array([tuning] * len(some), pa.bool_()),
+                "range": pa.array(some.astype(np.int32)),
+                "grams": pa.array([packed(np.diff(u[s], prepend=np.uint64(0))) for s in parts], pa.binary()),
+                "n": pa.array([packed(n[s]) for s in parts], pa.binary()),
+            }
+        )
 
     return run
 
 
-def _answers(table: pa.Table) -> pa.Table:
-    """Adds up one hash range over all chunks; every row gets its totals, with and without the tuning fold."""
-    out = {"chunk": table.column("chunk"), "range": table.column("range")}
-    tuning = np.array(table.column("tuning").to_pylist(), bool)
-    sums = np.zeros((table.num_rows, 4), np.int64)
-    for kind in ("uni", "bi"):
-        h = [np.frombuffer(x, "<u8") for x in table.column(kind).to_pylist()]
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in table.column(f"{kind}_n").to_pylist()]).astype(np.float64)
+def _answers(level: int) -> Callable[[pa.Table], pa.Table]:
+    """Adds up one hash range over all chunks; tuning chunks also learn what of the totals is theirs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tuning = np.array(table.column("tuning").to_pylist(), bool)
+        with np.errstate(over="ignore"):
+            h = [np.cumsum(unpacked(x)) for x in table.column("grams").to_pylist()]
+        n = np.concatenate([unpacked(x) for x in table.column("n").to_pylist()]).astype(np.float64)
         sizes = np.array([len(x) for x in h])
-        tuned = np.repeat(tuning, sizes)
         u, at = np.unique(np.concatenate(h), return_inverse=True)
-        total = np.bincount(at, n, len(u)).astype("<u8")
-        extra = np.bincount(at[tuned], n[tuned], len(u)).astype("<u8")
+        del h
+        total = np.bincount(at, n, len(u)).astype(np.uint64)
+        theirs = np.repeat(tuning, sizes)
+        tuned = np.bincount(at[theirs], n[theirs], len(u)).astype(np.uint64)
         ends = np.cumsum(sizes)
-        out[kind] = pa.array([total[at[e - s : e]].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary())
-        out[f"{kind}_tuned"] = pa.array([extra[at[e - s : e]].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary())
-        if kind == "uni":
-            sums[0] = (total > 0).sum(), (total > extra).sum(), total.sum(), (total - extra).sum()
-    for i, name in enumerate(("words", "words_counted", "tokens", "tokens_counted")):
-        out[name] = pa.array(sums[:, i])
-    return pa.table(out)
+        sums = np.zeros((table.num_rows, 4), np.int64)
+        sums[0] = (total > 0).sum(), (total > tuned).sum(), total.sum(), (total - tuned).sum()
+        spans = [at[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        return pa.table(
+            {
+                "chunk": table.column("chunk"),
+                "level": pa.array(np.full(len(sizes), level, np.int32)),
+                "range": table.column("range"),
+                "total": pa.array([packed(total[s]) for s in spans], pa.binary()),
+                "tuned": pa.array([packed(tuned[s]) if t else None for s, t in zip(spans, tuning.tolist(), strict=True)], pa.binary()),
+                **{c: pa.array(sums[:, i]) for i, c in enumerate(("words", "words_counted", "tokens", "tokens_counted"))},
+            }
+        )
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -138,140 +160,136 @@ class Totals:
     tokens_counted: int
 
 
-def _counts(texts: list[str | None], answers: pa.Table, counted_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a chunk's tokens: counts of the token, its context and both; and tokens of each text."""
-    texts_tokens = tokens(texts, Hashes())
-    sizes = np.array([len(a) for a in texts_tokens], np.int64)
-    words = np.concatenate(texts_tokens)
-    del texts_tokens
-    answers = answers.sort_by("range")
-    found = []
-    for kind, grams in (("uni", words), ("bi", pairs(words))):
-        total = np.frombuffer(b"".join(answers.column(kind).to_pylist()), "<u8").astype(np.int64)
-        if counted_only:
-            total = total - np.frombuffer(b"".join(answers.column(f"{kind}_tuned").to_pylist()), "<u8").astype(np.int64)
-        u, at = np.unique(grams, return_inverse=True)
-        assert len(u) == len(total), "a chunk asks and scores with the same rows"
-        found.append(total[at])
-        if kind == "uni":
-            end = int(total[np.searchsorted(u, np.uint64(END))])
-    word, pair = found
-    context = np.r_[end, word[:-1]]
-    return word, context, pair, sizes
-
-
-def bucket(context: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(context + 1.0).astype(np.int64), BUCKETS - 1)
+def estimates(found: list[np.ndarray], ends: int, first: np.ndarray, words: int, tokens_in_all: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per token its bucket, and the estimates of order 0 (uniform) to ``order`` as columns.
 
+    ``found`` has the counts of each token's n-grams by order, ``ends`` the number of learning texts. The
+    bucket is 64 times the longest order with a context that was seen, plus the octave of its count.
+    """
+    n = len(found[0])
+    p = np.zeros((n, len(found) + 1))
+    p[:, 0] = 1 / (words + 1)
+    p[:, 1] = found[0] / max(tokens_in_all, 1)
+    bucket = np.full(n, OCTAVES, np.int64)
+    for k in range(1, len(found)):
+        context = np.r_[ends, found[k - 1][:-1]]
+        context[first] = ends
+        seen = context > 0
+        p[seen, k + 1] = found[k][seen] / context[seen]
+        bucket[seen] = OCTAVES * (k + 1) + np.log2(context[seen]).astype(np.int64)
+    return bucket, p
+
+
+def _counted(docs: pa.Table, answers: pa.Table, order: int, left_out: bool) -> tuple[list[np.ndarray], int, np.ndarray]:
+    """For a chunk's tokens their n-grams' counts by order; the number of texts learned; tokens of each text."""
+    words, sizes = tokens(docs.column("text").to_pylist())
+    answers = answers.sort_by([("level", "ascending"), ("range", "ascending")])
+    level = np.asarray(answers.column("level").to_numpy())
+    found, ends = [], 0
+    for k, own in enumerate(grams(words, np.cumsum(sizes) - sizes, order), 1):
+        lo, hi = np.searchsorted(level, [k, k + 1])
+        mine = answers.slice(lo, hi - lo)
+        total = np.concatenate([unpacked(x) for x in mine.column("total").to_pylist()]).astype(np.int64)
+        if left_out:
+            total -= np.concatenate([unpacked(x) for x in mine.column("tuned").to_pylist()]).astype(np.int64)
+        u, at = np.unique(own, return_inverse=True)
+        found.append(total[at])
+        if k == 1:
+            ends = int(total[np.searchsorted(u, np.uint64(END))])
+    return found, ends, sizes
 
-def _level(p: np.ndarray) -> np.ndarray:
-    """Quarter octaves below 1, -1 for zero."""
-    with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.minimum(np.round(-STEP * np.log2(p)), LOWEST), -1).astype(np.int64)
 
+def _held_out(totals: Totals, order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    names = [f"p{k}" for k in range(order + 1)]
 
-def _tabulate(totals: Totals) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        word, context, pair, _ = _counts(docs.column("text").to_pylist(), answers, counted_only=True)
-        two = _level(pair / np.maximum(context, 1))
-        one = _level(word / max(totals.tokens_counted, 1))
-        cell, n = np.unique((bucket(context) * (LOWEST + 2) + two + 1) * (LOWEST + 2) + one + 1, return_counts=True)
-        return pa.table({"cell": cell, "n": n})
+            return pa.table({"bucket": pa.array([], pa.int32()), **{c: pa.array([], pa.float64()) for c in names}})
+        found, ends, sizes = _counted(docs, answers, order, left_out=True)
+        bucket, p = estimates(found, ends, np.cumsum(sizes) - sizes, totals.words_counted, totals.tokens_counted)
+        return pa.table({"bucket": pa.array(bucket.astype(np.int32)), **{c: pa.array(p[:, k].copy()) for k, c in enumerate(names)}})
 
     return run
 
 
-def learn_weights(cell: np.ndarray, n: np.ndarray, words: int, rounds: int = 60, least: int = 200) -> np.ndarray:
-    """Weights (bucket; bigram, unigram, uniform) by expectation-maximisation on held-out counts.
+def learn_weights(held_out: DataFrame, order: int, rounds: int = 12, least: int = 200) -> np.ndarray:
+    """Weights by bucket (rows) and order 0 to ``order`` (columns), by expectation-maximisation over all held-out tokens.
 
-    The table has at most 42 x 162 x 162 cells, whatever the corpus' size. A bucket with fewer than
-    ``least`` held-out tokens takes the weights of all buckets together; without any, all are equal.
+    Each round is one pass that adds up the shares of the estimates by bucket; the driver sees a row for each
+    bucket, at most 64 for each order. A bucket of fewer than ``least`` tokens takes the mean weights of the
+    other buckets of its order by tokens, and equal ones if there are none.
     """
-    b, two, one = cell // (LOWEST + 2) ** 2, cell // (LOWEST + 2) % (LOWEST + 2) - 1, cell % (LOWEST + 2) - 1
-    p = np.stack([np.where(two >= 0, 2.0 ** (-two / STEP), 0), np.where(one >= 0, 2.0 ** (-one / STEP), 0), np.full(len(cell), 1 / (words + 1))], axis=1)
-
-    def fit(p: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
-        w = start
-        for _ in range(rounds):
-            share = p * w
-            share /= share.sum(axis=1, keepdims=True)
-            w = (share * n[:, None]).sum(axis=0) + 1e-3
-            w /= w.sum()
-        return w
-
-    pooled = fit(p, n.astype(np.float64), np.full(3, 1 / 3)) if len(n) else np.full(3, 1 / 3)
-    out = np.tile(pooled, (BUCKETS, 1))
-    for k in np.unique(b):
-        if n[b == k].sum() >= least:
-            out[k] = fit(p[b == k], n[b == k].astype(np.float64), pooled)
-    out[0] = np.r_[0.0, out[0, 1:] / out[0, 1:].sum()]  # a context never seen has no bigram
-    return out
-
-
-def _score(totals: Totals, weights: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    spark, names = held_out.sparkSession, [f"p{k}" for k in range(order + 1)]
+    weights = np.zeros((OCTAVES * (order + 1), order + 1))
+    for k in range(1, order + 1):
+        weights[OCTAVES * k : OCTAVES * (k + 1), : k + 1] = 1 / (k + 1)
+    counts = np.zeros(len(weights))
+    for _ in range(rounds):
+        rows = [(int(b), *map(float, weights[b])) for b in range(OCTAVES, len(weights))]
+        now = spark.createDataFrame(rows, "bucket int, " + ", ".join(f"w{k} double" for k in range(order + 1)))
+        whole = " + ".join(f"w{k} * p{k}" for k in range(order + 1))
+        shares = held_out.join(F.broadcast(now), "bucket").selectExpr("bucket", f"{whole} as whole", *(f"w{k} * {c} as s{k}" for k, c in enumerate(names)))
+        sums = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(f"s{k}") / F.col("whole")).alias(f"s{k}") for k in range(order + 1))).collect()
+        for r in sums:
+            counts[r["bucket"]] = r["n"]
+            weights[r["bucket"]] = [r[f"s{k}"] / r["n"] for k in range(order + 1)]
+    for k in range(1, order + 1):
+        own = slice(OCTAVES * k, OCTAVES * (k + 1))
+        firm = counts[own] >= least
+        mean = np.average(weights[own][firm], axis=0, weights=counts[own][firm]) if firm.any() else np.r_[np.full(k + 1, 1 / (k + 1)), np.zeros(order - k)]
+        weights[own][~firm] = mean
+    return weights
+
+
+def _score(totals: Totals, weights: np.ndarray, order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        word, context, pair, sizes = _counts(docs.column("text").to_pylist(), answers, counted_only=False)
+        found, ends, sizes = _counted(docs, answers, order, left_out=False)
         first = np.cumsum(sizes) - sizes
-        base = np.log10((word + 0.1) / (totals.tokens + 0.1 * (totals.words + 1)))
-        w = weights[bucket(context)]
-        p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(totals.tokens, 1) + w[:, 2] / (totals.words + 1)
-        if not totals.tokens:
-            p = np.ones(len(word))
+        base = np.log10((found[0] + 0.1) / (totals.tokens + 0.1 * (totals.words + 1)))
+        bucket, p = estimates(found, ends, first, totals.words, totals.tokens)
+        likely = (weights[bucket] * p).sum(axis=1) if totals.tokens else np.ones(len(bucket))
         return pa.table(
             {
                 "doc_id": docs.column("id"),
                 "fold": docs.column("fold"),
                 "n_tokens": pa.array(sizes),
-                "n_known": pa.array(np.add.reduceat((word > 0).astype(np.int64), first)),
+                "n_known": pa.array(np.add.reduceat((found[0] > 0).astype(np.int64), first)),
                 "train_tokens": pa.array(np.full(len(sizes), totals.tokens)),
                 "base_score": pa.array(np.add.reduceat(base, first)),
-                "score": pa.array(np.add.reduceat(np.log10(p), first)),
+                "score": pa.array(np.add.reduceat(np.log10(likely), first)),
             }
         )
 
     return run
 
 
-def score_documents(docs: DataFrame, fold: Column, chunk: Column | None = None, range_bytes: int = 6 << 20, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, fold: Column, order: int = 3, chunk_bytes: int = 6 << 20, piece_bytes: int = 8 << 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fold, n_tokens, n_known, train_tokens, base_score, score), one for each row of ``docs``.
 
-    ``fold`` is COUNTED, TUNING (counted, and held out to learn the weights) or SCORED. ``chunk`` names the
-    chunk of each row and is the same in every run over the same input; rows of one chunk must be read by
-    one task, as those of a file's split are. None deals rows by the hash of their id, one shuffle more.
+    ``fold`` is COUNTED, TUNING (counted, and held out to learn the weights) or SCORED. Chunks and ranges hold
+    ``chunk_bytes`` of text, or as much as makes the pieces between them ``piece_bytes``; a task's memory
+    follows one of them, or the longest text.
     """
-    rows = docs.select((chunk if chunk is not None else F.lit(0)).cast("long").alias("chunk"), fold.cast("int").alias("fold"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    rows = docs.select(fold.cast("int").alias("fold"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ranges = max(4, int(size // range_bytes))
-    if chunk is None:
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(max(4, int(size // chunk_bytes)))))
-        source = rows.repartition("chunk")
-    else:
-        source = rows
-    asked = source.select("chunk", "fold", "text").mapInArrow(_requests(ranges), REQUEST)
-    # a chunk's tuning rows ask for themselves, as a chunk of their own
-    asked = asked.withColumn("chunk", _chunk_of("tuning"))
-    answers = stored(asked.groupBy("range").applyInArrow(_answers, ANSWER), "lm-answers")
-    s = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "words_counted", "tokens", "tokens_counted"))).first()
-    totals = Totals(*map(int, s))
-    parted = rows.withColumn("chunk", _chunk_of(F.col("fold") == TUNING))
-    replies = answers.select("chunk", "range", "uni", "uni_tuned", "bi", "bi_tuned")
-    tuned = parted.where(F.col("fold") == TUNING).groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_tabulate(totals), "cell long, n long")
-    table = tuned.groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    weights = learn_weights(np.array([r["cell"] for r in table], np.int64), np.array([r["n"] for r in table], np.int64), totals.words_counted)
+    chunks = max(4, int(size / max(chunk_bytes, (size * piece_bytes) ** 0.5)))
+    # a tuning row is in a chunk of tuning rows, numbered from ``chunks`` on
+    dealt = F.pmod(F.xxhash64("id", "text"), F.when(F.col("fold") == TUNING, max(4, chunks // 10)).otherwise(chunks)) + F.when(F.col("fold") == TUNING, chunks).otherwise(0)
+    parted = bucketed(rows.withColumn("chunk", dealt.cast("long")).repartition("chunk"), "chunk", "lm_texts")
+    release(docs.sparkSession)
+    replies = None
+    for level in range(1, order + 1):
+        asked = parted.select("chunk", "fold", "text").groupBy("chunk").applyInArrow(_requests(level, chunks), REQUEST)
+        own = stored(asked.groupBy("range").applyInArrow(_answers(level), ANSWER), "lm-answers", "zstd")
+        release(docs.sparkSession)
+        if level == 1:
+            s = own.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "words_counted", "tokens", "tokens_counted"))).first()
+            totals = Totals(*map(int, s))
+        replies = own if replies is None else replies.unionAll(own)
+    tuning = replies.where(F.col("chunk") >= chunks).select("chunk", "level", "range", "total", "tuned")
+    columns = "bucket int, " + ", ".join(f"p{k} double" for k in range(order + 1))
+    held_out = parted.where(F.col("chunk") >= chunks).groupBy("chunk").cogroup(tuning.groupBy("chunk")).applyInArrow(_held_out(totals, order), columns)
+    weights = learn_weights(stored(held_out, "lm-held-out", "zstd"), order)
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"doc_id {kind}, fold int, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return parted.groupBy("chunk").cogroup(replies.select("chunk", "range", "uni", "bi").groupBy("chunk")).applyInArrow(_score(totals, weights), schema)
-
-
-def _chunk_of(tuning: str | Column) -> Column:
-    return F.xxhash64(F.col("chunk"), F.col(tuning) if isinstance(tuning, str) else tuning)
-
-
-def split_chunks(docs: DataFrame, id_col: str = "doc_id", chunk_bytes: int = 8 << 20) -> Column:
-    """Chunks by file split, for a DataFrame read from files: no shuffle, and the same in every run."""
-    conf = docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
-    unit = {"k": 10, "m": 20, "g": 30}.get(conf[-1:], 0)
-    most = int(conf.rstrip("kmg")) << unit
-    return F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-most // chunk_bytes)))))
+    return parted.groupBy("chunk").cogroup(replies.select("chunk", "level", "range", "total").groupBy("chunk")).applyInArrow(_score(totals, weights, order), schema)

@@ -29,12 +29,12 @@ def op1_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with remainder 0 are only scored; those with remainder 1 are counted and tune the weights."""
-    from infragraph.llm.lm_scoring import COUNTED, SCORED, TUNING, score_documents, split_chunks
+    from infragraph.llm.lm_scoring import COUNTED, SCORED, TUNING, score_documents
 
     docs = documents(spark, sf_dir)
     rest = fold("doc_id", 10)
     folds = F.when(rest == 0, SCORED).when(rest == 1, TUNING).otherwise(COUNTED)
-    scored = score_documents(docs, folds, split_chunks(docs))
+    scored = score_documents(docs, folds)
     return scored.select("doc_id", (F.col("fold") == SCORED).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -113,6 +113,61 @@ def test_sampling_follows_the_lattice():
 # 2 ------------------------------------------------------------------------------------------------
 
 
+def plain_lm(docs, order, rounds=12, least=200):
+    """Scores of (text, fold) by deleted interpolation over dictionaries of tuples; folds: 0 counted, 1 tuning, 2 scored."""
+
+    def padded(t):
+        return ("<",) * (order - 1) + tuple(t.encode().lower().split()) + ("end",)
+
+    def learned(folds):
+        count, context, n = Counter(), Counter(), 0
+        for t, f in docs:
+            if f in folds:
+                x = padded(t)
+                for i in range(order - 1, len(x)):
+                    n += 1
+                    for k in range(order):
+                        count[x[i - k : i + 1]] += 1
+                        context[x[i - k : i]] += k > 0
+        return count, context, n, len({g for g in count if len(g) == 1})
+
+    def tokens(t, model):
+        count, context, n, words = model
+        x = padded(t)
+        for i in range(order - 1, len(x)):
+            p, bucket = [1 / (words + 1), count[x[i : i + 1]] / max(n, 1)], (1, 0)
+            for k in range(1, order):
+                c = context[x[i - k : i]]
+                p.append(count[x[i - k : i + 1]] / c if c else 0)
+                if c:
+                    bucket = (k + 1, int(math.log2(c)))
+            yield bucket, p
+
+    held = [x for t, f in docs if f == 1 for x in tokens(t, learned({0}))]
+    sizes = Counter(b for b, _ in held)
+    weights = {}
+    for b, n in sizes.items():
+        w = [1 / (b[0] + 1)] * (b[0] + 1) + [0.0] * (order - b[0])
+        for _ in range(rounds):
+            shares = [[x * y / sum(map(float.__mul__, w, p)) for x, y in zip(w, p, strict=True)] for c, p in held if c == b]
+            w = [sum(x) / n for x in zip(*shares, strict=True)]
+        weights[b] = w
+    pooled = {}
+    for k in range(1, order + 1):
+        firm = [(weights[b], n) for b, n in sizes.items() if b[0] == k and n >= least]
+        total = sum(n for _, n in firm)
+        pooled[k] = [sum(w[i] * n for w, n in firm) / total for i in range(order + 1)] if firm else [1 / (k + 1)] * (k + 1) + [0.0] * (order - k)
+    model = learned({0, 1})
+    out = []
+    for t, _ in docs:
+        score = 0.0
+        for b, p in tokens(t, model):
+            w = weights[b] if sizes[b] >= least else pooled[b[0]]
+            score += math.log10(sum(x * y for x, y in zip(w, p, strict=True)))
+        out.append(score)
+    return out
+
+
 def test_lm_scores(hard, empty):
     from infragraph.llm.lm_scoring import COUNTED, SCORED, TUNING, score_documents
 
@@ -123,16 +178,28 @@ def test_lm_scores(hard, empty):
     n, v = sum(c.values()), len(c)
     want = Counter((i, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for i, w in toks)
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
+    folds = [(t, 2 if i == 9 else 1 if i == 5 else 0) for i, t in texts_of(hard)]
+    scores = plain_lm(folds, 3)
+    assert Counter((i, round(s, 5)) for (i, _), s in zip(texts_of(hard), scores, strict=True)) == Counter((r["doc_id"], round(r["score"], 5)) for r in got)
     assert score_documents(empty, F.lit(COUNTED)).count() == 0
     assert score_documents(hard, F.lit(SCORED)).select(F.max("train_tokens")).first()[0] == 0
 
 
-def test_lm_weights_are_a_distribution_and_sum_to_one():
-    from infragraph.llm.lm_scoring import learn_weights
-
-    w = learn_weights(np.array([3 * 162 * 162 + 5 * 162 + 9, 2 * 162 * 162 + 0 * 162 + 9]), np.array([900, 50]), 100)
-    assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all() and w[0, 0] == 0 and w[3, 0] > 0.9
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scores_are_those_of_a_plain_model(spark, order):
+    from infragraph.llm.lm_scoring import score_documents
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    docs = []
+    for i in range(120):
+        text = ["w0"]
+        for _ in range(rng.randint(0, 60)):
+            text.append(words[(words.index(text[-1]) * 3 + min(int(rng.expovariate(1)), 9)) % 40])
+        docs.append((i, " ".join(text) if i % 17 else "", i % 3))
+    got = {r["doc_id"]: r["score"] for r in score_documents(spark.createDataFrame(docs, "doc_id long, text string, f int"), F.col("f"), order=order, chunk_bytes=2000).collect()}
+    for (i, _, _), s in zip(docs, plain_lm([(t, f) for _, t, f in docs], order), strict=True):
+        assert abs(got[i] - s) < 1e-6
 
 
 # 3 ------------------------------------------------------------------------------------------------
