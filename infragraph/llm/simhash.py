@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from infragraph.llm.common import slices
 from infragraph.plans.components import connected_components
-from infragraph.plans.lineage import stored
+from infragraph.plans.lineage import bucketed, release, stored
 
 BITS = 64
 
@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, sample_r
         low = own.groupBy("component").agg(F.min("doc_id").alias("low"))
         linked = own.join(low, "component").select("fp", "low")
         least = distinct.join(linked, "fp", "left").select("fp", F.coalesce("low", "doc_id").alias("component_id"))
-    return rows.join(least, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # written, so that the join of a frequent fingerprint can be split
+    return rows.join(stored(least, "simhash-least"), "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def common_shingles(texts: DataFrame, width: int, sample_rows: int, least: int = 8, most: int = 200_000) -> np.ndarray:
@@ -269,7 +270,7 @@ def prefix_rows(texts: DataFrame, width: int, percent: int, common: np.ndarray)
 
 
 def shingle_sets(texts: DataFrame, some: DataFrame, width: int, slots: int = 1 << 22) -> DataFrame:
-    """Rows (sid, shingles) for the rows (row, sid) of ``some``, which name a text (row, text) each.
+    """Rows (sid, shingles) for the rows (row, sid) of ``some``, which name a text (row, text) each, in buckets of sid.
 
     A bitmap of the wanted rows' hashes spares the texts of most others their hashing; the join is exact.
     """
@@ -290,77 +291,99 @@ def shingle_sets(texts: DataFrame, some: DataFrame, width: int, slots: int = 1 <
 
     sets = texts.mapInArrow(run, "row long, shingles array<long>")
     # rows that repeat wholly have one set
-    return sets.join(some, "row").groupBy("row", "sid").agg(F.first("shingles").alias("shingles")).drop("row")
+    once = sets.join(some, "row").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    return bucketed(once, "sid", "shingle_sets")
 
 
-def set_links(marked: DataFrame, texts: DataFrame, width: int, percent: int, hot: int = 64) -> DataFrame:
-    """Rows (a, b) whose components are those of all pairs of sets with a Jaccard similarity of ``percent``.
+def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int, percent: int, hot: int = 64) -> DataFrame:
+    """Rows (a, b): ``known`` links and others, whose components are those of ``known`` and all pairs of sets
+    with a Jaccard similarity of ``percent``.
 
-    ``marked`` is from ``prefix_rows`` of ``texts``. A shingle in more than ``hot`` prefixes is not expanded
-    into pairs: its sets are measured against one of them, the pivot. Those near the pivot are linked through
-    it; the others meet only sets whose distance from the pivot differs from theirs by no more than a link's,
-    as Jaccard distance is a metric. That leaves out no component. Other pairs are measured only if what their
-    prefixes share and all that may follow in the larger set suffice.
+    ``marked`` is from ``prefix_rows`` of ``texts``. A pair is a candidate if its prefixes meet and what they
+    share, with all that may follow in the larger set, suffices. First each set is measured against the
+    candidate that shares most with it; then only candidates that are not yet in one component are.
+
+    A shingle in more than ``hot`` prefixes is not expanded into pairs: its sets are measured against one of
+    them, the pivot. Those near the pivot are linked through it; the others meet only sets whose distance from
+    the pivot differs from theirs by no more than a link's, as Jaccard distance is a metric. That leaves out
+    no component.
     """
     sets = stored(marked.groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("size")), "shingle-sets")
     keys = marked.select("sid", F.explode("prefix").alias("shingle")).repartition("shingle").distinct()
     met = keys.selectExpr("sid", "shingle", "count(1) over (partition by shingle) as held", "min(sid) over (partition by shingle) as pivot").where("held > 1")
-    met = met.join(sets.select("sid", "size"), "sid").withColumn("hots", F.expr(f"count_if(held > {hot}) over (partition by sid)"))
-    met = stored(met, "shingle-keys", "zstd")
+    met = stored(met, "shingle-met", "zstd")
+    release(texts.sparkSession)
+    met = stored(met.join(sets.select("sid", "size"), "sid").withColumn("hots", F.expr(f"count_if(held > {hot}) over (partition by sid)")), "shingle-keys", "zstd")
     cold, warm = met.where(F.col("held") <= hot), met.where((F.col("held") > hot) & (F.col("sid") != F.col("pivot")))
     fits = f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}"
     left, right = cold.selectExpr("shingle", "sid as a", "size as size_a", "hots as hots_a"), cold.selectExpr("shingle", "sid as b", "size as size_b", "hots as hots_b")
     shared = left.join(right, "shingle").where("a < b").where(fits).groupBy("a", "b", "size_a", "size_b", "hots_a", "hots_b").agg(F.count(F.lit(1)).alias("shared"))
     most = f"shared + least(hots_a, hots_b) + (greatest(size_a, size_b) * {percent} + 99) div 100 - 1"
-    pairs = shared.where(f"({most}) * {100 + percent} >= (size_a + size_b) * {percent}").select("a", "b")
-    pairs = pairs.unionAll(warm.select(F.col("pivot").alias("a"), F.col("sid").alias("b"))).distinct()
+    pairs = stored(shared.where(f"({most}) * {100 + percent} >= (size_a + size_b) * {percent}").select("a", "b", "shared"), "shingle-pairs")
+    release(texts.sparkSession)
+    rays = warm.select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+    some = pairs.select("a", "b").unionAll(rays).select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "row"), "sid")
+    own = shingle_sets(texts, stored(some, "shingle-some"), width)
+    release(texts.sparkSession)
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
-        some = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "row"), "sid")
-        own = stored(shingle_sets(texts, stored(some, f"shingle-{name}-some"), width), f"shingle-{name}-sets", "zstd")
-        joined = pairs.join(own.selectExpr("sid as a", "shingles as x"), "a").join(own.selectExpr("sid as b", "shingles as y"), "b")
+        joined = pairs.join(own.selectExpr("sid as b", "shingles as y").hint("merge"), "b").join(own.selectExpr("sid as a", "shingles as x").hint("merge"), "a")
         both = joined.selectExpr("a", "b", "size(x) + size(y) as total", "size(array_intersect(x, y)) as same")
-        return stored(both.selectExpr("a", "b", "same", "total - same as whole"), f"shingle-{name}-measured")
+        out = stored(both.selectExpr("a", "b", "same", "total - same as whole"), f"shingle-{name}")
+        release(texts.sparkSession)
+        return out
 
     near = f"same * 100 >= whole * {percent}"
-    found = measured(stored(pairs, "shingle-pairs"), "first")
+    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    found = measured(first.unionAll(rays).distinct(), "first")
+    linked = known.unionAll(found.where(near).select("a", "b"))
+    component = connected_components(linked)
+    component = stored(component, "shingle-components")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs that no link found so far connects."""
+        of_a, of_b = component.selectExpr("node as a", "component as ca"), component.selectExpr("node as b", "component as cb")
+        return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
     away = found.selectExpr("a as pivot", "b as sid", "1 - same / whole as away", f"{near} as linked")
     ring = stored(warm.select("shingle", "pivot", "sid", "size").join(away, ["pivot", "sid"]), "shingle-rings", "zstd")
     u = ring.where("not linked").selectExpr("shingle", "sid as u", "size as size_a", "away as away_u")
     v = ring.selectExpr("shingle", "sid as v", "size as size_b", "away as away_v", "linked")
     close = f"abs(away_u - away_v) <= {100 - percent} / 100 + 1e-9"
-    rest = u.join(v, "shingle").where("u <> v and (linked or u < v)").where(fits).where(close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    rest = stored(rest.join(found.select("a", "b"), ["a", "b"], "left_anti"), "shingle-rest")
+    across = u.join(v, "shingle").where("u <> v and (linked or u < v)").where(fits).where(close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    rest = stored(apart(pairs.select("a", "b").unionAll(across)).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), "shingle-rest")
     if not rest.isEmpty():
-        found = found.unionAll(measured(rest, "second"))
-    return found.where(near).select("a", "b")
+        linked = linked.unionAll(measured(rest, "second").where(near).select("a", "b"))
+    return linked
 
 
 def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int = 80, sample_rows: int = 20_000, hot: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest id.
 
     Two documents are linked if their fingerprints are within ``max_bits``, or if their sets of ``width``-word
-    shingles have a Jaccard similarity of ``percent`` hundredths or more. Every such link is found: prefixes of
-    the sets meet, and pairs that meet are measured on the whole sets. The samples decide costs only.
+    shingles have a Jaccard similarity of ``percent`` hundredths or more. Every such link is found: fingerprints
+    by the generalised pigeonhole; for the others, prefixes of the sets meet, and pairs that meet are measured on
+    the whole sets. The samples decide costs only.
 
     Rows that share an id but not a text are documents of their own; of those in one group the one with the
     smallest hash of its text stays. A null id stands for the text's hash.
     """
     key = F.coalesce(F.col(id_col).cast("long"), -F.lit(1) - F.pmod(F.xxhash64(text_col), F.lit(1 << 62)))
-    rows = docs.withColumn("key__", key).withColumn("row__", F.xxhash64("key__", text_col))
-    texts = rows.select(F.col("row__").alias("row"), F.col(text_col).cast("string").alias("text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = whole.select("doc", "key", F.xxhash64("key", "text").alias("row"), "text")
+    texts = rows.select("row", "text")
     marked = stored(prefix_rows(texts, width, percent, common_shingles(texts, width, sample_rows)), "simhash-rows", "zstd")
-    near = set_links(marked, texts, width, percent, hot)
     # a fingerprint's node is the least of its sets
     fps = stored(marked.groupBy("fp").agg(F.min("sid").alias("node")), "simhash-distinct")
-    edges = near.unionAll(marked.select("fp", "sid").join(fps, "fp").where("sid <> node").selectExpr("sid as a", "node as b"))
+    edges = marked.select("fp", "sid").join(fps, "fp").where("sid <> node").selectExpr("sid as a", "node as b")
     n = fps.count()
     if n > 1:
         close = links(fps.select("fp"), plan_for(fps, n, max_bits, sample_rows), max_bits, hot)
         a, b = fps.selectExpr("fp as a", "node as u"), fps.selectExpr("fp as b", "node as v")
         edges = edges.unionAll(close.join(a, "a").join(b, "b").selectExpr("u as a", "v as b"))
-    found = connected_components(edges)
+    found = connected_components(set_links(marked, texts, stored(edges, "simhash-edges"), width, percent, hot))
     of_row = marked.select("row", "sid").distinct().join(found.withColumnRenamed("node", "sid"), "sid", "left").select("row", F.coalesce("component", "sid").alias("component"))
-    keys = stored(rows.select("key__", "row__").distinct().join(of_row, F.col("row__") == F.col("row")).select("key__", "row__", "component"), "simhash-components")
-    first = keys.groupBy("component").agg(F.min(F.struct("key__", "row__")).alias("first")).select("first.row__")
-    return rows.join(first, "row__", "left_semi").dropDuplicates(["row__"]).drop("key__", "row__")
+    first = of_row.join(rows.select("key", "row").distinct(), "row").groupBy("component").agg(F.min(F.struct("key", "row")).alias("first")).select("first.*")
+    first = stored(first, "simhash-first")
+    release(docs.sparkSession)
+    return rows.join(first, ["key", "row"], "left_semi").groupBy("key", "row").agg(F.first("doc").alias("doc")).select("doc.*")
