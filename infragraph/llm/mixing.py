@@ -1,19 +1,21 @@
 """Operator 9, mixing sources to target weights, in DataFrame functions only.
 
 The words of each source form one stream, its documents in a pseudorandom order, packed into blocks of
-``block_words``. The mix is a row of output shards of equal numbers of slots. In each shard a source gets
-the whole part of its expected slots, and the slots that remain are drawn from the multinomial over the
-fractions; this keeps each source's expectation and cuts the variance. The k-th slot of a source takes
-block ``perm(k mod blocks)`` of its stream, with a new permutation for each pass over the stream
-(swap-or-not rounds: a bijection on any range, computed row by row), and blocks meet slots by an
-equi-join on (source, block). Every draw is a hash of the seed and the indices, so reruns agree.
+``block_words``. The mix is a row of output shards of equal numbers of slots. In each shard the slots' sources
+are a multinomial draw with the targets as probabilities. Slots that a source draws beyond its target are
+drawn again: they go, in pseudorandom order, to the sources that are short, so that each source ends with the
+slots its target needs. The k-th slot of a source takes block ``perm(k mod blocks)`` of its stream, with a
+new permutation for each pass over the stream (swap-or-not rounds: a bijection on any range, computed row by
+row), and blocks meet slots by an equi-join on (source, block). Every draw is a hash of the seed and the
+indices, so reruns agree.
 
 Running numbers inside a source are two-level prefix sums over hash buckets, as a source may hold a third
-of all rows: no window holds more than a bucket, or one row for each bucket.
+of all rows: no window holds more than a bucket, or one row for each bucket. Only the targets' own windows
+hold a row for each source.
 
 Defined results: a null text has size 0 and a document of size 0 is never taken; a null source is a source
 of its own, last in order; rows may repeat, and equal rows are taken as separate documents; an empty table
-gives an empty result.
+gives an empty result. A source's words taken differ from its target by less than two blocks.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from infragraph.llm.common import word_count
-from infragraph.plans.lineage import stored
+from infragraph.plans.lineage import release, stored
 
 UNIT = 1 << 53
 
@@ -91,44 +93,47 @@ class Mix:
         return self.placed.withColumn("at", F.when(F.col("size") > 0, F.col("off"))).join(got, ["sk", "at"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("at")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, block_words: int = 32, shard_slots: int = 1024, seed: int = 9, bucket_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, block_words: int = 32, shard_slots: int = 1024, seed: int = 9, bucket_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """The mix of all documents; see the module's text.
 
-    A source's slots end at ``cap`` passes over its stream, so no document is taken more than ``cap``
-    times; only draws beyond a capped source's target are lost by this, a vanishing share.
+    A target of at most ``cap`` times a source's size needs at most ``cap`` passes over its stream, so no
+    document is taken more than ``cap`` times.
     """
     sized = stored(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h")),
         "mix-sizes",
     )
-    sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "mix-sources")
-    n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    right = sources.withColumnRenamed("source", "source_")
+    sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    sources = sources.withColumn("blocks", F.expr(f"cast(ceil(source_size / {block_words}) as bigint)"))
+    # the last block of a stream is short: a slot holds source_size / blocks words on average
+    sources = stored(sources.withColumn("wanted", F.expr("if(blocks = 0, 0L, cast(round(target * blocks / source_size) as bigint))")), "mix-sources")
+    n = sized.count()
+    right = sources.select(F.col("source").alias("source_"), "sk", "source_size", "target")
     placed = sized.join(right, sized["source"].eqNullSafe(right["source_"])).drop("source_").withColumn("bucket", F.pmod(F.col("h"), F.lit(max(1, math.ceil(n / bucket_rows)))))
     placed = stored(running(placed, ["sk"], "bucket", ["h", "doc_id"], "size", "off").drop("bucket"), "mix-placed")
-    wanted = share * total
-    slots_wanted = math.ceil(wanted / block_words)
-    shards = max(1, math.ceil(slots_wanted / shard_slots))
-    m = math.ceil(slots_wanted / shards)
-    slots = _slots(sources.where("source_size > 0"), docs.sparkSession.range(shards).withColumnRenamed("id", "shard"), shards, m, float(wanted), block_words, cap, seed)
-    return Mix(placed, sources, slots, block_words)
-
-
-def _slots(sources: DataFrame, shard: DataFrame, shards: int, m: int, wanted: float, block_words: int, cap: int, seed: int, cells: int = 1024) -> DataFrame:
-    """Rows (shard, sk, pass, block). Rows made are the slots, plus a row for each source and cell."""
-    s = sources.selectExpr("sk", f"cast(ceil(source_size / {block_words}) as bigint) as blocks", f"target / {wanted!r} * {m} as mean").selectExpr("*", "cast(floor(mean + 1e-9) as bigint) as fixed")
-    s = s.selectExpr("*", "sum(greatest(mean - fixed, 0)) over (order by sk) as hi", f"{m} - sum(fixed) over () as rest").selectExpr(
-        "*", "hi - greatest(mean - fixed, 0) as lo", "max(hi) over () as top"
-    )
-    whole = s.where("fixed > 0").selectExpr("sk", "blocks", "fixed", f"explode(sequence(0, {shards - 1})) as shard").selectExpr("sk", "blocks", "shard", "explode(sequence(shard * fixed, (shard + 1) * fixed - 1)) as k")
-    left = s.where("hi > lo and rest > 0")
-    cell = left.selectExpr("sk", "lo / top as lo", "hi / top as hi", f"explode(sequence(cast(floor(lo / top * {cells}) as int), least({cells - 1}, cast(floor(hi / top * {cells}) as int)))) as cell")
-    one = left.groupBy().agg(F.max("rest").alias("rest"))  # one row
-    draws = shard.join(F.broadcast(one)).selectExpr("shard", "explode(sequence(1, rest)) as j").withColumn("u", unit(F.lit(seed), F.col("shard"), F.col("j"))).withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
-    drawn = draws.join(cell, "cell").where("lo <= u and (u < hi)").groupBy("sk", "shard").agg(F.count(F.lit(1)).alias("n"))
-    counted = running(drawn.withColumn("bucket", F.expr("shard div 4096")), ["sk"], "bucket", ["shard"], "n", "first")
-    rest = counted.join(s.select("sk", "blocks", "fixed"), "sk").selectExpr("sk", "blocks", "shard", f"explode(sequence({shards} * fixed + first, {shards} * fixed + first + n - 1)) as k")
-    slots = whole.unionByName(rest).where(F.col("k") < cap * F.col("blocks")).selectExpr("shard", "sk", "blocks", "k div blocks as pass", "k % blocks as i")
+    return Mix(placed, sources, _slots(sources, shard_slots, seed), block_words)
+
+
+def _slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """Rows (shard, sk, pass, block): ``wanted`` slots of each source."""
+    spark = sources.sparkSession
+    n, total = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("wanted"), F.lit(0))).first()
+    # a draw looks for its source among those that its cell of the unit interval meets
+    cells = 1 << max(10, (4 * n).bit_length())
+    upto = sources.where("wanted > 0").selectExpr("sk", f"sum(wanted) over (order by sk) / {max(1, total)}D as hi", f"(sum(wanted) over (order by sk) - wanted) / {max(1, total)}D as lo")
+    cell = upto.selectExpr("sk", "lo", "hi", f"explode(sequence(cast(floor(lo * {cells}) as int), least({cells - 1}, cast(floor(hi * {cells}) as int)))) as cell")
+    draws = spark.range(total).selectExpr(f"id div {shard_slots} as shard", f"id % {shard_slots} as j").withColumn("u", unit(F.lit(seed), F.col("shard"), F.col("j"))).withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
+    drawn = draws.join(cell, "cell").where("lo <= u and u < hi").groupBy("sk", "shard").agg(F.count(F.lit(1)).alias("n"))
+    counted = stored(running(drawn.withColumn("bucket", F.expr("shard div 256")), ["sk"], "bucket", ["shard"], "n", "first").select("sk", "shard", "first", "n"), "mix-drawn")
+    got = sources.join(counted.groupBy("sk").agg(F.sum("n").alias("got")), "sk", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    got = stored(got.selectExpr("sk", "blocks", "wanted", "got", "sum(greatest(got - wanted, 0)) over (order by sk) - greatest(got - wanted, 0) as over_", "sum(greatest(wanted - got, 0)) over (order by sk) - greatest(wanted - got, 0) as short_"), "mix-got")
+    beyond = int(got.agg(F.coalesce(F.sum(F.greatest(F.col("got") - F.col("wanted"), F.lit(0))), F.lit(0))).first()[0])
+    # few rows make many slots, which the number of partitions spreads
+    spread = counted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).join(got, "sk").selectExpr("*", "explode(sequence(first, first + n - 1)) as k")
+    kept = spread.where("k < wanted").select("shard", "sk", "blocks", "k")
+    again = spread.where("k >= wanted").selectExpr("shard", "over_ + k - wanted as e", f"{max(1, beyond)}L as size").select("shard", permuted("e", "size", ["size"], seed).alias("at"))
+    open_ = got.where("wanted > got").selectExpr("sk", "blocks", "got", "short_", "explode(sequence(0, wanted - got - 1)) as i").selectExpr("sk", "blocks", "got + i as k", "short_ + i as at")
+    slots = kept.unionByName(again.join(open_, "at").select("shard", "sk", "blocks", "k")).selectExpr("shard", "sk", "blocks", "k div blocks as pass", "k % blocks as i")
     return slots.select("shard", "sk", "pass", permuted("i", "blocks", ["sk", "pass"], seed).alias("block"))
 
 
@@ -144,9 +149,9 @@ def mixed_documents(docs: DataFrame, seed: int = 9, id_col: str = "doc_id", text
     probability of the remainder, by a hash of the seed and the row; equal rows share their words evenly.
     """
     taken = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, **options).taken()
-    of_row = taken.where("taken > 0").groupBy("h").agg((F.sum("taken") / F.sum("size")).alias("times_")).withColumnRenamed("h", "h_")
-    rows = docs.withColumn("h__", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    joined = rows.join(of_row, F.col("h__") == F.col("h_"))
-    copies = F.floor("times_") + (unit(F.lit(seed), F.col("h__"), F.lit("copies")) < F.col("times_") - F.floor("times_")).cast("long")
-    out = joined.withColumn("copies__", copies).where("copies__ > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    of_row = stored(taken.where("size > 0").groupBy("h").agg((F.sum("taken") / F.sum("size")).alias("times")), "mix-times")
+    release(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
+    copies = F.floor("times") + (unit(F.lit(seed), F.col("h"), F.lit("copies")) < F.col("times") - F.floor("times")).cast("long")
+    out = rows.join(of_row, "h").withColumn("copies", copies).where("copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

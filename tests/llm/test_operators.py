@@ -496,6 +496,26 @@ def test_token_counts_and_cache(hard, empty, tmp_path, name):
 # 9 ------------------------------------------------------------------------------------------------
 
 
+def spark_xxhash(*values):
+    """Spark's xxhash64 of ints (32 bits) given as (x,) and longs."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True), h)
+    return h
+
+
+def plain_permuted(x, size, keys, seed):
+    """Swap-or-not in plain Python."""
+    for r in range(1, 13):
+        k = spark_xxhash((seed,), *keys, (r,))
+        p = ((k - (1 << 64) if k >> 63 else k) % size - x) % size
+        if spark_xxhash((seed,), *keys, (r,), max(x, p)) & 1:
+            x = p
+    return x
+
+
 def test_mixing(spark, hard, empty):
     from infragraph.llm.mixing import mix_report, mix_sources, mixed_documents, permuted
 
@@ -503,9 +523,8 @@ def test_mixing(spark, hard, empty):
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t.encode().split())) for i, t in texts_of(hard))
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
     assert sorted(map(str, got)) == sorted(map(str, rows_of(mix_report(hard.repartition(3), block_words=8))))
-    taken = sum(r["taken"] for r in got)
-    targets = sum(r["target"] for r in mix_sources(hard).sources.collect())
-    assert abs(taken - targets) < 0.1 * targets and abs(targets - 1.5 * sum(r["size"] for r in got)) < 1e-6
+    targets = {r["source"]: r["target"] for r in mix_sources(hard).sources.collect()}
+    assert abs(sum(targets.values()) - 1.5 * sum(r["size"] for r in got)) < 1e-6
     for n in (1, 2, 7, 100):
         turned = spark.range(n).selectExpr("id", f"{n} as n", "3 as s").select(permuted("id", "n", ["s"], 1).alias("p")).collect()
         assert sorted(r["p"] for r in turned) == list(range(n))
@@ -514,6 +533,54 @@ def test_mixing(spark, hard, empty):
     assert mixed.columns == hard.columns and mixed.count() > 0
 
 
+def test_mixing_recomputed(spark):
+    """Draws, redraws, permutations and the words of each document, in plain Python."""
+    from infragraph.llm.mixing import mix_sources
+
+    rng = random.Random(3)
+    block, shard, seed = 4, 16, 9
+    docs = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 30))), rng.choice(["a", "b", "b", "c", "d", None])) for i in range(150)]
+    mix = mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string"), block_words=block, shard_slots=shard)
+    rows = [r.asDict() for r in mix.taken().collect()]
+    sources = sorted((r.asDict() for r in mix.sources.collect()), key=lambda r: r["sk"])
+    assert [r["source"] for r in sources] == ["a", "b", "c", "d", None]
+    blocks = {r["sk"]: -(-r["source_size"] // block) for r in sources}
+    wanted = {r["sk"]: math.floor(r["target"] * blocks[r["sk"]] / r["source_size"] + 0.5) for r in sources}
+    total = sum(wanted.values())
+    got, excess = Counter(), []
+    used = Counter()
+
+    def use(sk, k):
+        turn, i = divmod(k, blocks[sk])
+        used[sk, plain_permuted(i, blocks[sk], ((sk,), turn), seed)] += 1
+
+    for at in range(total):
+        u = (spark_xxhash((seed,), at // shard, at % shard) >> 11) / (1 << 53)
+        low = 0
+        for sk, w in sorted(wanted.items()):
+            if low / total <= u < (low + w) / total:
+                got[sk] += 1
+                break
+            low += w
+    for sk in sorted(wanted):
+        for k in range(got[sk]):
+            if k < wanted[sk]:
+                use(sk, k)
+            else:
+                excess.append((sk, k))
+    missing = [(sk, k) for sk in sorted(wanted) for k in range(got[sk], wanted[sk])]
+    assert len(missing) == len(excess) > 0
+    for e in range(len(excess)):
+        use(*missing[plain_permuted(e, len(excess), (len(excess),), seed)])
+    by_source = Counter()
+    for r in rows:
+        words = sum(used[r["sk"], x // block] for x in range(r["off"], r["off"] + r["size"]))
+        assert r["taken"] == words
+        by_source[r["sk"]] += r["taken"]
+    for r in sources:
+        assert abs(by_source[r["sk"]] - r["target"]) < 2 * block
+
+
 def test_source_targets(spark):
     from infragraph.llm.mixing import source_targets
 
