@@ -1,8 +1,9 @@
 """Operator 10, quality rules: a short-circuit cascade, in DataFrame functions only.
 
-``cascade`` takes rules (a rejecting condition each), measures on a bounded sample what each costs and how
-much it rejects, and tries them in the order of rejections per cost: one CASE expression whose later
-branches run only for rows that no earlier one rejected. The order changes the work, never the verdict.
+Each rule has a rejecting condition and a cost in operations: the characters that it scans, or 1 for a
+comparison of numbers at hand. On a bounded sample the next rule is always the one that rejects most of the
+rows left per cost. ``cascade`` tries the rules in that order: one CASE expression whose later branches run
+only for rows that no earlier one rejected. The order changes the work, never the verdict.
 
 Defined results: a null text is the empty text (no words, so it fails); all counts are of whole texts;
 null or repeated ids are kept row by row; an empty table gives an empty result.
@@ -10,33 +11,38 @@ null or repeated ids are kept row by row; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from infragraph.llm.common import GAP
-from infragraph.plans.lineage import cut
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A named condition on the columns of ``measured``; a row for which it is true is rejected."""
+    """A named condition on the columns of ``measured``; a row for which it is true is rejected. ``scans``: it reads the text."""
 
     name: str
     reject: Column
+    scans: bool = False
+
+    @property
+    def cost(self) -> Column:
+        return F.length("text_") + 1 if self.scans else F.lit(1)
 
 
 @dataclass(frozen=True)
 class Estimate:
+    """Mean operations a row, and the share that the rule rejects of the sample's rows that come to it."""
+
     name: str
-    seconds: float
+    cost: float
     rejected: float
 
     @property
     def gain(self) -> float:
-        return self.rejected / max(self.seconds, 1e-9)
+        return self.rejected / self.cost
 
 
 #: Limits of the rules, fixed values.
@@ -49,9 +55,10 @@ def default_rules() -> list[Rule]:
         Rule("mean_word_chars", (F.col("word_chars") < MEAN_WORD_CHARS[0] * F.col("n_words")) | (F.col("word_chars") > MEAN_WORD_CHARS[1] * F.col("n_words"))),
         Rule("symbols", F.col("n_symbols") > SYMBOLS_PER_WORD * F.col("n_words")),
         Rule("dup_lines", F.col("n_dup_lines") > DUP_LINES * lines),
-        Rule("letter_words", F.regexp_count("text_", F.lit(r"[^\x20\x09-\x0D\p{L}]*\p{L}[^\x20\x09-\x0D]*")) < LETTER_WORDS * F.col("n_words")),
-        Rule("ellipsis_lines", F.regexp_count("text_", F.lit(r"(\.\.\.|…)(\n|\z)")) > ELLIPSIS_LINES * lines),
-        Rule("bullet_lines", F.regexp_count("text_", F.lit(r"(\A|\n)[ \t]*[-*•]")) > BULLET_LINES * lines),
+        # a match starts at a word's start only and never goes back, so a long run without letters is read once
+        Rule("letter_words", F.regexp_count("text_", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}")) < LETTER_WORDS * F.col("n_words"), scans=True),
+        Rule("ellipsis_lines", F.regexp_count("text_", F.lit(r"(\.\.\.|…)(\n|\z)")) > ELLIPSIS_LINES * lines, scans=True),
+        Rule("bullet_lines", F.regexp_count("text_", F.lit(r"(\A|\n)[ \t]*+[-*•]")) > BULLET_LINES * lines, scans=True),
     ]
 
 
@@ -96,26 +103,27 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def estimate(rows: DataFrame, rules: list[Rule], sample_rows: int = 400) -> list[Estimate]:
-    """Cost and rejected share of each rule on at most ``sample_rows`` rows, best first."""
-    sample = cut(rows.limit(sample_rows))
-    empty, n = _seconds(sample, F.lit(False))
-    out = []
-    for rule in rules:
-        seconds, rejected = _seconds(sample, rule.reject)
-        out.append(Estimate(rule.name, max(seconds - empty, 1e-4), rejected / max(n, 1)))
-    return sorted(out, key=lambda e: (-e.gain, e.seconds))
+def estimate(sample: DataFrame, rules: list[Rule]) -> list[Estimate]:
+    """The rules in the cascade's order, from a bounded ``sample`` of the rows of ``measured``.
+
+    The driver sees a row for each combination of verdicts that occurs in the sample.
+    """
+    verdicts = [F.coalesce(r.reject, F.lit(False)).alias(f"v{i}") for i, r in enumerate(rules)]
+    costs = [r.cost.cast("double").alias(f"c{i}") for i, r in enumerate(rules)]
+    keys = [f"v{i}" for i in range(len(rules))]
+    left = [r.asDict() for r in sample.select(*verdicts, *costs).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(rules)))).collect()]
+    out, todo = [], list(range(len(rules)))
+    while todo:
+        n = sum(r["n"] for r in left)
 
+        def tried(i: int, n=n) -> Estimate:
+            return Estimate(rules[i].name, sum(r[f"c{i}"] for r in left) / n if n else 1.0, sum(r["n"] for r in left if r[f"v{i}"]) / n if n else 0.0)
 
-def _seconds(sample: DataFrame, condition: Column) -> tuple[float, int]:
-    """The shorter of two runs, after code generation; and the rows that meet the condition (all, if it is constant)."""
-    counted = sample.agg(F.count(F.lit(1)).alias("n"), F.count_if(condition).alias("hit"))
-    best, row = float("inf"), None
-    for _ in range(2):
-        began = time.perf_counter()
-        row = counted.first()
-        best = min(best, time.perf_counter() - began)
-    return best, row["n"] if str(condition) == str(F.lit(False)) else row["hit"]
+        best = max(todo, key=lambda i: (tried(i).gain, -tried(i).cost, -i))
+        out.append(tried(best))
+        todo.remove(best)
+        left = [r for r in left if not r[f"v{best}"]]
+    return out
 
 
 def cascade(rows: DataFrame, rules: list[Rule], order: list[str] | None = None) -> DataFrame:
@@ -130,12 +138,14 @@ def cascade(rows: DataFrame, rules: list[Rule], order: list[str] | None = None)
 def quality(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
 
-    The sample only orders the rules; it is bounded by ``sample_rows`` and no verdict depends on it.
+    About ``sample_rows`` rows, drawn from the whole table, only order the rules; no verdict depends on them.
     """
-    rules = rules or default_rules()
-    first = measured(docs.select(id_col, text_col).limit(sample_rows), id_col, text_col)
-    order = [e.name for e in estimate(first, rules, sample_rows)]
-    rows = cascade(measured(docs, id_col, text_col), [Rule("base", F.col("base_failed")), *rules], ["base", *order])
+    rules = [Rule("base", F.col("base_failed")), *(rules or default_rules())]
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = docs.select(id_col, text_col)
+    sample = sample.sample(share, seed=10) if share < 1 else sample
+    order = [e.name for e in estimate(measured(sample, id_col, text_col), rules)]
+    rows = cascade(measured(docs, id_col, text_col), rules, order)
     kept = F.col("rejected_by").isNull()
     return rows.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 

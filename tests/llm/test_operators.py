@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -615,6 +616,25 @@ def test_quality(hard, empty):
     assert quality(empty).count() == 0
 
 
+def test_quality_of_long_runs(spark):
+    """Runs without a letter, of which one word would be tried from each of its places, are read once."""
+    from infragraph.llm.quality import quality
+
+    rows = [(1, "7" * 400_000), (2, "- " + "7" * 200_000 + "\n" + " " * 200_000), (3, "=" * 100_000 + "x " + "word " * 60)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["n_words"], r["kept"]) for r in quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, False), 2: (2, False), 3: (61, False)} and time.perf_counter() - began < 60
+
+
+def test_quality_order(spark):
+    from infragraph.llm.quality import Rule, estimate
+
+    rows = spark.range(100).selectExpr("id", "repeat('x', 9) as text_")
+    rules = [Rule("few", F.col("id") < 10), Rule("most", F.col("id") < 60, scans=True), Rule("same", F.col("id") < 8), Rule("rest", F.col("id") >= 60)]
+    got = [(e.name, e.cost, round(e.rejected, 4)) for e in estimate(rows, rules)]
+    assert got == [("rest", 1.0, 0.4), ("few", 1.0, 0.1667), ("most", 10.0, 1.0), ("same", 1.0, 0.0)]
+
+
 def test_folds(spark):
     from infragraph.llm.common import fold
 
