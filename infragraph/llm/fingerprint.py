@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -94,34 +96,84 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.minimum(difference(a, b), REACH) / REACH
 
 
-def fingerprint_edits(docs: DataFrame, rows_per_part: int = 20_000, max_parts: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of rows in the order of keys: ``bounds`` cut the keys, ``inner`` the texts of a frequent key.
+
+    A range holds the keys above one bound up to the next, or of one frequent key the texts whose first seven
+    bytes lie between two inner bounds. Ranges are numbered from 0; the row order goes from the last to the first.
+    """
+
+    bounds: np.ndarray
+    inner: dict[float, np.ndarray]
+
+    @property
+    def first(self) -> np.ndarray:
+        """The lowest range number for each place among the bounds; the last entry is the number of ranges."""
+        size = np.ones(len(self.bounds) + 1, np.int64)
+        for key, cuts in self.inner.items():
+            size[np.searchsorted(self.bounds, key)] = len(cuts) + 1
+        return np.r_[0, np.cumsum(size)]
+
+    @property
+    def count(self) -> int:
+        return int(self.first[-1])
+
+    def of(self, key: np.ndarray, head: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.bounds, key)
+        out = self.first[place]
+        for frequent, cuts in self.inner.items():
+            own = key == frequent
+            out[own] += len(cuts) - np.searchsorted(cuts, head[own])
+        return out
+
+
+def find_ranges(keys: DataFrame, parts: int) -> Ranges:
+    """About ``parts`` ranges of like numbers of rows for rows (key, head); the driver sees bounds only.
+
+    A key on which several quantiles fall holds more than a range; it gets ranges of its own, by ``head``.
+    """
+    if parts < 2:
+        return Ranges(np.zeros(0), {})
+    cuts = [float(x) for x in keys.approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts)]
+    hot = {x: n for x, n in Counter(cuts).items() if n > 1}
+    bounds = sorted(set(cuts) | {float(np.nextafter(x, -np.inf)) for x in hot})
+    inner = {}
+    for x, n in hot.items():
+        found = keys.where(F.col("key").cast("double") == x).approxQuantile("head", [i / (n + 1) for i in range(1, n + 1)], 0.25 / (n + 1))
+        inner[x] = np.array(sorted(set(found)))
+    return Ranges(np.array(bounds), inner)
+
+
+def fingerprint_edits(docs: DataFrame, part_bytes: int = 8 << 20, max_parts: int = 32_768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last half comes from the next document.
 
     The next document is the one after it by descending id, equal ids by text, null ids last; after the
-    last comes the first; a lone document follows itself. Texts are shuffled once, into ranges of ids:
-    bounds come from the id column alone (at most ``max_parts``), and the first row of each range also goes
-    to the range before, so that no range needs another. Nothing but bounds reaches the driver.
+    last comes the first; a lone document follows itself. Texts are shuffled once, into ranges of about
+    ``part_bytes``, a task each: bounds come from the ids and, for an id of very many rows, from the first
+    bytes of its texts. The first row of each range also goes to the range before, so that no range needs
+    another. Nothing but bounds reaches the driver, for at most about ``max_parts`` ranges; a larger corpus has
+    longer ranges, which are sorted with spilling and streamed.
     """
     base = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    n = base.select("key").count()
-    parts = max(1, min(max_parts, n // rows_per_part))
-    bounds = np.array(sorted(set(base.select("key").approxQuantile("key", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else [], np.float64)
+    base = base.withColumn("head", F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double"))
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = find_ranges(base.select("key", "head"), max(1, min(max_parts, int(size // part_bytes))))
 
     @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        # range r holds bounds[r-1] < key <= bounds[r]; ranges of larger keys come first
-        return pd.Series(np.searchsorted(bounds, key.to_numpy().astype(np.float64)).astype(np.int32))
+    def range_of(key: pd.Series, head: pd.Series) -> pd.Series:
+        return pd.Series(ranges.of(key.to_numpy().astype(np.float64), head.to_numpy()).astype(np.int32))
 
-    placed = base.withColumn("part", range_of("key"))
+    placed = base.withColumn("part", range_of("key", "head")).drop("head")
     heads = _heads(placed, docs.sparkSession)
     marked = placed.join(F.broadcast(heads), ["part", "key"], "left")
     is_head = F.col("head").isNotNull() & (F.sha2(F.col("text").cast("binary"), 256) == F.col("head"))
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("extra"))
     also = F.struct(F.col("before").alias("part"), F.lit(1).alias("extra"))
     rows = marked.select("id", "key", "text", F.explode(F.when(is_head, F.array(own, also)).otherwise(F.array(own))).alias("to"))
-    dealt = rows.select("id", "key", "text", "to.part", "to.extra").repartition(parts, "part").sortWithinPartitions("part", "extra", F.desc("key"), "text")
+    dealt = rows.select("id", "key", "text", "to.part", "to.extra").repartitionById(ranges.count, "part").sortWithinPartitions("part", "extra", F.desc("key"), "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.select("id", "text", "part", "extra").mapInArrow(_edited, schema).withColumnRenamed("doc_id", id_col)
 
@@ -129,7 +181,7 @@ def fingerprint_edits(docs: DataFrame, rows_per_part: int = 20_000, max_parts: i
 def _heads(placed: DataFrame, spark: SparkSession) -> DataFrame:
     """For each range its first row (key and digest of the text) and the range before, which that row also goes to.
 
-    One row for each range, so at most ``max_parts``: this is what is broadcast.
+    One row for each range: this is what is broadcast.
     """
     top = placed.select("part", "key").groupBy("part").agg(F.max("key").alias("key"))
     first = placed.join(F.broadcast(top), ["part", "key"]).groupBy("part", "key").agg(F.min("text").alias("text"))

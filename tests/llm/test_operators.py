@@ -264,22 +264,75 @@ def test_every_line_class_keeps_a_line(spark):
 # 4 ------------------------------------------------------------------------------------------------
 
 
-def test_fingerprints(hard, empty):
-    from infragraph.llm.fingerprint import digest, fingerprint_edits, likeness
-
-    docs = sorted(texts_of(hard), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1]))
+def plain_digest(data):
+    """The digest of bytes, loop by loop."""
+    order, state = list(range(256)), 20
+    for i in range(255, 0, -1):
+        state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
+        j = (state >> 33) % (i + 1)
+        order[i], order[j] = order[j], order[i]
+    counts = [0] * 128
+    for i in range(len(data) - 4):
+        for j, k, salt in ((1, 2, 2), (1, 3, 3), (2, 3, 5), (2, 4, 7), (1, 4, 11), (3, 4, 13)):
+            h = order[salt]
+            for x in (data[i], data[i + j], data[i + k]):
+                h = order[h ^ x]
+            counts[h % 128] += 1
+    ranked = sorted(counts)
+    q = ranked[31], ranked[63], ranked[95]
+    out = [hashlib.sha256(data).digest()[0], min(255, round(8 * math.log2(len(data) + 1)))]
+    out.append((100 * q[0] // q[2] % 16 << 4 | 100 * q[1] // q[2] % 16) if q[2] else 0)
+    for i in range(0, 128, 4):
+        out.append(sum(sum(c > x for x in q) << 2 * j for j, c in enumerate(counts[i : i + 4])))
+    return bytes(out)
+
+
+def plain_likeness(a, b):
+    total = int(a[0] != b[0])
+    step = abs(a[1] - b[1])
+    total += step if step <= 1 else 4 * step
+    for x, y in ((a[2] >> 4, b[2] >> 4), (a[2] & 15, b[2] & 15)):
+        step = min(abs(x - y), 16 - abs(x - y))
+        total += step if step <= 1 else 4 * (step - 1)
+    for x, y in zip(a[3:], b[3:], strict=True):
+        for shift in (0, 2, 4, 6):
+            total += (0, 1, 2, 6)[abs((x >> shift & 3) - (y >> shift & 3))]
+    return 1 - min(total, 300) / 300
+
+
+def check_fingerprints(df, part_bytes):
+    from infragraph.llm.fingerprint import fingerprint_edits
+
+    docs = sorted(texts_of(df), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1].encode()))
     want = []
     for k, (i, t) in enumerate(docs):
         after = docs[(k + 1) % len(docs)][1]
         e = (t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()
-        want.append((i, len(t), hashlib.sha256(e).hexdigest(), digest(t.encode()).hex(), digest(e).hex()))
-    for parts in (20_000, 3):
-        got = rows_of(fingerprint_edits(hard, rows_per_part=parts))
-        assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got) == Counter(want)
-        assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+        a, b, c = plain_digest(t.encode()), plain_digest(e), plain_digest(after.encode())
+        want.append((i, len(t), hashlib.sha256(e).hexdigest(), a.hex(), b.hex(), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+    got = rows_of(fingerprint_edits(df, part_bytes=part_bytes))
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == Counter(want)
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 20, 9000])
+def test_fingerprints(hard, empty, part_bytes):
+    from infragraph.llm.fingerprint import fingerprint_edits
+
+    short = hard.withColumn("text", F.substring("text", 1, 4000))
+    check_fingerprints(short, part_bytes)
     assert fingerprint_edits(empty).count() == 0
-    a = np.frombuffer(digest(b"some text to compare"), np.uint8)
-    assert likeness(a, a)[0] == 1
+
+
+def test_fingerprints_of_many_null_ids(spark):
+    from infragraph.llm.fingerprint import find_ranges
+
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else i, "".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_fingerprints(df, 500)
+    keys = spark.createDataFrame([(-(1 << 63), float(i)) for i in range(50)] + [(i, 0.0) for i in range(100)], "key long, head double")
+    found = find_ranges(keys, 9)
+    assert found.inner and found.count > 7
 
 
 # 5 ------------------------------------------------------------------------------------------------
