@@ -531,19 +531,40 @@ def test_repeats(spark, hard, empty, hot):
 # 8 ------------------------------------------------------------------------------------------------
 
 
+def plain_counts(path, texts):
+    """Token counts straight from the library."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return [len(model.encode(t)) for t in texts]
+    import tokenizers
+
+    model = tokenizers.Tokenizer.from_file(path)
+    model.no_truncation()
+    return [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
-def test_token_counts_and_cache(hard, empty, tmp_path, name):
-    from infragraph.llm.token_counts import _counter, count_tokens, read_cache, tokenizer_version
+def test_token_counts_and_cache(spark, hard, empty, tmp_path, name):
+    from infragraph.llm.token_counts import count_tokens, read_cache, tokenizer_version
 
     path, cache = tokenizer_path(name), f"file://{tmp_path}/cache"
-    count = _counter(path)
-    want = Counter((i, len(t.encode()), count([t])[0]) for i, t in texts_of(hard))
+    more = [(30 + i, t) for i, t in enumerate(["a <s> b </s> <unk>", "<|endoftext|> x", "ﬁn ", "tab\there", "a<0x41>", "\u2581a b", " a b", "é", "e\u0301"])]
+    docs = hard.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = texts_of(docs)
+    want = Counter((i, len(t.encode()), n) for (i, t), n in zip(rows, plain_counts(path, [t for _, t in rows]), strict=True))
     for _ in range(2):
-        got = rows_of(count_tokens(hard, path, cache, limit=100))
+        got = rows_of(count_tokens(docs, path, cache, limit=100))
         assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
         assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in got)
-    stored = read_cache(hard.sparkSession, cache, tokenizer_version(path))
-    assert stored.count() == len({t for _, t in texts_of(hard)})
+    known = read_cache(spark, cache, tokenizer_version(path))
+    assert known.count() <= len({t for _, t in rows})
+    # a warm run asks the cache: wrong counts planted there come back, and nothing is added
+    stale = f"file://{tmp_path}/stale"
+    known.selectExpr(f"'{tokenizer_version(path)}' as version", "digest", "n_tokens + 1000 as n_tokens").write.parquet(stale)
+    assert sum(r["n_tokens"] for r in rows_of(count_tokens(docs, path, stale))) == sum(k[2] * c for k, c in want.items()) + 1000 * len(rows)
+    assert read_cache(spark, stale, tokenizer_version(path)).count() == known.count()
     assert count_tokens(empty, path).count() == 0
 
 
