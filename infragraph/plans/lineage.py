@@ -55,8 +55,9 @@ def release(spark: SparkSession) -> None:
 
     Its cleaner acts when the driver collects garbage, which a large heap may put off while disks fill.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round finalises, the second one frees
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:
