@@ -1,19 +1,22 @@
 """Operator 3, line dedup: a segment-partition edit join, in DataFrame functions only.
 
-Two different lines are linked if they are within ``max_edits`` edits (insertions, deletions and
-substitutions of characters) and neither is shorter than ``min_chars``. A line is split into
-``max_edits + 1`` segments, of which any line that near holds one unchanged. So each line is indexed by its
-segments, with its length and the segment's number, and probes the lengths it may meet with only those
-substrings that the edits left and right of a segment leave possible. Pairs that meet are checked by
-character parities (an edit changes two at most) and then by the banded bit-parallel edit distance.
+Two different lines are linked if they are within the edits (insertions, deletions and substitutions of
+characters) that the shorter one allows: one in ``per_edit`` characters, at most ``max_edits``. A line that
+allows t edits is split into t + 1 segments, of which any line that near holds one unchanged. So each line is
+indexed by its segments, with its length and the segment's number, and probes the lengths it may meet with
+only those substrings that the edits left and right of a segment leave possible. Pairs that meet are checked
+by character parities (an edit changes two at most) and then by the banded bit-parallel edit distance.
 
 Equal lines are collapsed first. A segment shared by more than ``hot`` lines is split by content: parity
 masks within ``2 * max_edits`` bits agree in one of ``2 * max_edits + 1`` blocks, so the lines meet by
-(segment, block) instead, which loses no pair. Classes are the connected components of the links.
-
-Defined results: a null text has one empty line, like the empty text; lines shorter than ``min_chars`` form
-classes of equal lines, have no links and are always kept; the first line of a class is the one with the
-smallest (doc_id, line number); a document row that repeats wholly counts as one document.
+(segment, block) instead, which loses no pair. Segments are counted by window; those that a sample of lines
+shows to be frequent are counted by the sample and dealt over many tasks. Classes are the connected
+components of the links.
+
+Defined results: a null text has one empty line, like the empty text; lines of fewer than ``per_edit``
+characters form classes of equal lines; lines shorter than ``min_chars`` are always kept; the first line of a
+class is the one with the smallest (doc_id, line number); a document row that repeats wholly counts as one
+document.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from infragraph.plans.components import connected_components
-from infragraph.plans.lineage import bucketed, stored
+from infragraph.plans.lineage import bucketed, release, stored
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,10 +42,10 @@ def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
     return f"({i - 1} * {base} + greatest(0, {i - 1} - {plain}) + 1)", f"({base} + if({i} > {plain}, 1, 0))"
 
 
-def segment_keys(max_edits: int, min_chars: int) -> Column:
-    """Keys of a ``line`` of ``n`` characters: structs (key, own), ``own`` for its own segments; null where one does not fit."""
-    parts, keys = max_edits + 1, []
-    for gap in range(max_edits + 1):
+def _keys(edits: int, least: int, most: int | None) -> list[str]:
+    """Keys that meet lines of ``least`` to ``most`` characters, which allow ``edits``."""
+    parts, keys = edits + 1, []
+    for gap in range(edits + 1):
         other = f"(n - {gap})"  # the length of the shorter line, whose segments are looked for
         for i in range(1, parts + 1):
             start, size = _segment(other, i, parts)
@@ -50,9 +53,29 @@ def segment_keys(max_edits: int, min_chars: int) -> Column:
             for shift in range(low, high + 1):
                 own = gap == 0 and shift == 0
                 row = f"named_struct('key', xxhash64({other}, {i}, substring(line, {start} + {shift}, {size})), 'own', {str(own).lower()})"
-                fits = f"{other} >= {min_chars} and {start} + {shift} >= 1 and {start} + {shift} + {size} - 1 <= n"
+                fits = f"{other} >= {least} and {start} + {shift} >= 1 and {start} + {shift} + {size} - 1 <= n" + (f" and {other} <= {most}" if most else "")
                 keys.append(f"if({fits}, {row}, null)")
-    return F.expr(f"array({', '.join(keys)})")
+    return keys
+
+
+def segment_keys(max_edits: int, per_edit: int) -> Column:
+    """Keys of a ``line`` of ``n`` characters: structs (key, own), ``own`` for its own segments; null where one does not fit.
+
+    A line of t * per_edit to t * per_edit + t - 1 characters may meet shorter lines that allow fewer edits.
+    """
+    out = "array()"
+    for t in range(1, max_edits + 1):
+        low = t * per_edit
+        own = _keys(t, low, None if t == max_edits else low + per_edit - 1)
+        before = _keys(t - 1, low - per_edit, low - 1) if t > 1 else []
+        at_edge = f"if(n < {low + t}, array({', '.join([*own, *before])}), array({', '.join(own)}))" if before else f"array({', '.join(own)})"
+        out = f"if(n >= {low}, {at_edge}, {out})" if t > 1 else f"array({', '.join(own)})"
+    return F.expr(out)
+
+
+def allowed(a: str, b: str, max_edits: int, per_edit: int) -> Column:
+    """Edits that the shorter of two lines allows."""
+    return F.expr(f"least({max_edits}, length({a}) div {per_edit}, length({b}) div {per_edit})")
 
 
 def parity_mask(line: str) -> Column:
@@ -80,15 +103,31 @@ def banded_distance(a: str, b: str, max_edits: int) -> Column:
     return F.expr(f"transform(array(named_struct('p', split({a}, ''), 'q', split({b}, ''))), x -> {run})[0]")
 
 
-def line_links(lines: DataFrame, max_edits: int = 2, min_chars: int = 24, hot: int = 48) -> DataFrame:
+def _often(distinct: DataFrame, keys: Column, sample_rows: int, least: int = 20) -> DataFrame:
+    """Rows (key, often): frequent segments and their estimated counts, from about ``sample_rows`` lines.
+
+    No more rows than the sample has keys by ``least``, which bounds the broadcast.
+    """
+    share = min(1.0, sample_rows / max(1, distinct.count()))
+    some = distinct.where(F.pmod(F.xxhash64("lid", F.lit("often")), F.lit(1_000_000)) < int(share * 1_000_000))
+    found = some.select(F.explode(keys).alias("k")).where("k is not null").groupBy("k.key").agg(F.count(F.lit(1)).alias("n"))
+    return found.where(F.col("n") >= least).select("key", (F.col("n") / share).cast("long").alias("often"))
+
+
+def line_links(lines: DataFrame, max_edits: int = 2, per_edit: int = 12, hot: int = 48, sample_rows: int = 50_000) -> DataFrame:
     """Rows (a, b) of line ids, a < b: the links between different lines, each once."""
-    long = lines.where(F.length("line") >= min_chars).groupBy("lid").agg(F.first("line").alias("line")).withColumn("n", F.length("line"))
+    long = lines.where(F.length("line") >= per_edit).groupBy("lid").agg(F.first("line").alias("line")).withColumn("n", F.length("line"))
     distinct = bucketed(long, "lid", "lines")
-    keys = distinct.select("lid", F.explode(segment_keys(max_edits, min_chars)).alias("k")).where("k is not null").select("lid", "k.key", "k.own")
+    release(lines.sparkSession)
+    segments = segment_keys(max_edits, per_edit)
+    often = stored(_often(distinct, segments, sample_rows), "line-often")
+    keys = distinct.select("lid", F.explode(segments).alias("k")).where("k is not null").select("lid", "k.key", "k.own")
+    keys = keys.join(F.broadcast(often), "key", "left").withColumn("part", F.when(F.col("often").isNull(), 0).otherwise(F.pmod("lid", 1 + F.shiftright("often", 10))))
     # all that follows is about keys with an indexed line and another line
-    over = "over (partition by key)"
-    met = keys.selectExpr("lid", "key", "own", f"count(1) {over} as n", f"min(lid) {over} <> max(lid) {over} and max(own) {over} as pairs").where("pairs").drop("pairs")
+    over = "over (partition by key, part)"
+    met = keys.selectExpr("lid", "key", "own", f"coalesce(often, count(1) {over}) as n", f"often is not null or min(lid) {over} <> max(lid) {over} and max(own) {over} as pairs").where("pairs").drop("pairs")
     met = stored(met, "line-keys", "zstd")
+    release(lines.sparkSession)
     some = met.select("lid").distinct()
     texts = stored(distinct.join(some, "lid").withColumn("mask", parity_mask("line")), "line-texts", "zstd")
     rows = met.join(texts.select("lid", "mask", F.col("n").alias("chars")), "lid")
@@ -106,17 +145,17 @@ def line_links(lines: DataFrame, max_edits: int = 2, min_chars: int = 24, hot: i
     left = texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"))
     checked = met_pairs.join(left, "a").join(right, "b").where(F.abs(F.length("line_a") - F.length("line_b")) <= max_edits)
-    return checked.where(banded_distance("line_a", "line_b", max_edits) <= max_edits).select("a", "b")
+    return checked.where(banded_distance("line_a", "line_b", max_edits) <= allowed("line_a", "line_b", max_edits, per_edit)).select("a", "b")
 
 
-def line_classes(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, hot: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, max_edits: int = 2, per_edit: int = 12, min_chars: int = 24, hot: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, row, line_no, class_doc_id, class_line_no, n_links, kept), one for each line.
 
     ``n_links`` counts the different lines linked to this one. A line is ``kept`` if it is the first of its
     class or shorter than ``min_chars``.
     """
     lines = lines_of(docs, id_col, text_col)
-    links = stored(line_links(lines, max_edits, min_chars, hot), "line-links")
+    links = stored(line_links(lines, max_edits, per_edit, hot), "line-links")
     found = connected_components(links).select(F.col("node").alias("lid"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count(F.lit(1)).alias("n_links"))
     linked = stored(found.join(degree, "lid"), "line-classes")
@@ -132,18 +171,18 @@ def line_classes(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, hot:
     )
 
 
-def drop_repeated_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, max_edits: int = 2, per_edit: int = 12, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that are not kept, same columns.
 
     What is left of a document stays, however little: it may hold the line for which copies elsewhere were
     removed. A document goes only if nothing but white space is left; documents that lose no line are
     returned as they are.
     """
-    gone = line_classes(docs, max_edits, min_chars, id_col=id_col, text_col=text_col).where(~F.col("kept"))
-    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone_")).select(F.col("row").alias("row_"), F.col("doc_id").alias("id_"), "gone_")
-    rows = docs.withColumn("row__", F.xxhash64(F.col(id_col), F.col(text_col)))
-    joined = rows.join(gone, (F.col("row__") == F.col("row_")) & F.col(id_col).eqNullSafe(F.col("id_")), "left")
-    left = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(gone_, i)), '\\n')")
-    cut = joined.withColumn("left_", F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(left))
-    stays = F.col("gone_").isNull() | F.col("left_").rlike(r"\S")
-    return cut.where(stays).select(*[F.col("left_").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    gone = line_classes(docs, max_edits, per_edit, min_chars, id_col=id_col, text_col=text_col).where(~F.col("kept"))
+    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")).select("row", "doc_id", "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("own_row"))
+    joined = rows.join(gone, (F.col("own_row") == F.col("row")) & F.col("own_id").eqNullSafe(F.col("doc_id")), "left")
+    left = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n')")
+    cut = joined.withColumn("rest", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+    stays = F.col("gone").isNull() | F.col("rest").rlike(r"\S")
+    return cut.where(stays).select(*[F.col("rest").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -221,7 +221,7 @@ def test_line_links(spark, hot):
     from infragraph.llm.line_dedup import line_links, lines_of
 
     rng = random.Random(2)
-    base = ["".join(rng.choice("abcdéf ") for _ in range(rng.randint(24, 34))) for _ in range(25)]
+    base = ["".join(rng.choice("abcdéf ") for _ in range(rng.choice([rng.randint(24, 34), rng.randint(8, 27)]))) for _ in range(40)]
     lines = list(base)
     for x in base * 3:
         b = list(x)
@@ -231,8 +231,21 @@ def test_line_links(spark, hot):
         lines.append("".join(b))
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     ids = {r["line"]: r["lid"] for r in lines_of(df).collect()}
-    want = {tuple(sorted((ids[a], ids[b]))) for a, b in itertools.combinations(sorted(set(lines)), 2) if min(len(a), len(b)) >= 24 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2}
-    assert {(r["a"], r["b"]) for r in line_links(lines_of(df), 2, 24, hot).collect()} == want and want
+    near = {(a, b): edits(a, b) for a, b in itertools.combinations(sorted(set(lines)), 2) if abs(len(a) - len(b)) <= 2}
+    want = {tuple(sorted((ids[a], ids[b]))) for (a, b), d in near.items() if d <= min(2, len(a) // 12, len(b) // 12)}
+    assert {(r["a"], r["b"]) for r in line_links(lines_of(df), 2, 12, hot).collect()} == want
+    assert {min(len(a), len(b)) // 12 for (a, b), d in near.items() if tuple(sorted((ids[a], ids[b]))) in want} == {1, 2}
+
+
+def test_line_links_of_a_frequent_segment(spark):
+    """A segment that the sample shows to be frequent is dealt over several parts."""
+    from infragraph.llm.line_dedup import line_links, lines_of
+
+    lines = [f"a common beginning, then {i:03d}" for i in range(130)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    ids = {r["line"]: r["lid"] for r in lines_of(df).collect()}
+    want = {tuple(sorted((ids[a], ids[b]))) for a, b in itertools.combinations(lines, 2) if edits(a, b) <= 2}
+    assert {(r["a"], r["b"]) for r in line_links(lines_of(df)).collect()} == want
 
 
 def test_line_classes_and_removal(spark, hard, empty):
