@@ -62,16 +62,22 @@ def labels_match(selector: ColumnOrName, labels: ColumnOrName) -> Column:
 
 
 def potential_hosts(text: ColumnOrName) -> Column:
-    """Distinct host names in a text: of URLs, and of bare ``user@host:port/path`` words."""
+    """Distinct host names in a text, in its order and case: of URLs, and of bare ``user@host:port/path`` words.
+
+    A word with several colons stays as it is, as an IPv6 address; brackets around one in a URL go.
+    """
     words = F.filter(F.split(_c(text), r"[ \t\r\n,;]+"), lambda w: w != "")
 
-    def host(word: Column) -> Column:
-        bare = F.trim(word, F.lit("\"'()[]{}<>"))
-        rest = F.when(bare.contains("://"), F.regexp_extract(bare, "://(.*)$", 1)).otherwise(bare)
-        place = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, r"[/?#].*$", ""), r"^.*@", ""), r":\d*$", "")
-        return F.lower(F.trim(place, F.lit(".")))
+    def of_url(word: Column) -> Column:
+        place = F.regexp_replace(F.regexp_extract(word, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), r"^.*@", "")
+        return F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)\](:\d*)?$", 1)).otherwise(F.regexp_extract(place, r"^(.*?)(:\d*)?$", 1))
+
+    def of_word(word: Column) -> Column:
+        place = F.regexp_replace(F.substring_index(F.trim(word, F.lit("\"'()[]{}<>")), "/", 1), r"^[^@]*@", "")
+        return F.when(F.regexp_count(place, F.lit(":")) == 1, F.substring_index(place, ":", 1)).otherwise(place)
 
-    return F.array_distinct(F.filter(F.transform(words, host), lambda h: h.rlike(r"^[\p{L}\p{Nd}_.-]+$")))
+    found = F.transform(words, lambda w: F.trim(F.trim(F.when(w.contains("://"), F.trim(of_url(w), F.lit("\"'()[]{}<>"))).otherwise(of_word(w))), F.lit(".")))
+    return F.array_distinct(F.filter(found, lambda h: h != ""))
 
 
 def image_uses_latest(image: ColumnOrName) -> Column:

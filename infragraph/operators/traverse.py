@@ -1,7 +1,7 @@
 """Graph traversal (T1 to T14): level-by-level joins, many roots at once.
 
-A search keeps only its frontier and the pairs (root, node) it has seen; each level is one equi-join with
-the edges, one anti-join with the seen pairs and one combinable aggregate, and is checkpointed so that the
+A search keeps its frontier and the pairs (root, node) it has seen; each level is one equi-join with the
+edges, one anti-join with the seen pairs and one combinable aggregate, and is checkpointed so that the
 lineage stays short and a lost executor costs one level. An edge "from depends on to".
 """
 
@@ -15,38 +15,60 @@ from infragraph.operators.relational import both_ways
 from infragraph.plans.components import connected_components
 from infragraph.plans.lineage import cut
 
-LEVELS = "root_id string, node_id string, parent_id string, edge_type string, depth int, path array<string>, trail array<struct<edge_type:string,node_id:string>>"
+SEEN_PARTS = 16  # levels after which what was seen is written together
 
 
-def _search(arcs: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Breadth-first over arcs (src, dst, type): the rows of LEVELS, without the roots.
+def _search(arcs: DataFrame, roots: DataFrame, max_depth: int | None = None, ordered: bool = True) -> DataFrame:
+    """Breadth-first over arcs (src, dst, type): (root_id, node_id, parent_id, edge_type, depth, place), without the roots.
 
-    W2: inside a level, nodes come in the order of (their parent's place, edge type, node id). That is the
-    order of the trails of (edge type, node) pairs from the root, so the first discoverer of a node is the
-    smallest trail that reaches it, and no global numbering of a level is needed.
+    W2: inside a level, nodes come in the order of (their parent's place, edge type, node id), and the first
+    discoverer of a node is its parent. Places are numbers that grow in this order: a level is sorted by
+    range, so no root's level is gathered in one task. Without ``ordered`` there is no parent, edge type and
+    place: a level is only made distinct.
     """
-    spark = arcs.sparkSession
-    arcs = cut(arcs.select("src", "dst", "type").distinct())
+    arcs = cut(arcs.select("src", "dst", "type").distinct() if ordered else arcs.select("src", "dst").distinct())
     start = roots.select(F.col("id").alias("root_id")).distinct()
-    empty_trail = F.array().cast("array<struct<edge_type:string,node_id:string>>")
-    front = cut(start.select("root_id", F.col("root_id").alias("node_id"), F.array("root_id").alias("path"), empty_trail.alias("trail")))
-    seen = front.select("root_id", "node_id")
-    out = spark.createDataFrame([], LEVELS)
-    depth = 0
+    columns = ["parent_id", "edge_type", "place"] if ordered else []
+    kinds = {"parent_id": "string", "edge_type": "string", "place": "bigint"}
+    front = cut(start.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("depth"), *[F.lit(0 if c == "place" else None).cast(kinds[c]).alias(c) for c in columns]))
+    seen, out, depth = front, None, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        reached = (
-            front.join(arcs, front["node_id"] == arcs["src"])
-            .select("root_id", F.col("dst").alias("node_id"), F.col("node_id").alias("parent_id"), F.col("type").alias("edge_type"), "path", F.concat("trail", F.array(F.struct(F.col("type").alias("edge_type"), F.col("dst").alias("node_id")))).alias("trail"))
-            .join(seen, ["root_id", "node_id"], "left_anti")
-        )
-        first = reached.groupBy("root_id", "node_id").agg(F.min_by(F.struct("parent_id", "edge_type", "path", "trail"), "trail").alias("m"))
-        front = cut(first.select("root_id", "node_id", F.col("m.parent_id").alias("parent_id"), F.col("m.edge_type").alias("edge_type"), F.concat("m.path", F.array("node_id")).alias("path"), F.col("m.trail").alias("trail")))
+        step = front.select("root_id", F.col("node_id").alias("via"), *(["place"] if ordered else [])).join(arcs, F.col("via") == F.col("src"))
+        if ordered:
+            first = step.groupBy("root_id", F.col("dst").alias("node_id")).agg(F.min(F.struct("place", "type", F.col("via").alias("parent_id"))).alias("m"))
+            first = first.select("root_id", "node_id", F.lit(depth).alias("depth"), "m.parent_id", F.col("m.type").alias("edge_type"), F.col("m.place").alias("before"))
+        else:
+            first = step.select("root_id", F.col("dst").alias("node_id"), F.lit(depth).alias("depth")).distinct()
+        first = first.join(seen.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
+        if ordered:
+            order = ["before", "edge_type", "node_id"]
+            first = first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()).drop("before")
+        front = cut(first)
         if front.isEmpty():
             break
-        seen = seen.unionAll(front.select("root_id", "node_id"))
-        out = out.unionAll(front.select("root_id", "node_id", "parent_id", "edge_type", F.lit(depth).alias("depth"), "path", "trail"))
-    return out
+        out = front if out is None else out.unionAll(front)
+        seen = seen.unionAll(front)
+        if depth % SEEN_PARTS == 0:  # a deep search does not read one part for each level
+            out = cut(out.coalesce(8))
+            seen = out.unionAll(cut(start.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("depth"), *[F.lit(None).cast(kinds[c]).alias(c) for c in columns])))
+    return front.limit(0) if out is None else out
+
+
+def with_paths(rows: DataFrame) -> DataFrame:
+    """``rows`` of an ordered search with ``path``, the nodes from the root on.
+
+    Each row knows its parent; ways upward are joined end to end and so double in length each round.
+    """
+    ways = cut(rows.select("root_id", "node_id", F.when(F.col("parent_id") != F.col("root_id"), F.col("parent_id")).alias("up"), F.array("node_id").alias("way")))
+    done = ways.where("up is null")
+    open_ = ways.where("up is not null")
+    while not open_.isEmpty():
+        above = ways.select("root_id", F.col("node_id").alias("up"), F.col("up").alias("up_"), F.col("way").alias("way_"))
+        ways = cut(open_.join(above, ["root_id", "up"]).select("root_id", "node_id", F.col("up_").alias("up"), F.concat("way_", "way").alias("way")).unionByName(done))
+        done, open_ = ways.where("up is null"), ways.where("up is not null")
+    paths = done.select("root_id", "node_id", F.concat(F.array("root_id"), "way").alias("path"))
+    return rows.join(paths, ["root_id", "node_id"])
 
 
 def _arcs(edges: DataFrame, upstream: bool, edge_types: list[str] | None = None) -> DataFrame:
@@ -55,13 +77,15 @@ def _arcs(edges: DataFrame, upstream: bool, edge_types: list[str] | None = None)
     return e.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "type")
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, roots: DataFrame, edge_types: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
+def blast_radius(nodes: DataFrame, edges: DataFrame, roots: DataFrame, edge_types: list[str] | None = None, max_depth: int | None = None, paths: bool = True) -> DataFrame:
     """(root_id, node_id, parent_id, edge_type, depth, path): all that transitively points to each root.
 
     Roots are a column ``id``; the root itself is left out and cycles are safe. All edge types count,
-    ``correlates_with`` too, unless ``edge_types`` names some (D5).
+    ``correlates_with`` too, unless ``edge_types`` names some (D5). Without ``paths`` only (root_id, node_id,
+    depth) is found, which is all that counting needs.
     """
-    return _search(_arcs(edges, True, edge_types), roots, max_depth).drop("trail")
+    rows = _search(_arcs(edges, True, edge_types), roots, max_depth, ordered=paths)
+    return with_paths(rows).select("root_id", "node_id", "parent_id", "edge_type", "depth", "path") if paths else rows
 
 
 def blast_summary(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -91,7 +115,7 @@ def impact_warnings(rows: DataFrame, nodes: DataFrame, as_of: Column, roots: Dat
 
 def dependency_chain(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
     """T5: what each root depends on, up to ``max_depth`` hops; nothing for a depth of 0 or less."""
-    return _search(_arcs(edges, False), roots, max(0, max_depth)).drop("trail")
+    return with_paths(_search(_arcs(edges, False), roots, max(0, max_depth))).select("root_id", "node_id", "parent_id", "edge_type", "depth", "path")
 
 
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -109,35 +133,49 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     return every
 
 
-def spof(nodes: DataFrame, edges: DataFrame, min_affected: int = 1, limit: int = 20, max_depth: int | None = None) -> DataFrame:
+def spof(nodes: DataFrame, edges: DataFrame, min_affected: int = 1, limit: int = 20, max_depth: int | None = None, lg_k: int = 12) -> DataFrame:
     """(id, affected, by_type) of every node that at least ``min_affected`` others depend on.
 
-    Most affected first, ties by id; a limit of 0 means all. The closure has a row for each pair, so for
-    large dense graphs take ``max_depth`` or ``spof_approx``.
+    Most affected first, ties by id. The first ``limit`` are found by sketches of all nodes: only those whose
+    estimate comes within six standard errors of the last place are searched exactly. A limit of 0 means all,
+    by the closure, which has a row for each pair; so does a ``max_depth``.
     """
-    pairs = closure(edges, max_depth).join(nodes.select(F.col("id").alias("root_id")), "root_id", "left_semi")
-    roots = pairs.select(F.col("root_id").alias("id")).distinct()
+    known = nodes.select("id")
+    if limit and max_depth is None:
+        error = 6 * 1.04 / 2 ** (lg_k / 2)
+        ranked = cut(_reach_sketches(edges, lg_k).join(known, "id", "left_semi"))
+        last = ranked.orderBy(F.desc("affected")).limit(limit).agg(F.min("affected")).first()[0] or 0
+        roots = cut(ranked.where(F.col("affected") * (1 + error) >= last * (1 - error)).select("id"))
+        pairs = _search(_arcs(edges, True), roots, ordered=False)
+    else:
+        pairs = closure(edges, max_depth).join(known.withColumnRenamed("id", "root_id"), "root_id", "left_semi")
+        roots = pairs.select(F.col("root_id").alias("id")).distinct()
     out = blast_summary(pairs, nodes, roots).where(F.col("affected") >= min_affected).withColumnRenamed("root_id", "id").orderBy(F.desc("affected"), "id")
     return out.limit(limit) if limit else out
 
 
-def spof_approx(nodes: DataFrame, edges: DataFrame, min_affected: int = 1, limit: int = 20, lg_k: int = 12, max_rounds: int = 60) -> DataFrame:
-    """(id, affected): the ranking of T6 with a sketch for each node instead of the closure.
+def _reach_sketches(edges: DataFrame, lg_k: int, max_rounds: int | None = None) -> DataFrame:
+    """(id, affected): the estimated number of nodes that transitively point to each node that any points to.
 
-    Each round merges, along the edges, the sketches of all that points to a node; it ends when no estimate
-    changes. Memory and traffic are one sketch of 2^lg_k slots for each edge and round.
+    Each round passes on, along the edges, only the sketches that the round before changed; it ends when none
+    changes. On a cycle a node counts itself, as one more.
     """
     e = cut(edges.select("from_id", "to_id").where("from_id <> to_id").distinct())
-    own = cut(e.groupBy(F.col("to_id").alias("id")).agg(F.hll_sketch_agg("from_id", F.lit(lg_k)).alias("sketch")))
-    before = None
-    for _ in range(max_rounds):
-        passed = e.join(own, e["from_id"] == own["id"]).select(F.col("to_id").alias("id"), "sketch")
-        own = cut(passed.unionAll(own).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch")))
-        now = own.agg(F.sum(F.hll_sketch_estimate("sketch"))).first()[0]
-        if now == before:
+    own = cut(e.groupBy(F.col("to_id").alias("id")).agg(F.hll_sketch_agg("from_id", F.lit(lg_k)).alias("sketch")).select("id", "sketch", F.hll_sketch_estimate("sketch").alias("affected"), F.lit(True).alias("fresh")))
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
+        sent = e.join(own.where("fresh").select(F.col("id").alias("from_id"), "sketch"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.hll_union_agg("sketch").alias("more"))
+        both = own.select("id", "sketch", F.col("affected").alias("before")).join(sent, "id", "left").withColumn("sketch", F.when(F.col("more").isNull(), F.col("sketch")).otherwise(F.hll_union("sketch", "more")))
+        own = cut(both.withColumn("affected", F.hll_sketch_estimate("sketch")).select("id", "sketch", "affected", (F.col("affected") != F.col("before")).alias("fresh")))
+        if own.where("fresh").isEmpty():
             break
-        before = now
-    out = own.join(nodes.select("id"), "id", "left_semi").select("id", F.hll_sketch_estimate("sketch").alias("affected"))
+    return own.select("id", "affected")
+
+
+def spof_approx(nodes: DataFrame, edges: DataFrame, min_affected: int = 1, limit: int = 20, lg_k: int = 12, max_rounds: int | None = None) -> DataFrame:
+    """(id, affected): the ranking of T6 with a sketch of 2^lg_k slots for each node instead of the closure."""
+    out = _reach_sketches(edges, lg_k, max_rounds).join(nodes.select("id"), "id", "left_semi")
     out = out.where(F.col("affected") >= min_affected).orderBy(F.desc("affected"), "id")
     return out.limit(limit) if limit else out
 
@@ -175,7 +213,8 @@ def find_cycles(edges: DataFrame, max_len: int = 50, limit: int = 100) -> DataFr
     """(cycle, length): elementary directed cycles of up to ``max_len`` nodes, smallest id first (D3).
 
     Nodes without a way in or out are trimmed until none is left, then paths grow from each node over larger
-    ids only, so each cycle is found once. ``limit`` keeps the first by (length, cycle); 0 keeps all.
+    ids only, so each cycle is found once. ``limit`` keeps the first by (length, cycle), and paths stop growing
+    once that many cycles of the lengths so far are found; 0 keeps all.
     """
     e = cut(edges.select("from_id", "to_id").distinct())
     size = e.count()
@@ -187,13 +226,16 @@ def find_cycles(edges: DataFrame, max_len: int = 50, limit: int = 100) -> DataFr
         if now == size:
             break
         size = now
-    found = e.where("from_id = to_id").select(F.array("from_id").alias("cycle"))
+    found = cut(e.where("from_id = to_id").select(F.array("from_id").alias("cycle")))
+    n = found.count()
     hop = e.where("from_id <> to_id").select(F.col("from_id").alias("at"), F.col("to_id").alias("next"))
     paths = cut(hop.where("next > at").select(F.array("at", "next").alias("path")))
     length = 2
-    while length <= max_len and not paths.isEmpty():
+    while length <= max_len and (not limit or n < limit) and not paths.isEmpty():
         grown = paths.join(hop, F.element_at("path", -1) == F.col("at"))
-        found = found.unionAll(grown.where(F.col("next") == F.col("path")[0]).select(F.col("path").alias("cycle")))
+        closed = cut(grown.where(F.col("next") == F.col("path")[0]).select(F.col("path").alias("cycle")))
+        n += closed.count()
+        found = found.unionAll(closed)
         paths = cut(grown.where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path")))
         length += 1
     out = found.select(normalize_cycle("cycle").alias("cycle")).distinct().withColumn("length", F.size("cycle")).orderBy("length", "cycle")
@@ -218,9 +260,14 @@ def external_exposure(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> D
     """(root_id, exposed, entry_id, path): the nearest upstream ingress or load balancer of each root."""
     rows = _search(_arcs(edges, True), roots)
     doors = rows.join(nodes.where(F.col("type").isin("ingress", "load_balancer")).select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    near = doors.groupBy("root_id").agg(F.min_by(F.struct("node_id", "path"), F.struct("depth", "trail")).alias("m"))
-    out = roots.select(F.col("id").alias("root_id")).distinct().join(near, "root_id", "left")
-    return out.select("root_id", F.col("m").isNotNull().alias("exposed"), F.col("m.node_id").alias("entry_id"), F.col("m.path").alias("path"))
+    near = cut(doors.groupBy("root_id").agg(F.min_by("node_id", F.struct("depth", "place")).alias("node_id")))
+    # the ways down from the doors that were found, a level a round
+    way = cut(near.select("root_id", F.col("node_id").alias("entry_id"), F.col("node_id").alias("at"), F.array("node_id").alias("path")))
+    parent = rows.select("root_id", F.col("node_id").alias("at"), "parent_id")
+    while not way.where("at <> root_id").isEmpty():
+        way = cut(way.join(parent, ["root_id", "at"], "left").select("root_id", "entry_id", F.coalesce("parent_id", "at").alias("at"), F.when(F.col("parent_id").isNull(), F.col("path")).otherwise(F.concat(F.array("parent_id"), "path")).alias("path")))
+    out = roots.select(F.col("id").alias("root_id")).distinct().join(way, "root_id", "left")
+    return out.select("root_id", F.col("entry_id").isNotNull().alias("exposed"), "entry_id", "path")
 
 
 def focus_upstream(nodes: DataFrame, edges: DataFrame, roots: DataFrame, k: int) -> DataFrame:
@@ -237,5 +284,5 @@ def plan_impact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, action, affected, by_type) of every planned node; creations affect nothing."""
     planned = nodes.where("source = 'terraform-plan'").select("id", F.col("metadata")["plan_action"].alias("action"))
     roots = planned.where(F.col("action").isin("update", "delete", "replace")).select("id")
-    found = blast_summary(blast_radius(nodes, edges, roots), nodes, roots).withColumnRenamed("root_id", "id")
+    found = blast_summary(blast_radius(nodes, edges, roots, paths=False), nodes, roots).withColumnRenamed("root_id", "id")
     return planned.join(found, "id", "left").select("id", "action", F.coalesce("affected", F.lit(0)).alias("affected"), F.coalesce("by_type", F.create_map().cast("map<string,bigint>")).alias("by_type"))

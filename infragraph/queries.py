@@ -213,14 +213,14 @@ BLAST = ", up AS (SELECT id AS root_id, id AS node_id, 0 AS depth FROM nodes WHE
 
 @case(BLAST + " SELECT root_id, node_id, min(depth) AS depth FROM up WHERE node_id <> root_id GROUP BY 1, 2")
 def t1_blast_radius(nodes, edges):
-    return T.blast_radius(nodes, edges, regions(nodes)).select("root_id", "node_id", "depth")
+    return T.blast_radius(nodes, edges, regions(nodes), paths=False).select("root_id", "node_id", "depth")
 
 
 @case(BLAST + """, d AS (SELECT DISTINCT root_id, node_id FROM up WHERE node_id <> root_id), k AS (SELECT root_id, type, count(*) AS n FROM d JOIN nodes ON id = node_id GROUP BY 1, 2)
 SELECT root_id, CAST(sum(n) AS BIGINT) AS affected, string_agg(type || '=' || n, ',' ORDER BY type) AS by_type FROM k GROUP BY 1""")
 def t2_blast_summary(nodes, edges):
     roots = regions(nodes)
-    return T.blast_summary(T.blast_radius(nodes, edges, roots), nodes, roots).select("root_id", "affected", map_text("by_type").alias("by_type"))
+    return T.blast_summary(T.blast_radius(nodes, edges, roots, paths=False), nodes, roots).select("root_id", "affected", map_text("by_type").alias("by_type"))
 
 
 @case(BLAST + ", f AS (SELECT root_id, node_id, min(depth) AS depth FROM up WHERE node_id <> root_id GROUP BY 1, 2) SELECT root_id, depth, count(*) AS n FROM f GROUP BY 1, 2")
@@ -235,7 +235,7 @@ def t3_impact_tree(nodes, edges):
 WHERE type = 'certificate' AND expires_at IS NOT NULL AND trunc((epoch_us(expires_at) - epoch_us(TIMESTAMP '1998-01-01')) / 86400000000) <= 30""")
 def t4_impact_warnings(nodes, edges):
     roots = nodes.where("type = 'certificate'").select("id")
-    return T.impact_warnings(T.blast_radius(nodes, edges, roots), nodes, as_of(), roots)
+    return T.impact_warnings(T.blast_radius(nodes, edges, roots, paths=False), nodes, as_of(), roots)
 
 
 @case(", down AS (SELECT id AS root_id, id AS node_id, 0 AS depth FROM nodes WHERE type = 'ingress' UNION SELECT root_id, to_id, depth + 1 FROM down JOIN edges ON from_id = node_id WHERE depth < 2) SELECT root_id, node_id, min(depth) AS depth FROM down WHERE node_id <> root_id GROUP BY 1, 2")

@@ -11,9 +11,33 @@ from pyspark.sql import functions as F
 from infragraph.functions.scalar import first_non_empty, k8s_service_id, redis_connection_string, sanitize_node_part, split_targets
 from infragraph.sources.documents import MAP, MAPS, Tables, decode_documents, edges_of, first_of, js, last_nodes, merged, nodes_of, pairs, picked, register_parser
 
-#: Variable -> edge type, kind of target, hint.
-HOST_RULES = [(f"{k}_{n}", "depends_on", "host", "database") for k in ("db", "database", "postgres", "mysql") for n in ("host", "hosts")] + [(f"{k}_{n}", "connects_to", "host", "") for k in ("redis", "cache") for n in ("host", "hosts")]
-SERVICE_RULES = [(k, "connects_to", "service", "") for k in "k8s_service k8s_services kubernetes_service kubernetes_services k8s_redis_service k8s_redis_services redis_k8s_service redis_k8s_services kubernetes_redis kubernetes_redis_svc".split()]
+#: Variable, edge type, kind of target, hint.
+HOST_RULES = [
+    ("db_host", "depends_on", "host", "database"),
+    ("db_hosts", "depends_on", "host", "database"),
+    ("database_host", "depends_on", "host", "database"),
+    ("database_hosts", "depends_on", "host", "database"),
+    ("postgres_host", "depends_on", "host", "database"),
+    ("postgres_hosts", "depends_on", "host", "database"),
+    ("mysql_host", "depends_on", "host", "database"),
+    ("mysql_hosts", "depends_on", "host", "database"),
+    ("redis_host", "connects_to", "host", ""),
+    ("redis_hosts", "connects_to", "host", ""),
+    ("cache_host", "connects_to", "host", ""),
+    ("cache_hosts", "connects_to", "host", ""),
+]
+SERVICE_RULES = [
+    ("k8s_service", "connects_to", "service", ""),
+    ("k8s_services", "connects_to", "service", ""),
+    ("kubernetes_service", "connects_to", "service", ""),
+    ("kubernetes_services", "connects_to", "service", ""),
+    ("k8s_redis_service", "connects_to", "service", ""),
+    ("k8s_redis_services", "connects_to", "service", ""),
+    ("redis_k8s_service", "connects_to", "service", ""),
+    ("redis_k8s_services", "connects_to", "service", ""),
+    ("kubernetes_redis", "connects_to", "service", ""),
+    ("kubernetes_redis_svc", "connects_to", "service", ""),
+]
 DOCKER_KEPT = ["name", "image", "state", "restart_policy", "network_mode"]
 
 
