@@ -281,11 +281,6 @@ def t10_reachable_undirected(nodes, edges):
     return T.reachable_undirected(edges, nodes.where("type = 'subnet'").select("id")).groupBy("root_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@case(None)
-def t11_secrets_touched(nodes, edges):
-    return T.secrets_touched(edges, nodes.where("type = 'network'").select("id"))
-
-
 @case("""SELECT 'tf:subnet:' || n_name AS root_id, n_nationkey IN (SELECT s_nationkey FROM supplier) AS exposed, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'k8s:ingress:default/' || n_name END AS entry_id FROM nation""")
 def t12_external_exposure(nodes, edges):
     return T.external_exposure(nodes, edges, nodes.where("type = 'subnet'").select("id")).select("root_id", "exposed", "entry_id")
@@ -548,11 +543,10 @@ def x9_days_until(nodes, edges):
     return nodes.where("expires_at is not null").select("id", days_until("expires_at", as_of()).alias("days"))
 
 
-@direct("SELECT o_orderkey, CASE WHEN o_custkey <= o_orderkey AND o_custkey <= 700 THEN o_custkey || ',' || o_orderkey || ',700' END AS turned FROM orders WHERE o_custkey <= o_orderkey AND o_custkey <= 700 AND o_custkey > 99 AND o_custkey < 700 AND o_orderkey BETWEEN 100 AND 999 AND o_orderkey <> o_custkey")
+@direct("""SELECT o_orderkey, array_to_string(list_concat(p[k:], p[:k - 1]), ',') AS turned FROM (SELECT o_orderkey, p, list_position(p, list_min(p)) AS k FROM (SELECT o_orderkey, ['c7', 'c' || o_custkey, 'c' || o_orderkey] AS p FROM orders))""")
 def x4_normalize_cycle(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey <= o_orderkey and o_custkey < 700 and o_custkey > 99 and o_orderkey between 100 and 999 and o_orderkey <> o_custkey")
-    ring = F.array(F.lit("700"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))
-    return o.select("o_orderkey", F.array_join(normalize_cycle(ring), ",").alias("turned"))
+    ring = F.array(F.lit("c7"), F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("c"), "o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(normalize_cycle(ring), ",").alias("turned"))
 
 
 @direct("SELECT user_id AS id, max_by(event_type, (ts, event_type, value)) AS event_type, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1")
