@@ -6,9 +6,9 @@ follow method C: in a context seen ``t`` times with ``d`` distinct followers, a
 byte shorter; a context never seen costs nothing to leave; below order 0 all 256 bytes are alike. The
 statistics are frozen before scoring. A text goes to the language with the shortest code length.
 
-The model is a bounded object: it is fitted on at most ``per_language`` rows of each of at most
-``max_languages`` languages, the rows with the smallest hashes of the learning fold, so that its size
-follows these parameters and not the corpus.
+The model is a bounded object: it is fitted on at most ``per_language`` rows of each language, fewer if there
+are very many languages, the rows with the smallest hashes of the learning fold, so that its size follows
+these parameters and the number of languages and not the corpus.
 """
 
 from __future__ import annotations
@@ -122,8 +122,8 @@ class Ppm:
                 leave = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
                 own = -np.log2(n / (total + distinct)[of])
             shorter = model.bits(pairs & np.uint64((1 << 8 * k) - 1), k - 1)
-            model.costs.append(np.where(n > 0, own, leave[of] + shorter).astype(np.float32))
-            model.leave.append(leave.astype(np.float32))
+            model.costs.append(np.where(n > 0, own, leave[of] + shorter))
+            model.leave.append(leave)
             model.seen.append(Table(pairs))
             model.contexts.append(Table(ctx))
         return model
@@ -131,15 +131,15 @@ class Ppm:
     def bits(self, keys: np.ndarray, k: int) -> np.ndarray:
         """Bits of each key's last byte after its ``k`` bytes of context, a column for each language."""
         if k < 0:
-            return np.full((len(keys), len(self.languages)), 8, np.float32)
+            return np.full((len(keys), len(self.languages)), 8.0)
         row = self.seen[k].find(keys)
-        out = self.costs[k][row] if len(self.costs[k]) else np.zeros((len(keys), len(self.languages)), np.float32)
+        out = self.costs[k][row] if len(self.costs[k]) else np.zeros((len(keys), len(self.languages)))
         if len(miss := np.flatnonzero(row < 0)):
             rest = keys[miss]
             ctx = self.contexts[k].find(rest >> np.uint64(8))
             low = self.bits(rest & np.uint64((1 << 8 * k) - 1), k - 1)
             if len(self.leave[k]):
-                low = low + np.where((ctx >= 0)[:, None], self.leave[k][ctx], np.float32(0))
+                low = low + np.where((ctx >= 0)[:, None], self.leave[k][ctx], 0.0)
             out[miss] = low
         return out
 
@@ -160,20 +160,24 @@ class Ppm:
         return out
 
 
-def fit_language_model(docs: DataFrame, learn: Column, per_language: int = 150, max_languages: int = 64, max_chars: int = 50_000, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Ppm:
+def fit_language_model(docs: DataFrame, learn: Column, per_language: int = 150, most_rows: int = 9600, max_chars: int = 50_000, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Ppm:
     """The frozen model from a bounded sample of the rows where ``learn`` holds.
 
-    At most ``per_language`` rows of each of the ``max_languages`` most frequent languages are read, whole
-    texts of up to ``max_chars`` characters: the rows with the smallest hashes, so reruns agree.
+    At most ``per_language`` rows of each language are read, or ``most_rows`` in all, but 4 of each language at
+    least: whole texts of up to ``max_chars`` characters, the rows with the smallest hashes, so reruns agree. A
+    language of longer texts only is learned from its shortest one.
     """
-    rows = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    long = F.length("text") > max_chars
+    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count_if(~long).alias("n"), F.min(F.length("text")).alias("least")).collect()}
     if not counts:
         return Ppm.fit({}, order)
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, (per_language * 2 + 50) / n))])
+    per_language = min(per_language, max(4, most_rows // len(counts)))
+    share = F.create_map(*[F.lit(x) for name, r in counts.items() for x in (name, min(1.0, (per_language * 2 + 50) / max(1, r["n"])))])
+    alone = F.create_map(*[F.lit(x) for name, r in counts.items() for x in (name, 0 if r["n"] else r["least"])])
     unit = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) / F.lit(1 << 30)
-    few = rows.where((unit < share[F.col("lang")]) & (F.length("text").between(1, max_chars)))
-    ranked = few.selectExpr("*", "row_number() over (partition by lang order by xxhash64(id, 'fit'), id, text) as place").where(F.col("place") <= per_language)
+    few = rows.where((~long & (unit < share[F.col("lang")])) | (F.length("text") == alone[F.col("lang")]))
+    ranked = few.selectExpr("*", "row_number() over (partition by lang order by xxhash64(id, 'fit'), id, text) as place").where(F.col("place") <= F.when(long, 1).otherwise(per_language))
     texts: dict[str, list[bytes]] = {}
     for r in sorted(ranked.select("lang", "place", "text").collect(), key=lambda r: (r["lang"], r["place"])):
         texts.setdefault(r["lang"], []).append(r["text"].encode())

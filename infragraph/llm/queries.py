@@ -20,11 +20,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each whole text, each decoded again and held against the text."""
+    """Two sampled segmentations of each whole text as piece ids, each decoded again and held against the text."""
     from infragraph.llm.sampling import encode_samples
 
-    found = encode_samples(documents(spark, sf_dir), tokenizer_path(), k=2, keep_ids=False)
-    return found.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids_hash", "round_trip")
+    found = encode_samples(documents(spark, sf_dir), tokenizer_path(), k=2)
+    return found.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids_hash", "round_trip", "ids")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,9 @@ def mixed(z: np.ndarray) -> np.ndarray:
 def uniform(keys: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in (0, 1) from row keys, places and a salt."""
     with np.errstate(over="ignore"):
-        z = mixed(keys + (place.astype(np.uint64) * np.uint64(64) + np.uint64(salt)) * GOLD)
+        if salt >= 64:
+            keys = mixed(keys + np.uint64(salt >> 6) * GOLD)
+        z = mixed(keys + (place.astype(np.uint64) * np.uint64(64) + np.uint64(salt & 63)) * GOLD)
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
@@ -377,8 +379,6 @@ def encode_samples(docs: DataFrame, model_path: str, k: int = 2, seed: int = 1,
     """
     import xxhash
 
-    if k > 15:
-        raise ValueError("k is at most 15")  # salts of a place
     columns = [id_col, *(c.split()[0] for c in SAMPLES.split(", ")), *(["ids"] if keep_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,6 +75,8 @@ def test_sampling_round_trip_and_distinct(hard, empty):
     again = {(r["doc_id"], r["sample"], tuple(r["ids"])) for r in rows_of(encode_samples(hard.repartition(5), tokenizer_path(), k=3))}
     assert again == {(r["doc_id"], r["sample"], tuple(r["kept"])) for r in got}
     assert encode_samples(empty, tokenizer_path()).count() == 0
+    many = [tuple(r["ids"]) for r in encode_samples(hard.where("doc_id = 1"), tokenizer_path(), k=24).collect()]
+    assert len(set(many)) == len(many) == 24
 
 
 def test_sampling_follows_the_lattice():
@@ -396,6 +398,10 @@ def test_language_id(spark, hard, empty):
     for r in got:
         letters = any(ch.isalpha() for ch in r["text"] or "")
         assert (r["lang_pred"] in ("en", "de")) == letters and 0 <= r["score"] <= 1
+    long = spark.createDataFrame([(1, "une phrase assez longue " * 9, "fr"), (2, "une autre phrase " * 20, "fr"), (3, "a short one", "en"), (4, "a short two", "en")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in identify(long, fit_language_model(long, F.lit(True), max_chars=100)).where("lang = 'fr'").collect()} == {"fr"}
+    many = spark.range(300).selectExpr("id as doc_id", "concat('word', id, ' ', repeat(char(97 + id % 26), 3 + id % 7)) as text", "concat('l', lpad(id, 3, '0')) as lang")
+    assert len(fit_language_model(many, F.lit(True)).languages) == 300
     none = fit_language_model(empty, F.lit(True))
     assert {r["lang_pred"] for r in identify(hard, none).collect()} == {"und"}
     assert identify(empty, model).count() == 0
