@@ -51,13 +51,13 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files and broadcasts of jobs that are over.
+    """Lets Spark drop shuffle files, broadcasts and checkpoints of jobs that are over.
 
-    Its cleaner acts when the driver collects garbage, which a large heap may put off while disks fill.
+    Its cleaner acts when the driver collects garbage, which may be long after the disks are full; ``stored`` and
+    ``bucketed`` end with this, loops call it once a round.
     """
-    for _ in range(2):  # what the first round finalises, the second one frees
-        gc.collect()
-        spark._jvm.System.gc()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -71,6 +71,7 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", codec).parquet(path)
+    release(spark)
     return _scratch(spark.read.schema(df.schema).parquet(path), path)
 
 
@@ -88,4 +89,5 @@ def bucketed(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
     out = spark.table(table)
     out.schema  # resolved before the entry goes
     spark.sql(f"DROP TABLE {table}")
+    release(spark)
     return _scratch(out, path)
