@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from infragraph.llm.common import slices
 from infragraph.plans.components import connected_components
-from infragraph.plans.lineage import bucketed, release, stored
+from infragraph.plans.lineage import bucketed, stored
 
 BITS = 64
 
@@ -241,18 +241,41 @@ def common_shingles(texts: DataFrame, width: int, sample_rows: int, least: int =
     return np.sort(np.array([r["shingle"] for r in often.select("shingle").collect()], np.int64).view(np.uint64))
 
 
+def set_name(own: np.ndarray) -> int:
+    """A 64-bit hash of a sorted set of hashes."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(own.tobytes(), 7)
+
+
+def signature(own: np.ndarray) -> bytes:
+    """A bit for each hash of a set, modulo a power of two of four to eight bits a hash (64 at least)."""
+    bits = max(64, 1 << (4 * len(own)).bit_length())
+    out = np.zeros(bits, bool)
+    out[(own & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_shared(a: bytes, b: bytes, size_a: int, size_b: int) -> int:
+    """No two sets with these signatures share more: each bit of one alone is a hash that the other has not."""
+    x, y = (np.frombuffer(s, np.uint64) for s in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(size_a - int(np.bitwise_count(x & ~y).sum()), size_b - int(np.bitwise_count(y & ~x).sum()))
+
+
 def prefix_rows(texts: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Rows (row, fp, sid, n, prefix): the fingerprint, a hash of the set of shingles, its size and its prefix.
+    """Rows (row, fp, sid, n, sig, prefix): the fingerprint, a hash of the set of shingles, its size, signature and prefix.
 
     The prefix holds the first ``n - ceil(n * percent / 100) + 1`` shingles, ``common`` ones last and else by
     hash. Two sets of that Jaccard similarity share a shingle of their prefixes, whatever the order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for part in slices(batches, "text"):
-            fp, sid, size, prefix = [], [], [], []
+            fp, sid, size, sig, prefix = [], [], [], [], []
             for t in part.column(1).to_pylist():
                 hashed = shingle_hashes(t, width)
                 own = np.unique(hashed)
@@ -260,19 +283,20 @@ def prefix_rows(texts: DataFrame, width: int, percent: int, common: np.ndarray)
                 at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
                 ranked = own[np.argsort(common[at] == own, kind="stable")] if len(common) else own
                 fp.append(hashes_fingerprint(hashed))
-                sid.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
+                sid.append(set_name(own))
                 size.append(n)
+                sig.append(signature(own))
                 prefix.append(ranked[: n - -(-n * percent // 100) + 1 if n else 0].view(np.int64))
-            columns = [part.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, ["row", "fp", "sid", "n", "prefix"])
+            columns = [part.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["row", "fp", "sid", "n", "sig", "prefix"])
 
-    return texts.mapInArrow(run, "row long, fp long, sid long, n long, prefix array<long>")
+    return texts.mapInArrow(run, "row long, fp long, sid long, n long, sig binary, prefix array<long>")
 
 
 def shingle_sets(texts: DataFrame, some: DataFrame, width: int, slots: int = 1 << 22) -> DataFrame:
-    """Rows (sid, shingles) for the rows (row, sid) of ``some``, which name a text (row, text) each, in buckets of sid.
+    """Rows (sid, shingles) in buckets of sid: the sets of the rows ``some`` names by (row), and a few others.
 
-    A bitmap of the wanted rows' hashes spares the texts of most others their hashing; the join is exact.
+    A bitmap of the wanted rows' hashes spares the texts of most others their hashing.
     """
     slot = F.pmod("row", F.lit(slots))
     found = some.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits"))
@@ -286,12 +310,12 @@ def shingle_sets(texts: DataFrame, some: DataFrame, width: int, slots: int = 1 <
             at = batch.column(0).to_numpy() % slots
             kept = batch.filter(pa.array((packed[at >> 3] >> (at & 7) & 1).astype(bool)))
             for part in slices([kept], "text"):
-                sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
+                sets = [np.unique(shingle_hashes(t, width)) for t in part.column(1).to_pylist()]
+                names = np.array([set_name(x) for x in sets], np.uint64).view(np.int64)
+                yield pa.record_batch([pa.array(names), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sid", "shingles"])
 
-    sets = texts.mapInArrow(run, "row long, shingles array<long>")
-    # rows that repeat wholly have one set
-    once = sets.join(some, "row").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    # texts that repeat have one set
+    once = texts.mapInArrow(run, "sid long, shingles array<long>").groupBy("sid").agg(F.first("shingles").alias("shingles"))
     return bucketed(once, "sid", "shingle_sets")
 
 
@@ -299,38 +323,44 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
     """Rows (a, b): ``known`` links and others, whose components are those of ``known`` and all pairs of sets
     with a Jaccard similarity of ``percent``.
 
-    ``marked`` is from ``prefix_rows`` of ``texts``. A pair is a candidate if its prefixes meet and what they
-    share, with all that may follow in the larger set, suffices. First each set is measured against the
-    candidate that shares most with it; then only candidates that are not yet in one component are.
+    ``marked`` is from ``prefix_rows`` of ``texts``. A pair is a candidate if its prefixes meet, what they share,
+    with all that may follow in the larger set, suffices, and their signatures do not rule it out. First each
+    set is measured against the candidate that shares most with it; then only candidates that are not yet in
+    one component are.
 
     A shingle in more than ``hot`` prefixes is not expanded into pairs: its sets are measured against one of
     them, the pivot. Those near the pivot are linked through it; the others meet only sets whose distance from
     the pivot differs from theirs by no more than a link's, as Jaccard distance is a metric. That leaves out
     no component.
     """
-    sets = stored(marked.groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("size")), "shingle-sets")
+    sets = stored(marked.groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("size"), F.first("sig").alias("sig")), "shingle-sets", "zstd")
     keys = marked.select("sid", F.explode("prefix").alias("shingle")).repartition("shingle").distinct()
     met = keys.selectExpr("sid", "shingle", "count(1) over (partition by shingle) as held", "min(sid) over (partition by shingle) as pivot").where("held > 1")
     met = stored(met, "shingle-met", "zstd")
-    release(texts.sparkSession)
     met = stored(met.join(sets.select("sid", "size"), "sid").withColumn("hots", F.expr(f"count_if(held > {hot}) over (partition by sid)")), "shingle-keys", "zstd")
     cold, warm = met.where(F.col("held") <= hot), met.where((F.col("held") > hot) & (F.col("sid") != F.col("pivot")))
     fits = f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}"
     left, right = cold.selectExpr("shingle", "sid as a", "size as size_a", "hots as hots_a"), cold.selectExpr("shingle", "sid as b", "size as size_b", "hots as hots_b")
     shared = left.join(right, "shingle").where("a < b").where(fits).groupBy("a", "b", "size_a", "size_b", "hots_a", "hots_b").agg(F.count(F.lit(1)).alias("shared"))
     most = f"shared + least(hots_a, hots_b) + (greatest(size_a, size_b) * {percent} + 99) div 100 - 1"
-    pairs = stored(shared.where(f"({most}) * {100 + percent} >= (size_a + size_b) * {percent}").select("a", "b", "shared"), "shingle-pairs")
-    release(texts.sparkSession)
+    pairs = shared.where(f"({most}) * {100 + percent} >= (size_a + size_b) * {percent}").select("a", "b", "shared", "size_a", "size_b")
+    signed = pairs.join(sets.selectExpr("sid as a", "sig as sig_a"), "a").join(sets.selectExpr("sid as b", "sig as sig_b"), "b")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (batch.column(c).to_pylist() for c in ("sig_a", "sig_b", "size_a", "size_b"))
+            keep = [most_shared(*r) * (100 + percent) >= (r[2] + r[3]) * percent for r in zip(a, b, x, y, strict=True)]
+            yield batch.select(["a", "b", "shared"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = stored(signed.select("a", "b", "shared", "size_a", "size_b", "sig_a", "sig_b").mapInArrow(possible, "a long, b long, shared long"), "shingle-pairs")
     rays = warm.select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
     some = pairs.select("a", "b").unionAll(rays).select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "row"), "sid")
     own = shingle_sets(texts, stored(some, "shingle-some"), width)
-    release(texts.sparkSession)
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
         joined = pairs.join(own.selectExpr("sid as b", "shingles as y").hint("merge"), "b").join(own.selectExpr("sid as a", "shingles as x").hint("merge"), "a")
         both = joined.selectExpr("a", "b", "size(x) + size(y) as total", "size(array_intersect(x, y)) as same")
         out = stored(both.selectExpr("a", "b", "same", "total - same as whole"), f"shingle-{name}")
-        release(texts.sparkSession)
         return out
 
     near = f"same * 100 >= whole * {percent}"
@@ -357,7 +387,7 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
     return linked
 
 
-def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int = 80, sample_rows: int = 20_000, hot: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int = 80, sample_rows: int = 20_000, common_rows: int = 4000, hot: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest id.
 
     Two documents are linked if their fingerprints are within ``max_bits``, or if their sets of ``width``-word
@@ -372,7 +402,7 @@ def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
     rows = whole.select("doc", "key", F.xxhash64("key", "text").alias("row"), "text")
     texts = rows.select("row", "text")
-    marked = stored(prefix_rows(texts, width, percent, common_shingles(texts, width, sample_rows)), "simhash-rows", "zstd")
+    marked = stored(prefix_rows(texts, width, percent, common_shingles(texts, width, common_rows)), "simhash-rows", "zstd")
     # a fingerprint's node is the least of its sets
     fps = stored(marked.groupBy("fp").agg(F.min("sid").alias("node")), "simhash-distinct")
     edges = marked.select("fp", "sid").join(fps, "fp").where("sid <> node").selectExpr("sid as a", "node as b")
@@ -385,5 +415,4 @@ def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int
     of_row = marked.select("row", "sid").distinct().join(found.withColumnRenamed("node", "sid"), "sid", "left").select("row", F.coalesce("component", "sid").alias("component"))
     first = of_row.join(rows.select("key", "row").distinct(), "row").groupBy("component").agg(F.min(F.struct("key", "row")).alias("first")).select("first.*")
     first = stored(first, "simhash-first")
-    release(docs.sparkSession)
     return rows.join(first, ["key", "row"], "left_semi").groupBy("key", "row").agg(F.first("doc").alias("doc")).select("doc.*")

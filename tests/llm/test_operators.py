@@ -489,6 +489,17 @@ def test_keep_first_by_similarity(spark, hot):
     assert {r["doc_id"] for r in got.collect()} == set(low) and far > 20
 
 
+def test_signatures_bound_what_sets_share():
+    from infragraph.llm.simhash import most_shared, signature
+
+    rng = random.Random(13)
+    for _ in range(300):
+        a = {rng.getrandbits(64) for _ in range(rng.choice([0, 1, 5, 60, 400]))}
+        b = {x for x in a if rng.random() < rng.choice([0, 0.5, 0.9, 1])} | {rng.getrandbits(64) for _ in range(rng.choice([0, 3, 90, 300]))}
+        x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+        assert len(a & b) <= most_shared(signature(x), signature(y), len(a), len(b)) <= min(len(a), len(b))
+
+
 # 7 ------------------------------------------------------------------------------------------------
 
 
