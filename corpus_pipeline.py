@@ -8,7 +8,7 @@ tests/llm/test_pipeline.py holds the stages against brute-force versions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from infragraph.llm.common import documents, fold
@@ -20,25 +20,32 @@ from infragraph.llm.sampling import encode_samples
 from infragraph.llm.simhash import keep_first
 from infragraph.plans.lineage import stored
 
-#: A document goes if its language is undetermined or its posterior is under this.
-MIN_LANGUAGE_SCORE = 0.5
+#: A document goes if its language is undetermined, if its posterior is under this, or if the best language's model
+#: needs more bits a byte than the plain text has: then it is in none of the languages that were learned.
+MIN_LANGUAGE_SCORE, MOST_BITS_PER_BYTE = 0.5, 8.0
+
+
+def named(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a clear language."""
     model = fit_language_model(docs, ~F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
     found = identify(docs, model, prefix="__")
-    return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    clear = (F.col("__lang_pred") != "und") & (F.col("__score") >= MIN_LANGUAGE_SCORE) & (F.col("__bits_per_byte") <= MOST_BITS_PER_BYTE)
+    return found.where(clear).select(*named(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are near a line before them in the corpus."""
-    return drop_repeated_lines(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    return drop_repeated_lines(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*named(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return keep_first(docs).select(*docs.columns)
+    return keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
