@@ -185,14 +185,15 @@ def fit_language_model(docs: DataFrame, learn: Column, per_language: int = 150,
 
 
 def identify(docs: DataFrame, model: Ppm, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` added (names under ``prefix``); map-only.
+    """``docs`` with ``lang_pred``, ``score`` and ``bits_per_byte`` added (names under ``prefix``); map-only.
 
-    ``score`` is the posterior share of the chosen language under equal priors, from 0 to 1. A null text, a
-    text without any letter, and every text under a model without languages give ``und`` and 0. Equal code
-    lengths give the first language by name. Existing columns of these names are replaced.
+    ``score`` is the posterior share of the chosen language under equal priors, from 0 to 1. The code length
+    per byte tells whether the text is in that language at all: over 8 it is longer than the plain bytes. A
+    null text, a text without any letter, and every text under a model without languages give ``und``, 0 and
+    null. Equal code lengths give the first language by name. Existing columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = (f"{prefix}lang_pred", f"{prefix}score")
+    names = (f"{prefix}lang_pred", f"{prefix}score", f"{prefix}bits_per_byte")
     keep = [c for c in docs.columns if c not in names]
     base = docs.select(*[F.col(f"`{c}`") for c in keep])
 
@@ -202,14 +203,15 @@ def identify(docs: DataFrame, model: Ppm, text_col: str = "text", prefix: str =
         for part in slices(batches, text_col):
             texts = part.column(at).to_pylist()
             told = [i for i, t in enumerate(texts) if t and LETTER.search(t) and ppm.languages]
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
+            lang, score, length = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
             if told:
-                bits = ppm.code_lengths([texts[i].encode() for i in told])
+                raw = [texts[i].encode() for i in told]
+                bits = ppm.code_lengths(raw)
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
-                for i, b, s in zip(told, best, share, strict=True):
-                    lang[i], score[i] = ppm.languages[b], float(s)
-            yield pa.record_batch([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, *names])
+                for k, (i, b, s) in enumerate(zip(told, best, share, strict=True)):
+                    lang[i], score[i], length[i] = ppm.languages[b], float(s), float(bits[k, b]) / len(raw[k])
+            yield pa.record_batch([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(length, pa.float64())], [*part.schema.names, *names])
 
-    schema = T.StructType([*base.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    schema = T.StructType([*base.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())])
     return base.mapInArrow(run, schema)

@@ -394,7 +394,7 @@ def test_language_id(spark, hard, empty):
 
     model = fit_language_model(hard, F.lit(True))
     got = rows_of(identify(hard, model))
-    assert set(hard.columns) | {"lang_pred", "score"} == set(got[0]) and len(got) == hard.count()
+    assert set(hard.columns) | {"lang_pred", "score", "bits_per_byte"} == set(got[0]) and len(got) == hard.count()
     for r in got:
         letters = any(ch.isalpha() for ch in r["text"] or "")
         assert (r["lang_pred"] in ("en", "de")) == letters and 0 <= r["score"] <= 1
