@@ -58,19 +58,19 @@ def _keys(edits: int, least: int, most: int | None) -> list[str]:
     return keys
 
 
-def segment_keys(max_edits: int, per_edit: int) -> Column:
-    """Keys of a ``line`` of ``n`` characters: structs (key, own), ``own`` for its own segments; null where one does not fit.
+def segment_keys(distinct: DataFrame, max_edits: int, per_edit: int) -> DataFrame:
+    """Rows (lid, key, own) of lines (lid, line, n): each line's keys, ``own`` for its own segments.
 
-    A line of t * per_edit to t * per_edit + t - 1 characters may meet shorter lines that allow fewer edits.
+    Lines that allow t edits meet those of t * per_edit characters and more, up to t beyond the next step.
     """
-    out = "array()"
+    out = None
     for t in range(1, max_edits + 1):
-        low = t * per_edit
-        own = _keys(t, low, None if t == max_edits else low + per_edit - 1)
-        before = _keys(t - 1, low - per_edit, low - 1) if t > 1 else []
-        at_edge = f"if(n < {low + t}, array({', '.join([*own, *before])}), array({', '.join(own)}))" if before else f"array({', '.join(own)})"
-        out = f"if(n >= {low}, {at_edge}, {out})" if t > 1 else f"array({', '.join(own)})"
-    return F.expr(out)
+        most = None if t == max_edits else (t + 1) * per_edit - 1
+        lines = distinct.where(F.col("n") >= t * per_edit) if most is None else distinct.where(F.col("n").between(t * per_edit, most + t))
+        keys = F.expr(f"array({', '.join(_keys(t, t * per_edit, most))})")
+        found = lines.select("lid", F.explode(keys).alias("k")).where("k is not null").select("lid", "k.key", "k.own")
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def allowed(a: str, b: str, max_edits: int, per_edit: int) -> Column:
@@ -103,28 +103,27 @@ def banded_distance(a: str, b: str, max_edits: int) -> Column:
     return F.expr(f"transform(array(named_struct('p', split({a}, ''), 'q', split({b}, ''))), x -> {run})[0]")
 
 
-def _often(distinct: DataFrame, keys: Column, sample_rows: int, least: int = 20) -> DataFrame:
-    """Rows (key, often): frequent segments and their estimated counts, from about ``sample_rows`` lines.
+def _often(distinct: DataFrame, max_edits: int, per_edit: int, sample_rows: int, least: int = 20) -> DataFrame:
+    """Rows (key, parts): frequent segments and over how many parts to deal each, from about ``sample_rows`` lines.
 
     No more rows than the sample has keys by ``least``, which bounds the broadcast.
     """
     share = min(1.0, sample_rows / max(1, distinct.count()))
     some = distinct.where(F.pmod(F.xxhash64("lid", F.lit("often")), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = some.select(F.explode(keys).alias("k")).where("k is not null").groupBy("k.key").agg(F.count(F.lit(1)).alias("n"))
-    return found.where(F.col("n") >= least).select("key", (F.col("n") / share).cast("long").alias("often"))
+    found = segment_keys(some, max_edits, per_edit).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return found.where(F.col("n") >= least).select("key", (1 + F.col("n") / share / 1024).cast("long").alias("parts"))
 
 
-def line_links(lines: DataFrame, max_edits: int = 2, per_edit: int = 12, hot: int = 48, sample_rows: int = 50_000) -> DataFrame:
+def line_links(lines: DataFrame, max_edits: int = 2, per_edit: int = 12, hot: int = 48, sample_rows: int = 20_000) -> DataFrame:
     """Rows (a, b) of line ids, a < b: the links between different lines, each once."""
     long = lines.where(F.length("line") >= per_edit).groupBy("lid").agg(F.first("line").alias("line")).withColumn("n", F.length("line"))
     distinct = bucketed(long, "lid", "lines")
-    segments = segment_keys(max_edits, per_edit)
-    often = stored(_often(distinct, segments, sample_rows), "line-often")
-    keys = distinct.select("lid", F.explode(segments).alias("k")).where("k is not null").select("lid", "k.key", "k.own")
-    keys = keys.join(F.broadcast(often), "key", "left").withColumn("part", F.when(F.col("often").isNull(), 0).otherwise(F.pmod("lid", 1 + F.shiftright("often", 10))))
+    often = stored(_often(distinct, max_edits, per_edit, sample_rows), "line-often")
+    keys = segment_keys(distinct, max_edits, per_edit).join(F.broadcast(often), "key", "left")
+    keys = keys.select("lid", "key", "own", F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod("lid", "parts")).alias("part"))
     # all that follows is about keys with an indexed line and another line
     over = "over (partition by key, part)"
-    met = keys.selectExpr("lid", "key", "own", f"coalesce(often, count(1) {over}) as n", f"often is not null or min(lid) {over} <> max(lid) {over} and max(own) {over} as pairs").where("pairs").drop("pairs")
+    met = keys.selectExpr("lid", "key", "own", f"if(part > 0, {hot + 1}, count(1) {over}) as n", f"part > 0 or min(lid) {over} <> max(lid) {over} and max(own) {over} as pairs").where("pairs").drop("pairs")
     met = stored(met, "line-keys", "zstd")
     some = met.select("lid").distinct()
     texts = stored(distinct.join(some, "lid").withColumn("mask", parity_mask("line")), "line-texts", "zstd")
