@@ -15,9 +15,10 @@ from infragraph.functions.schema import NODE_SCHEMA
 from infragraph.operators import audit as A
 from infragraph.operators import state as S
 from infragraph.operators import traverse as T
+from infragraph.operators.correlate import correlation_stars
 from infragraph.plans.lineage import scratch_path, stored
 from infragraph.plans.table_graph import as_of, table
-from infragraph.queries import AT, case, changed_nodes, direct, parsed, placed
+from infragraph.queries import AT, KEYS, case, changed_nodes, direct, parsed, placed
 from infragraph.sources import store
 from infragraph.sources.documents import PARSERS, Tables, decode_documents, ingest, nodes_of, read_documents, read_states, register_parser
 
@@ -203,7 +204,14 @@ def t11_secrets_touched(nodes, edges):
     return T.secrets_touched(edges, nodes.where("type = 'network'").select("id"))
 
 
-# ---- drift, rules, streams
+# ---- correlation, drift, rules, streams
+
+
+@case(KEYS + """, g AS (SELECT key, min(node_id) AS hub, count(*) AS n, count(DISTINCT source) AS sources FROM ks GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT source) >= 2)
+SELECT key, hub, node_id, source, n, sources FROM ks JOIN g USING (key)""")
+def c2_correlation_stars(nodes, edges):
+    """C2 as members and a hub for each key, without pairs."""
+    return correlation_stars(nodes)
 
 
 @case("""SELECT 1::BIGINT AS scan_id, CASE WHEN type = 'subnet' THEN 'removed' ELSE 'modified' END AS change, id FROM nodes WHERE source = 'terraform' AND type IN ('subnet', 'vm', 'bucket')""")

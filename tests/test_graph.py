@@ -185,17 +185,19 @@ def test_images(spark):
 
 def test_correlation(spark):
     rows = [
-        node("a", "database", "compose", name="bogus-db"), node("b", "database", "terraform", name="Bogus DB"), node("c", "database", "ansible", name="database@bogus-db"),
-        node("d", "container", "compose", name="bogus-api"), node("e", "pod", "kubernetes", {"label:app": "bogus-api"}, name="x1"), node("f", "vm", "ansible", name="jumpbox"),
-        node("g", "network", "compose", name="bogus-api"), node("h", "vm", "terraform", {"hostname": "db.svc.cluster.local"}, name="q1"), node("i", "vm", "pulumi", {"hostname": "api.svc.cluster.local"}, name="q2"),
+        node("a", "database", "compose", name="ledger-store"), node("b", "database", "terraform", name="Ledger Store"), node("c", "database", "ansible", name="database@ledger-store"),
+        node("d", "container", "compose", name="quote-desk"), node("e", "pod", "kubernetes", {"label:app": "quote-desk"}, name="x1"), node("f", "vm", "ansible", name="gatehouse"),
+        node("g", "network", "compose", name="quote-desk"), node("h", "vm", "terraform", {"hostname": "db.svc.cluster.local"}, name="q1"), node("i", "vm", "pulumi", {"hostname": "api.svc.cluster.local"}, name="q2"),
     ]
     n, e = spark.createDataFrame(rows, NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA)
     made = C.correlate(n, e)
     assert {(r["from_id"], r["to_id"], r["metadata"]["confidence"]) for r in made.collect()} == {("a", "b", "high"), ("a", "c", "high"), ("b", "c", "high"), ("d", "e", "medium")}
     every = e.unionByName(made)
     assert C.correlate(n, every).count() == 0
+    assert {(r["key"], r["hub"], r["node_id"]) for r in C.correlation_stars(n).collect()} == {("ledger-store", "a", x) for x in "abc"} | {("quote-desk", "d", x) for x in "de"}
+    assert C.correlate(n, e, spark.createDataFrame([("quote-desk",)], "key string")).count() == 1
     groups = C.correlated_groups(n, every).collect()
-    assert [(r["key"], r["sources"], r["node_ids"]) for r in groups] == [("bogus-db", ["ansible", "compose", "terraform"], ["a", "b", "c"]), ("bogus-api", ["compose", "kubernetes"], ["d", "e"])]
+    assert [(r["key"], r["sources"], r["node_ids"]) for r in groups] == [("ledger-store", ["ansible", "compose", "terraform"], ["a", "b", "c"]), ("quote-desk", ["compose", "kubernetes"], ["d", "e"])]
 
 
 def test_drift_and_upsert(spark):
