@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from infragraph.plans.components import connected_components
-from infragraph.plans.lineage import bucketed, stored
+from infragraph.plans.lineage import bucketed, discard, stored
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,7 +142,9 @@ def line_links(lines: DataFrame, max_edits: int = 2, per_edit: int = 12, hot: in
     left = texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"))
     checked = met_pairs.join(left, "a").join(right, "b").where(F.abs(F.length("line_a") - F.length("line_b")) <= max_edits)
-    return checked.where(banded_distance("line_a", "line_b", max_edits) <= allowed("line_a", "line_b", max_edits, per_edit)).select("a", "b")
+    links = stored(checked.where(banded_distance("line_a", "line_b", max_edits) <= allowed("line_a", "line_b", max_edits, per_edit)).select("a", "b"), "line-links")
+    discard(distinct, often, met, texts)
+    return links
 
 
 def line_classes(docs: DataFrame, max_edits: int = 2, per_edit: int = 12, min_chars: int = 24, hot: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +154,7 @@ def line_classes(docs: DataFrame, max_edits: int = 2, per_edit: int = 12, min_ch
     class or shorter than ``min_chars``.
     """
     lines = lines_of(docs, id_col, text_col)
-    links = stored(line_links(lines, max_edits, per_edit, hot), "line-links")
+    links = line_links(lines, max_edits, per_edit, hot)
     found = connected_components(links).select(F.col("node").alias("lid"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count(F.lit(1)).alias("n_links"))
     linked = stored(found.join(degree, "lid"), "line-classes")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from infragraph.plans.lineage import bucketed, stored
+from infragraph.plans.lineage import bucketed, discard, stored
 
 COUNTED, TUNING, SCORED = 0, 1, 2
 OCTAVES = 64  # buckets of a context's length
@@ -287,7 +287,9 @@ def score_documents(docs: DataFrame, fold: Column, order: int = 3, chunk_bytes:
     tuning = replies.where(F.col("chunk") >= chunks).select("chunk", "level", "range", "total", "tuned")
     columns = "bucket int, " + ", ".join(f"p{k} double" for k in range(order + 1))
     held_out = parted.where(F.col("chunk") >= chunks).groupBy("chunk").cogroup(tuning.groupBy("chunk")).applyInArrow(_held_out(totals, order), columns)
-    weights = learn_weights(stored(held_out, "lm-held-out", "zstd"), order)
+    held_out = stored(held_out, "lm-held-out", "zstd")
+    weights = learn_weights(held_out, order)
+    discard(held_out)
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"doc_id {kind}, fold int, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return parted.groupBy("chunk").cogroup(replies.select("chunk", "level", "range", "total").groupBy("chunk")).applyInArrow(_score(totals, weights, order), schema)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from infragraph.llm.common import word_count
-from infragraph.plans.lineage import stored
+from infragraph.plans.lineage import discard, stored
 
 UNIT = 1 << 53
 
@@ -111,6 +111,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     right = sources.select(F.col("source").alias("source_"), "sk", "source_size", "target")
     placed = sized.join(right, sized["source"].eqNullSafe(right["source_"])).drop("source_").withColumn("bucket", F.pmod(F.col("h"), F.lit(max(1, math.ceil(n / bucket_rows)))))
     placed = stored(running(placed, ["sk"], "bucket", ["h", "doc_id"], "size", "off").drop("bucket"), "mix-placed")
+    discard(sized)
     return Mix(placed, sources, _slots(sources, shard_slots, seed), block_words)
 
 
@@ -148,8 +149,8 @@ def mixed_documents(docs: DataFrame, seed: int = 9, id_col: str = "doc_id", text
     A document taken ``t`` words of its ``size`` comes floor(t / size) times, and once more with the
     probability of the remainder, by a hash of the seed and the row; equal rows share their words evenly.
     """
-    taken = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, **options).taken()
-    of_row = stored(taken.where("size > 0").groupBy("h").agg((F.sum("taken") / F.sum("size")).alias("times")), "mix-times")
+    mix = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, **options)
+    of_row = stored(mix.taken().where("size > 0").groupBy("h").agg((F.sum("taken") / F.sum("size")).alias("times")), "mix-times")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
     copies = F.floor("times") + (unit(F.lit(seed), F.col("h"), F.lit("copies")) < F.col("times") - F.floor("times")).cast("long")
     out = rows.join(of_row, "h").withColumn("copies", copies).where("copies > 0")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from infragraph.llm.common import slices
 from infragraph.plans.components import connected_components
-from infragraph.plans.lineage import bucketed, stored
+from infragraph.plans.lineage import bucketed, discard, stored
 
 BITS = 64
 
@@ -336,8 +336,8 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
     sets = stored(marked.groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("size"), F.first("sig").alias("sig")), "shingle-sets", "zstd")
     keys = marked.select("sid", F.explode("prefix").alias("shingle")).repartition("shingle").distinct()
     met = keys.selectExpr("sid", "shingle", "count(1) over (partition by shingle) as held", "min(sid) over (partition by shingle) as pivot").where("held > 1")
-    met = stored(met, "shingle-met", "zstd")
-    met = stored(met.join(sets.select("sid", "size"), "sid").withColumn("hots", F.expr(f"count_if(held > {hot}) over (partition by sid)")), "shingle-keys", "zstd")
+    seen = stored(met, "shingle-met", "zstd")
+    met = stored(seen.join(sets.select("sid", "size"), "sid").withColumn("hots", F.expr(f"count_if(held > {hot}) over (partition by sid)")), "shingle-keys", "zstd")
     cold, warm = met.where(F.col("held") <= hot), met.where((F.col("held") > hot) & (F.col("sid") != F.col("pivot")))
     fits = f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}"
     left, right = cold.selectExpr("shingle", "sid as a", "size as size_a", "hots as hots_a"), cold.selectExpr("shingle", "sid as b", "size as size_b", "hots as hots_b")
@@ -353,9 +353,12 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
             yield batch.select(["a", "b", "shared"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = stored(signed.select("a", "b", "shared", "size_a", "size_b", "sig_a", "sig_b").mapInArrow(possible, "a long, b long, shared long"), "shingle-pairs")
+    discard(seen)
     rays = warm.select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
     some = pairs.select("a", "b").unionAll(rays).select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "row"), "sid")
-    own = shingle_sets(texts, stored(some, "shingle-some"), width)
+    some = stored(some, "shingle-some")
+    own = shingle_sets(texts, some, width)
+    discard(some, sets)
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
         joined = pairs.join(own.selectExpr("sid as b", "shingles as y").hint("merge"), "b").join(own.selectExpr("sid as a", "shingles as x").hint("merge"), "a")
@@ -367,8 +370,7 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
     found = measured(first.unionAll(rays).distinct(), "first")
     linked = known.unionAll(found.where(near).select("a", "b"))
-    component = connected_components(linked)
-    component = stored(component, "shingle-components")
+    component = stored(connected_components(linked), "shingle-components")
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs that no link found so far connects."""
@@ -382,9 +384,13 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
     close = f"abs(away_u - away_v) <= {100 - percent} / 100 + 1e-9"
     across = u.join(v, "shingle").where("u <> v and (linked or u < v)").where(fits).where(close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     rest = stored(apart(pairs.select("a", "b").unionAll(across)).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), "shingle-rest")
+    parts = [found]
     if not rest.isEmpty():
-        linked = linked.unionAll(measured(rest, "second").where(near).select("a", "b"))
-    return linked
+        parts.append(measured(rest, "second"))
+        linked = linked.unionAll(parts[1].where(near).select("a", "b"))
+    out = stored(linked, "shingle-links")
+    discard(met, pairs, own, component, ring, rest, *parts)
+    return out
 
 
 def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int = 80, sample_rows: int = 20_000, common_rows: int = 4000, hot: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,8 +417,11 @@ def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int
         close = links(fps.select("fp"), plan_for(fps, n, max_bits, sample_rows), max_bits, hot)
         a, b = fps.selectExpr("fp as a", "node as u"), fps.selectExpr("fp as b", "node as v")
         edges = edges.unionAll(close.join(a, "a").join(b, "b").selectExpr("u as a", "v as b"))
-    found = connected_components(set_links(marked, texts, stored(edges, "simhash-edges"), width, percent, hot))
+    known = stored(edges, "simhash-edges")
+    near = set_links(marked, texts, known, width, percent, hot)
+    found = connected_components(near)
     of_row = marked.select("row", "sid").distinct().join(found.withColumnRenamed("node", "sid"), "sid", "left").select("row", F.coalesce("component", "sid").alias("component"))
     first = of_row.join(rows.select("key", "row").distinct(), "row").groupBy("component").agg(F.min(F.struct("key", "row")).alias("first")).select("first.*")
     first = stored(first, "simhash-first")
+    discard(marked, fps, known, near)
     return rows.join(first, ["key", "row"], "left_semi").groupBy("key", "row").agg(F.first("doc").alias("doc")).select("doc.*")
