@@ -558,6 +558,38 @@ def test_repeats(spark, hard, empty, hot):
     assert remove_repeats(hard).count() == hard.count() and remove_repeats(empty).count() == 0
 
 
+def test_repeats_under_null_and_shared_ids(spark):
+    """Rows of one id are told apart by their texts; a text longer than a piece; runs of one byte."""
+    from infragraph.llm.repeats import PIECE, remove_repeats
+
+    rng = random.Random(7)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(12)]
+    long = "".join(rng.choices("abcdefghijklmnop ", k=PIECE + 40_000))
+    rows = []
+    for i in range(900):
+        text = "".join(rng.choice("klmnop ") for _ in range(rng.randint(0, 60))) + rng.choice(passages)[rng.randint(0, 30) :] + "x" * rng.choice([0, 0, 400])
+        rows.append((None if i % 3 == 0 else i // 4, text))
+    rows += rows[:40] + [(5000, long), (5001, "head " + long[PIECE - 300 : PIECE + 300] + " tail"), (5002, long[PIECE - 300 : PIECE + 300])]
+
+    def place(r):
+        sha = hashlib.sha256(r[1].encode()).digest()
+        return (-(1 << 63), b"\0" + sha) if r[0] is None else (r[0], b"\1" + sha)
+
+    seen, want = set(), {}
+    for r in sorted(set(rows), key=place):
+        raw = r[1].encode()
+        gone = np.zeros(len(raw), bool)
+        for j in range(len(raw) - 99):
+            w = raw[j : j + 100]
+            if w in seen:
+                gone[j : j + 100] = True
+            seen.add(w)
+        spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        want[r] = (r[0], len(raw), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~gone])).hexdigest())
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=50).collect())
+    assert got == Counter(want[r] for r in rows)
+
+
 # 8 ------------------------------------------------------------------------------------------------
 
 
