@@ -343,8 +343,6 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
     left, right = cold.selectExpr("shingle", "sid as a", "size as size_a", "hots as hots_a"), cold.selectExpr("shingle", "sid as b", "size as size_b", "hots as hots_b")
     shared = left.join(right, "shingle").where("a < b").where(fits).groupBy("a", "b", "size_a", "size_b", "hots_a", "hots_b").agg(F.count(F.lit(1)).alias("shared"))
     most = f"shared + least(hots_a, hots_b) + (greatest(size_a, size_b) * {percent} + 99) div 100 - 1"
-    pairs = shared.where(f"({most}) * {100 + percent} >= (size_a + size_b) * {percent}").select("a", "b", "shared", "size_a", "size_b")
-    signed = pairs.join(sets.selectExpr("sid as a", "sig as sig_a"), "a").join(sets.selectExpr("sid as b", "sig as sig_b"), "b")
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,13 +350,18 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
             keep = [most_shared(*r) * (100 + percent) >= (r[2] + r[3]) * percent for r in zip(a, b, x, y, strict=True)]
             yield batch.select(["a", "b", "shared"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = stored(signed.select("a", "b", "shared", "size_a", "size_b", "sig_a", "sig_b").mapInArrow(possible, "a long, b long, shared long"), "shingle-pairs")
+    def not_ruled_out(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, shared) whose signatures leave room for a link."""
+        signed = pairs.join(sets.selectExpr("sid as a", "size as size_a", "sig as sig_a"), "a").join(sets.selectExpr("sid as b", "size as size_b", "sig as sig_b"), "b")
+        return signed.select("a", "b", "shared", "size_a", "size_b", "sig_a", "sig_b").mapInArrow(possible, "a long, b long, shared long")
+
+    pairs = stored(not_ruled_out(shared.where(f"({most}) * {100 + percent} >= (size_a + size_b) * {percent}").select("a", "b", "shared")), "shingle-pairs")
     discard(seen)
     rays = warm.select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
     some = pairs.select("a", "b").unionAll(rays).select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "row"), "sid")
     some = stored(some, "shingle-some")
     own = shingle_sets(texts, some, width)
-    discard(some, sets)
+    discard(some)
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
         joined = pairs.join(own.selectExpr("sid as b", "shingles as y").hint("merge"), "b").join(own.selectExpr("sid as a", "shingles as x").hint("merge"), "a")
@@ -383,13 +386,14 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
     v = ring.selectExpr("shingle", "sid as v", "size as size_b", "away as away_v", "linked")
     close = f"abs(away_u - away_v) <= {100 - percent} / 100 + 1e-9"
     across = u.join(v, "shingle").where("u <> v and (linked or u < v)").where(fits).where(close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    rest = stored(apart(pairs.select("a", "b").unionAll(across)).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), "shingle-rest")
+    across = stored(not_ruled_out(apart(across).distinct().withColumn("shared", F.lit(0).cast("long"))).select("a", "b"), "shingle-across")
+    rest = stored(apart(pairs).unionAll(across).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), "shingle-rest")
     parts = [found]
     if not rest.isEmpty():
         parts.append(measured(rest, "second"))
         linked = linked.unionAll(parts[1].where(near).select("a", "b"))
     out = stored(linked, "shingle-links")
-    discard(met, pairs, own, component, ring, rest, *parts)
+    discard(met, pairs, own, component, ring, across, rest, sets, *parts)
     return out
 
 
