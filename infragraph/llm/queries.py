@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infragraph.llm import quality
+from infragraph.llm import quality, search
 from infragraph.llm.common import documents, fold
+from infragraph.plans.lineage import scratch_path
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -88,8 +89,30 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least four periods and six words, in texts of which one in ten gets a tail that repeats."""
+    from infragraph.llm.runs import periodic_runs, run_report, with_planted_periods
+
+    docs = documents(spark, sf_dir).select("doc_id", with_planted_periods("doc_id", "text").alias("text"))
+    return run_report(periodic_runs(docs))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as grammars of token ids, and read back from the files."""
+    from infragraph.llm.token_files import read_documents, write_token_files
+
+    path = scratch_path(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return read_documents(spark, path, with_ids=False)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sampled_segmentations, op2_lm_scoring, op3_line_dedup, op4_document_fingerprints, op5_language_id, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_token_counts, op9_mix_sources, op10_quality_cascade)
+    f.__name__: f for f in (op1_sampled_segmentations, op2_lm_scoring, op3_line_dedup, op4_document_fingerprints, op5_language_id, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_token_counts, op9_mix_sources, op10_quality_cascade, op11_periodic_runs, op12_token_files, op13_ranked_search)
 }
 
-ORACLES: dict[str, str] = {"op10_quality_cascade": quality.ORACLE}
+ORACLES: dict[str, str] = {"op10_quality_cascade": quality.ORACLE, "op13_ranked_search": search.ORACLE}
