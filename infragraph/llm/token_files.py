@@ -24,7 +24,9 @@ set of files; other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,14 +37,28 @@ from pyspark.sql import functions as F
 
 from infragraph.llm.common import slices
 
-MEMO = 1_000_000
+MEMO = 800_000
 #: Fixed value: the pattern of the tokenizer whose matches hold no white space and depend on nothing around it.
 SPACE_FREE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks that may end a word, and letters that the tokenizer neither changes nor parts; it cuts between the two.
+MARKS = b".,;:!?"
+LETTERS = re.compile("[" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c) + "]+")
 _TABLE_BITS = 18
 BLOCK = "struct<n_ids:int,base:int,width:int,left:binary,right:binary,lengths:binary,symbols:binary>"
 _BLOCK_TYPE = pa.struct([("n_ids", pa.int32()), ("base", pa.int32()), ("width", pa.int32()), *((c, pa.binary()) for c in ("left", "right", "lengths", "symbols"))])
 
 
+def _byte_letters() -> dict[int, str]:
+    """Each letter as the byte-level alphabet writes its UTF-8: printable bytes stand for themselves, others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    names = {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(other)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0x250)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 # grammar ------------------------------------------------------------------------------------------
 
 
@@ -62,8 +78,9 @@ def _chosen(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _slot(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * 0x9E3779B97F4A7C1 >> 40) & ((1 << _TABLE_BITS) - 1)
+def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A place among 2 ** _TABLE_BITS for each pair of 32-bit symbols."""
+    return (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - _TABLE_BITS)
 
 
 def compress(ids: np.ndarray, joined: np.ndarray, base: int, least: int = 16) -> dict[str, np.ndarray]:
@@ -71,19 +88,17 @@ def compress(ids: np.ndarray, joined: np.ndarray, base: int, least: int = 16) ->
 
     Returns left, right and lengths of the rules, of which rule r is symbol ``base + r``, and the symbols.
     """
-    s, joined = ids.astype(np.int64), joined.copy()
+    s, joined = ids.astype(np.uint32), joined.copy()
     joined[-1:] = False
     left, right, most, n_rules, floor = [], [], None, 0, least + 1
     while floor > least:
-        at = np.flatnonzero(joined)
-        pairs = s[at] << 32 | s[at + 1]
-        slot = _slot(pairs)
-        table = np.bincount(slot, minlength=1 << _TABLE_BITS)
+        slot = _slot(s[:-1], s[1:])
+        table = np.bincount(slot, minlength=1 << _TABLE_BITS)  # pairs across a break count too: it only sifts
         # at first as many as the fullest slot, which is not less than the most frequent pair
         floor = max(least, (int(table.max()) if most is None else most) // 4)
         most = floor
-        often = np.flatnonzero((table >= floor)[slot])
-        at, pairs, slot = at[often], pairs[often], slot[often]
+        at = np.flatnonzero((table >= floor)[slot] & joined[:-1])
+        pairs, slot = s[at].astype(np.int64) << 32 | s[at + 1], slot[at]
         kinds = np.sort(pairs)
         begins = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]]) if len(kinds) else np.zeros(0, np.int64)
         counts = np.diff(np.r_[begins, len(kinds)])
@@ -92,7 +107,7 @@ def compress(ids: np.ndarray, joined: np.ndarray, base: int, least: int = 16) ->
         if not len(new):
             continue
         # of pairs that share a slot, the more frequent one now and the others in a later round
-        own, first = np.unique(_slot(new), return_index=True)
+        own, first = np.unique(_slot((new >> 32).astype(np.uint32), new.astype(np.uint32)), return_index=True)
         new = new[first]
         rule = np.full(1 << _TABLE_BITS, -1, np.int32)
         rule[own] = np.arange(len(new))
@@ -173,15 +188,20 @@ class Grammar:
 
 
 class _Memo(dict):
-    """Number of each word; words asked for the first time wait in ``fresh``."""
+    """Number of each word; words asked for the first time wait in ``fresh``, and those that end with marks in ``split``."""
 
     def __init__(self):
         super().__init__()
-        self.fresh: list[bytes] = []
+        self.fresh: list[tuple[int, str]] = []
+        self.split: list[tuple[int, int, int]] = []
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
-        self.fresh.append(word)
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and LETTERS.fullmatch(stem.decode()):
+            self.split.append((n, self[stem], self[word[len(stem) :]]))
+        else:
+            self.fresh.append((n, word.decode()))
         return n
 
 
@@ -197,6 +217,7 @@ class Encoder:
         with open(path) as f:
             config = json.load(f)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.model = self.tokenizer.model
         kinds = [x["type"] for x in (config.get("normalizer") or {}).get("normalizers", [])]
         cut = ((config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and cut.get("pattern") == {"Regex": SPACE_FREE} and cut.get("behavior") == "Removed" and cut.get("invert")
@@ -204,27 +225,38 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo, self.flat, self.first, self.n = _Memo(), np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = self.words = 0
+        self.memo, self.flat, self.first, self.n, self.used = _Memo(), np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _keep(self, words: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        """Ids of words, at the end of the arrays."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        while len(self.memo) > len(self.n):
+            self.first, self.n = np.resize(self.first, 2 * len(self.n)), np.resize(self.n, 2 * len(self.n))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[words], self.n[words] = self.used + np.cumsum(n) - n, n
+        self.used += len(ids)
+
     def _learn(self) -> None:
-        """Ids of the words that wait, at the end of the arrays."""
+        """Ids of the words that wait. Words of plain letters are what the model itself gets to see, after the byte alphabet."""
         fresh, self.memo.fresh = self.memo.fresh, []
-        for i in range(0, len(fresh), 4096):
-            found = self._whole([w.decode() for w in fresh[i : i + 4096]])
+        plain = [LETTERS.fullmatch(w) is not None for _, w in fresh]
+        found = [[t.id for t in self.model.tokenize(w.translate(BYTE_LETTERS))] if p else None for (_, w), p in zip(fresh, plain, strict=True)]
+        rest = iter(self._whole([w for (_, w), p in zip(fresh, plain, strict=True) if not p]))
+        found = [next(rest) if x is None else x for x in found]
+        if fresh:
             n = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((x for own in found for x in own), np.uint32, int(n.sum()))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            while self.words + len(n) > len(self.n):
-                self.first, self.n = np.resize(self.first, 2 * len(self.n)), np.resize(self.n, 2 * len(self.n))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[self.words : self.words + len(n)] = self.used + np.cumsum(n) - n
-            self.n[self.words : self.words + len(n)] = n
-            self.used, self.words = self.used + len(ids), self.words + len(n)
+            self._keep(np.array([i for i, _ in fresh]), n, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum())))
+        split, self.memo.split = np.array(self.memo.split, np.int64).reshape(-1, 3), []
+        if len(split):
+            self._keep(split[:, 0], self.n[split[:, 1:]].sum(axis=1), self._ids(split[:, 1:].ravel()))
+
+    def _ids(self, words: np.ndarray) -> np.ndarray:
+        n = self.n[words]
+        return self.flat[np.arange(int(n.sum())) + np.repeat(self.first[words] - np.cumsum(n) + n, n)]
 
     def _key(self, text: bytes) -> bytes:
         """Lower case in ASCII, which the library does too: but not before marks that compose with one case only."""
@@ -243,9 +275,7 @@ class Encoder:
         self._learn()
         counts, out = np.zeros(len(texts), np.int64), []
         at = np.concatenate(places) if places else np.zeros(0, np.int64)
-        n = self.n[at]
-        ids = self.flat[np.arange(int(n.sum())) + np.repeat(self.first[at] - np.cumsum(n) + n, n)]
-        ends = np.cumsum(n)
+        ids, ends = self._ids(at), np.cumsum(self.n[at])
         words_end = np.cumsum([len(p) for p in places])
         sums = np.r_[0, ends][words_end] if len(texts) else counts
         counts = np.diff(np.r_[0, sums])
