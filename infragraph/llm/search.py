@@ -8,8 +8,8 @@ buckets
 
 - Cauchy and Schwarz: a bucket is left out if the query's length times the bucket's longest vector stays under the
   threshold; buckets that no query needs are not read, as the bound is pushed down to the files;
-- coordinate bounds: of the rest, the coordinates that hold most of the query are multiplied out, the remaining ones
-  are bounded by the lengths of what remains of both vectors;
+- coordinate bounds: of the rest, the coordinates that hold most of the query are multiplied out; what the remaining ones
+  can add is bounded by the lengths of what remains of both vectors, and by each coordinate's largest value in the bucket;
 - survivors are scored exactly, in integers, and raise the task's own threshold.
 
 A document that might equal the threshold survives, so the result is exact with its ties. Tasks give at most ``top``
@@ -45,7 +45,7 @@ BUCKET = 4096
 #: For rounding in the bounds, which are doubles.
 SLACK = 1 + 1e-9
 #: The share of a query's squared length that its multiplied-out coordinates hold.
-FOCUS = 0.8
+FOCUS = 0.9
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -88,6 +88,14 @@ class Queries:
     def lengths(self) -> np.ndarray:
         return np.array([math.sqrt(float((self.weights[t] * c.astype(np.float64) ** 2).sum())) for t, c in zip(self.terms, self.counts, strict=True)])
 
+    def focused(self, q: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(terms, values) of a query's largest coordinates, which hold ``FOCUS`` of its squared length, and of the others."""
+        terms = self.terms[q]
+        values = np.sqrt(self.weights[terms].astype(np.float64)) * self.counts[q]
+        order = np.argsort(-values, kind="stable")
+        n = int(np.searchsorted(np.cumsum(values[order] ** 2), FOCUS * float((values**2).sum()))) + 1
+        return (terms[order[:n]], values[order[:n]]), (terms[order[n:]], values[order[n:]])
+
 
 def _csr(batch: pa.RecordBatch, values: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of each entry, term, value) of the list columns ``terms`` and ``values``."""
@@ -123,16 +131,21 @@ class Bucket:
         self.rows, self.values = self.row[by_term], self.value[by_term]
         self.ends = np.searchsorted(self.term[by_term], np.arange(len(weights) + 1))
         self.starts = np.searchsorted(self.row, np.arange(len(self.norm) + 1))
+        self.most = np.zeros(len(weights))
+        held = np.flatnonzero(np.diff(self.ends))
+        if len(held):
+            self.most[held] = np.maximum.reduceat(self.values, self.ends[held])
 
-    def survivors(self, terms: np.ndarray, values: np.ndarray, rest: float, least: float) -> np.ndarray:
-        """Rows whose product with a query may reach ``least``; ``rest`` is the length of the query beside these coordinates."""
+    def survivors(self, focus: tuple[np.ndarray, np.ndarray], rest: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+        """Rows whose product with a query may reach ``least``; its (terms, values) are multiplied out in ``focus`` and bounded in ``rest``."""
         product, squares = np.zeros(len(self.norm)), np.zeros(len(self.norm))
-        for t, q in zip(terms.tolist(), values.tolist(), strict=True):
+        for t, q in zip(focus[0].tolist(), focus[1].tolist(), strict=True):
             rows, own = self.rows[self.ends[t] : self.ends[t + 1]], self.values[self.ends[t] : self.ends[t + 1]]
             product[rows] += q * own
             squares[rows] += own * own
-        bound = product + rest * np.sqrt(np.maximum(self.norm**2 * SLACK - squares, 0))
-        return np.flatnonzero(bound * SLACK >= least)
+        by_length = math.sqrt(float((rest[1] ** 2).sum())) * np.sqrt(np.maximum(self.norm**2 * SLACK - squares, 0))
+        more = np.minimum(by_length, float((rest[1] * self.most[rest[0]]).sum()))
+        return np.flatnonzero((product + more) * SLACK >= least)
 
     def scores(self, rows: np.ndarray, factors: np.ndarray) -> np.ndarray:
         """Exact scores of some rows; ``factors`` holds weight times count of each term."""
@@ -157,13 +170,7 @@ def _searched(buckets: DataFrame, block: Queries, least: np.ndarray, top: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, limits = block.lengths(), np.maximum(least, 1).astype(np.float64)
         held: list[list[tuple]] = [[] for _ in lengths]
-        focus = []
-        for t, c in zip(block.terms, block.counts, strict=True):
-            values = np.sqrt(block.weights[t].astype(np.float64)) * c
-            order = np.argsort(-values, kind="stable")
-            squares = np.cumsum(values[order] ** 2)
-            some = order[: int(np.searchsorted(squares, FOCUS * (squares[-1] if len(t) else 0))) + 1]
-            focus.append((t[some], values[some], math.sqrt(max(0.0, float((values**2).sum() - (values[some] ** 2).sum())))))
+        focus = [block.focused(q) for q in range(len(lengths))]
         factors, id_type = np.zeros(len(block.weights), np.int64), None
         for batch in batches:
             id_type = batch.schema.field("id").type
@@ -205,7 +212,8 @@ def _block_results(docs: DataFrame, texts: list[str], top: int, head_rows: int,
     block = Queries(weights, [np.array([t for t, _ in q], np.int64) for q in own], [np.array([k for _, k in q], np.int64) for q in own])
     impacts = impact_vectors(vectors, weights, n_docs, n_terms).withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
     order = [F.desc("norm"), F.asc("deal")]
-    buckets = stored(impacts.repartitionByRange(*order).sortWithinPartitions(*order).drop("deal"), "search-buckets", "zstd")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // (2 * BUCKET))
+    buckets = stored(impacts.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).drop("deal"), "search-buckets", "zstd")
     discard(vectors)
     none = np.zeros(len(texts), np.int64)
     first = _searched(buckets.orderBy(F.desc("norm")).limit(head_rows), block, none, top)
