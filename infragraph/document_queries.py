@@ -274,7 +274,8 @@ def y2_own_parser(spark, sf_dir):
 UNION ALL SELECT 'scan', '0 completed ' || count(*) FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'scan', '1 completed ' || count(*) FROM supplier WHERE s_suppkey % 2 = 1""")
 def r1_stream_ingest(spark, sf_dir):
     """Two streams with checkpoints of their own, each over half of the suppliers' files, keep one graph current."""
-    from infragraph.streaming.streams import load_version, stream_ingest, versions
+    from infragraph.streaming.graph_store import graph_store, read_graph
+    from infragraph.streaming.streams import stream_ingest
 
     one = "named_struct('urn', concat('urn::', s_suppkey), 'type', 'aws:ec2/instance:Instance', 'inputs', named_struct('name', s_name))"
     files = table(spark, sf_dir, "supplier").selectExpr("s_suppkey % 2 as part", "concat('pulumi/', s_suppkey, '.json') as path", "'pulumi' as source", f"to_json(named_struct('deployment', named_struct('resources', array({one})))) as text")
@@ -284,7 +285,8 @@ def r1_stream_ingest(spark, sf_dir):
         files.where(F.col("part") == part).drop("part").coalesce(1).write.parquet(f"{root}/docs{part}")
         docs = spark.readStream.schema("path string, source string, text string").parquet(f"{root}/docs{part}")
         stream_ingest(docs, f"{root}/graph", parse, "pulumi", f"{root}/checkpoint{part}").awaitTermination()
-    nodes, _, scans = load_version(spark, f"{root}/graph", versions(spark, f"{root}/graph")[-1])
+    graph = read_graph(graph_store(spark, f"{root}/graph"))
+    nodes, scans = graph["nodes"], graph["scans"]
     drift = store.get_drift(spark, f"{root}/graph/drift", 1).where("kind = 'node'")
     return (
         nodes.select(F.lit("node").alias("kind"), "id")

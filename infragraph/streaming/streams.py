@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from infragraph.functions.schema import EDGE_SCHEMA, NODE_SCHEMA, SCAN_SCHEMA
 from infragraph.operators.certs import cert_alerts, list_certs
 from infragraph.operators.correlate import correlate
 from infragraph.operators.relational import dangling_edges
-from infragraph.operators.state import edge_drift, is_initial, node_drift, record_scan, upsert_edges, upsert_nodes
+from infragraph.operators.state import edge_drift, node_drift, upsert_edges, upsert_nodes
 from infragraph.plans.lineage import stored
-from infragraph.sources.store import store_drift
+from infragraph.streaming.graph_store import Parser, apply_scan, graph_store
 
-Parser = Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def latest_rows(events: DataFrame, key: str = "id", ts: str = "ts") -> DataFrame:
@@ -27,7 +27,10 @@ def latest_rows(events: DataFrame, key: str = "id", ts: str = "ts") -> DataFrame
 
 
 def ingest_batch(docs: DataFrame, parse: Parser, nodes: DataFrame, edges: DataFrame, source: str) -> dict[str, DataFrame]:
-    """One scan: parse, drift against the stored graph, upsert, correlate. Returns the new tables, the drift and the scan's own rows."""
+    """One scan over whole tables: parse, drift against the graph, upsert, correlate. Returns the new tables, the drift and the scan's own rows.
+
+    ``graph_store.apply_scan`` does the same on a stored graph, at the cost of the batch.
+    """
     new_nodes, new_edges, warnings = parse(docs)
     new_nodes, new_edges = stored(new_nodes, "scan-nodes"), stored(new_edges, "scan-edges")
     drift = node_drift(nodes, new_nodes, source)
@@ -39,59 +42,41 @@ def ingest_batch(docs: DataFrame, parse: Parser, nodes: DataFrame, edges: DataFr
     return {"nodes": all_nodes, "edges": linked, "node_drift": drift, "edge_drift": drifted, "rejected": bad, "warnings": warnings, "new_nodes": new_nodes, "new_edges": new_edges}
 
 
-def versions(spark: SparkSession, graph_path: str) -> list[int]:
-    """The numbers of the complete versions below ``graph_path``, rising; a version's scans are written last."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{graph_path}/v*/scans/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(int(x.getPath().getParent().getParent().getName()[1:]) for x in found)
-
-
-def load_version(spark: SparkSession, graph_path: str, version: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and scans of a version; empty tables for None."""
-    kinds = (("nodes", NODE_SCHEMA), ("edges", EDGE_SCHEMA), ("scans", SCAN_SCHEMA))
-    return tuple(spark.createDataFrame([], s) if version is None else spark.read.schema(s).parquet(f"{graph_path}/v{version}/{t}") for t, s in kinds)
-
-
 def stream_ingest(docs_stream: DataFrame, graph_path: str, parse: Parser, source: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of documents goes through ``ingest_batch``, is recorded as a scan (P2) and stores its drift.
+    """Each micro-batch of documents is a scan of the graph store below ``graph_path``.
 
-    Every batch writes a new version of the graph, ``<graph_path>/v<n>``, from the newest complete one, so a
-    stored graph is continued also under a new checkpoint and a table is never overwritten while it is read. A
-    batch that is tried again, known by its scan's ``source_path``, writes its version again. The drift of
-    scan n, nodes and edges, is a partition of ``<graph_path>/drift``; the first scan of a source has none.
+    A batch writes what it changes; ``read_graph(graph_store(spark, graph_path))`` reads the graph. A stored graph is
+    continued also under a new checkpoint, and a batch that is tried again after it was committed does nothing.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        name = f"{checkpoint}#{batch_id}"
-        known = versions(spark, graph_path)
-        if known and not load_version(spark, graph_path, known[-1])[2].where((F.col("id") == known[-1]) & (F.col("source_path") == name)).isEmpty():
-            known.pop()
-        before = known[-1] if known else None
-        now = 0 if before is None else before + 1
-        nodes, edges, scans = load_version(spark, graph_path, before)
-        began = spark.range(1).select(F.current_timestamp()).first()[0]
-        initial = is_initial(nodes, source)
-        got = ingest_batch(batch, parse, nodes, edges, source)
-        found = [got.pop(k).count() for k in ("new_nodes", "new_edges")]
-        for table, df in got.items():
-            df.write.mode("overwrite").parquet(f"{graph_path}/v{now}/{table}")
-        if not initial:
-            drift = got["node_drift"].select(F.lit("node").alias("kind"), "change", "id", "type").unionByName(got["edge_drift"].select(F.lit("edge").alias("kind"), "change", "id", "type"))
-            store_drift(drift.withColumn("scan_id", F.lit(now).cast("long")), f"{graph_path}/drift")
-        scan = spark.createDataFrame([(now, source, name, began, None, *found, "completed")], SCAN_SCHEMA).withColumn("finished_at", F.current_timestamp())
-        record_scan(scans, scan).write.mode("overwrite").parquet(f"{graph_path}/v{now}/scans")
+        apply_scan(graph_store(batch.sparkSession, graph_path), batch, parse, source, f"{checkpoint}#{batch_id}", checkpoint)
 
     return docs_stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, off the heap, and save its changes only."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stream_latest(events: DataFrame, path: str, checkpoint: str, key: str = "id", ts: str = "ts") -> StreamingQuery:
-    """R2: the changed rows of each micro-batch as ``<path>/v<batch id>``; the state holds one row for each key."""
+    """R2: the changed rows of each micro-batch as ``<path>/v<batch id>``; the state holds one row for each key, in RocksDB."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
-    return latest_rows(events, key, ts).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with keyed_state(events.sparkSession):
+        return latest_rows(events, key, ts).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_cert_alerts(certs: DataFrame, as_of: Column, path: str, checkpoint: str) -> StreamingQuery:

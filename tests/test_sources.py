@@ -214,6 +214,7 @@ def test_scalars(spark):
 
 def test_streams(spark, tmp_path):
     from infragraph.functions.schema import NODE_SCHEMA
+    from infragraph.streaming.graph_store import graph_store, read_graph
     from infragraph.streaming.streams import stream_cert_alerts, stream_ingest, stream_latest
 
     docs = tmp_path / "docs"
@@ -223,9 +224,9 @@ def test_streams(spark, tmp_path):
     for i, name in enumerate(("one", "two")):
         spark.createDataFrame([(f"{name}.tfstate", "terraform", state(name))], schema).write.mode("append").json(str(docs))
         stream_ingest(spark.readStream.schema(schema).json(str(docs)), str(tmp_path / "graph"), parse, "terraform", str(tmp_path / "ck")).awaitTermination(120)
-        assert spark.read.parquet(str(tmp_path / f"graph/v{i}/nodes")).count() == i + 1
+        assert read_graph(graph_store(spark, str(tmp_path / "graph")))["nodes"].count() == i + 1
         time.sleep(0.1)
-    drift = {(r["change"], r["id"]) for r in spark.read.parquet(str(tmp_path / "graph/v1/node_drift")).collect()}
+    drift = {(r["change"], r["id"]) for r in spark.read.parquet(str(tmp_path / "graph/drift/scan_id=1")).where("kind = 'node'").collect()}
     assert drift == {("added", "tf:vm:two"), ("removed", "tf:vm:one")}
     spark.sql("select 'a' id, 'x' v, timestamp'2024-01-02' ts union all select 'a', 'y', timestamp'2024-01-03'").write.parquet(str(tmp_path / "ev"))
     stream_latest(spark.readStream.schema("id string, v string, ts timestamp").parquet(str(tmp_path / "ev")), str(tmp_path / "last"), str(tmp_path / "ck2")).awaitTermination(120)
