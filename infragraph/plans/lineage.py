@@ -38,6 +38,13 @@ def _hadoop(spark: SparkSession, path: str, act: Callable[..., object]) -> None:
     act(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name, in whatever store."""
+    found = []
+    _hadoop(spark, path, lambda fs, at: found.append(fs.exists(at)))
+    return found[0]
+
+
 def _scratch(df: DataFrame, path: str) -> DataFrame:
     _hadoop(df.sparkSession, path, lambda fs, at: fs.deleteOnExit(at))
     df.scratch_path = path
