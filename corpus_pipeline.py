@@ -33,8 +33,11 @@ def named(docs: DataFrame) -> list[Column]:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a clear language."""
     model = fit_language_model(docs, ~F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
-    found = identify(docs, model, prefix="__")
-    clear = (F.col("__lang_pred") != "und") & (F.col("__score") >= MIN_LANGUAGE_SCORE) & (F.col("__bits_per_byte") <= MOST_BITS_PER_BYTE)
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):  # names that no column of the documents has
+        prefix += "_"
+    found = identify(docs, model, prefix=prefix)
+    clear = (F.col(f"{prefix}lang_pred") != "und") & (F.col(f"{prefix}score") >= MIN_LANGUAGE_SCORE) & (F.col(f"{prefix}bits_per_byte") <= MOST_BITS_PER_BYTE)
     return found.where(clear).select(*named(docs))
 
 
