@@ -24,6 +24,11 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n)).cast("int")
 
 
+def in_sample(share: float, *columns: str | Column) -> Column:
+    """Whether a row is among about ``share`` of all rows, by a hash of the columns; also for shares far below a millionth."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 62)) < F.lit(min(1 << 62, int(share * (1 << 62))))
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

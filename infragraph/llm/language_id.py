@@ -13,19 +13,19 @@ these parameters and the number of languages and not the corpus.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from infragraph.llm.common import slices
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -24,16 +24,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from infragraph.llm.common import in_sample
 from infragraph.plans.components import connected_components
 from infragraph.plans.lineage import bucketed, discard, stored
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, row, line_no, line, lid): each line of each text; ``row`` tells rows of one id apart."""
+    """Rows (doc_id, row, line_no, line, lid, check): each line of each text; ``row`` tells rows of one id apart.
+
+    Lines are equal if both hashes are, of 64 bits each.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), text.alias("text"))
     cut = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return cut.withColumn("lid", F.xxhash64("line"))
+    return cut.withColumn("lid", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit("check"), "line"))
 
 
 def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
@@ -108,15 +112,19 @@ def _often(distinct: DataFrame, max_edits: int, per_edit: int, sample_rows: int,
 
     No more rows than the sample has keys by ``least``, which bounds the broadcast.
     """
-    share = min(1.0, sample_rows / max(1, distinct.count()))
-    some = distinct.where(F.pmod(F.xxhash64("lid", F.lit("often")), F.lit(1_000_000)) < int(share * 1_000_000))
+    total = distinct.count()
+    some = distinct.where(in_sample(sample_rows / max(1, total), "lid", F.lit("often")))
+    share = some.count() / max(1, total) or 1.0  # counts are scaled by what was really sampled
     found = segment_keys(some, max_edits, per_edit).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     return found.where(F.col("n") >= least).select("key", (1 + F.col("n") / share / 1024).cast("long").alias("parts"))
 
 
 def line_links(lines: DataFrame, max_edits: int = 2, per_edit: int = 12, hot: int = 48, sample_rows: int = 20_000) -> DataFrame:
-    """Rows (a, b) of line ids, a < b: the links between different lines, each once."""
-    long = lines.where(F.length("line") >= per_edit).groupBy("lid").agg(F.first("line").alias("line")).withColumn("n", F.length("line"))
+    """Rows (a, b) of line ids, a < b: the links between different lines, each once.
+
+    Of different lines whose ids are equal, the one with the smallest ``check`` is linked.
+    """
+    long = lines.where(F.length("line") >= per_edit).groupBy("lid").agg(F.min_by("line", "check").alias("line")).withColumn("n", F.length("line"))
     distinct = bucketed(long, "lid", "lines")
     often = stored(_often(distinct, max_edits, per_edit, sample_rows), "line-often")
     keys = segment_keys(distinct, max_edits, per_edit).join(F.broadcast(often), "key", "left")
@@ -158,12 +166,13 @@ def line_classes(docs: DataFrame, max_edits: int = 2, per_edit: int = 12, min_ch
     found = connected_components(links).select(F.col("node").alias("lid"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count(F.lit(1)).alias("n_links"))
     linked = stored(found.join(degree, "lid"), "line-classes")
-    places = lines.select("doc_id", "row", "line_no", "lid", (F.length("line") >= min_chars).alias("long"))
-    first = places.groupBy("lid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")).alias("first"))
-    of_class = first.join(linked, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    places = lines.select("doc_id", "row", "line_no", "lid", "check", (F.length("line") >= min_chars).alias("long"))
+    first = places.groupBy("lid", "check").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")).alias("first"))
+    one = first.groupBy("lid").agg(F.min("check").alias("check"))
+    of_class = first.join(linked.join(one, "lid"), ["lid", "check"], "left")
     lowest = of_class.where("n_links is not null").groupBy("component").agg(F.min("first").alias("low"))
-    of_class = of_class.join(lowest, "component", "left").select("lid", F.coalesce("low", "first").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = places.join(of_class, "lid")
+    of_class = of_class.join(lowest, "component", "left").select("lid", "check", F.coalesce("low", "first").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = places.join(of_class, ["lid", "check"])
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))
     return out.select(
         "doc_id", "row", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), F.col("n_links").cast("long").alias("n_links"), (~F.col("long") | is_first).alias("kept")
@@ -181,7 +190,8 @@ def drop_repeated_lines(docs: DataFrame, max_edits: int = 2, per_edit: int = 12,
     gone = gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")).select("row", "doc_id", "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("own_row"))
     joined = rows.join(gone, (F.col("own_row") == F.col("row")) & F.col("own_id").eqNullSafe(F.col("doc_id")), "left")
-    left = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n')")
+    # the places that stay are found by hashing: linear in the lines of a text
+    left = F.expr("transform(array(split(text, '\\n')), w -> array_join(transform(array_except(sequence(0, size(w) - 1), gone), i -> w[i]), '\\n'))[0]")
     cut = joined.withColumn("rest", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
     stays = F.col("gone").isNull() | F.col("rest").rlike(r"\S")
     return cut.where(stays).select(*[F.col("rest").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])

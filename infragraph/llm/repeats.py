@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from infragraph.llm.common import slices
+from infragraph.llm.common import in_sample, slices
 from infragraph.llm.suffix_array import Shard, repeated_windows
 from infragraph.plans.lineage import bucketed, stored
 
@@ -282,13 +282,20 @@ def _often(texts: DataFrame, width: int, gram: int, sample: int = 1_000_000, lea
     """
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     share = min(1.0, sample * (width - gram + 2) / 2 / max(1, size))
-    some = texts.where(F.pmod(F.xxhash64("id", "row", F.lit("often")), F.lit(1_000_000)) < int(share * 1_000_000))
+    some = texts.where(in_sample(share, "id", "row", F.lit("often")))
+    # counts are scaled by what was really sampled
+    share = (some.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / max(1, size) or 1.0
     found = some.select("id", "row", "text").mapInArrow(_anchor_rows(width, gram), "h long, id long, row binary, loc long")
     return found.groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count")).limit(sample // least).select("h", (F.col("count") / share).cast("long").alias("often"))
 
 
 def repeated_spans(texts: DataFrame, width: int = 100, gram: int = 24, hot: int = 4000) -> DataFrame:
-    """Rows (id, row, at, end): the marked runs of windows of texts given as (id, row, text), each (id, row) once."""
+    """Rows (id, row, at, end): the marked runs of windows of texts given as (id, row, text), each (id, row) once.
+
+    A window holds at most 256 grams, as a place packs the offset of an anchor in a byte.
+    """
+    if not 0 <= width - gram < 256:
+        raise ValueError("width has to be that of the gram, or up to 255 bytes more")
     often = _often(texts, width, gram)
     found = texts.select("id", "row", "text").mapInArrow(_anchor_rows(width, gram), "h long, id long, row binary, loc long")
     found = found.join(F.broadcast(often), "h", "left").withColumn("part", F.when(F.col("often").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "row"), 1 + F.shiftright("often", 10))))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from infragraph.llm.common import slices
+from infragraph.llm.common import in_sample, slices
 from infragraph.plans.components import connected_components
 from infragraph.plans.lineage import bucketed, discard, stored
 
@@ -200,7 +200,7 @@ def _signed(x: int) -> int:
 def plan_for(distinct: DataFrame, n: int, max_bits: int, sample_rows: int) -> list[Part]:
     """The plan for ``n`` distinct fingerprints, from a sample of at most ``sample_rows`` of them."""
     share = min(1.0, 1.2 * sample_rows / max(1, n))
-    picked = distinct.where(F.pmod(F.xxhash64(F.col("fp"), F.lit("plan")), F.lit(1_000_000)) < int(share * 1_000_000)).select("fp").limit(sample_rows)
+    picked = distinct.where(in_sample(share, "fp", F.lit("plan"))).select("fp").limit(sample_rows)
     return allocate(np.array([r["fp"] for r in picked.collect()], np.int64), n, max_bits)
 
 
@@ -236,7 +236,7 @@ def common_shingles(texts: DataFrame, width: int, sample_rows: int, least: int =
             yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
 
     share = min(1.0, sample_rows / max(1, texts.count()))
-    picked = texts.select("text").where(F.pmod(F.xxhash64("text", F.lit("common")), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = texts.select("text").where(in_sample(share, "text", F.lit("common")))
     often = picked.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(most)
     return np.sort(np.array([r["shingle"] for r in often.select("shingle").collect()], np.int64).view(np.uint64))
 
@@ -428,4 +428,6 @@ def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int
     first = of_row.join(rows.select("key", "row").distinct(), "row").groupBy("component").agg(F.min(F.struct("key", "row")).alias("first")).select("first.*")
     first = stored(first, "simhash-first")
     discard(marked, fps, known, near)
-    return rows.join(first, ["key", "row"], "left_semi").groupBy("key", "row").agg(F.first("doc").alias("doc")).select("doc.*")
+    # rows equal in id and text: the one with the smallest hash of its other columns
+    rest = F.xxhash64(*[F.col("doc")[f.name] for f in docs.schema if f.name != text_col and f.dataType.typeName() not in ("map", "variant")])
+    return rows.join(first, ["key", "row"], "left_semi").groupBy("key", "row").agg(F.min_by("doc", rest).alias("doc")).select("doc.*")

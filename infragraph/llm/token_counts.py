@@ -16,12 +16,11 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from infragraph.llm.common import slices
-from infragraph.plans.lineage import release, scratch_path, stored
+from infragraph.plans.lineage import exists, release, scratch_path, stored
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -106,12 +105,10 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 
 def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame | None:
-    """Stored counts (digest, n_tokens) of one tokenizer version; None if there is no cache yet."""
-    try:
-        found = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
-    except AnalysisException:
+    """Stored counts (digest, n_tokens) of one tokenizer version, a digest once for each run that added it; None if there is no cache yet."""
+    if not exists(spark, cache_path):
         return None
-    return found.where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version).select("digest", "n_tokens")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +128,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     release(spark)
     kind = base.schema[0].dataType.simpleString()
-    rows = base.mapInArrow(_digests(tokenizer_path, id_col, keep=0), f"`{id_col}` {kind}, digest binary, n_bytes long")
-    # written, so that the join of a frequent text can be split
-    counts = stored(read_cache(spark, cache_path, version), "token-counts-known")
+    rows = stored(base.mapInArrow(_digests(tokenizer_path, id_col, keep=0), f"`{id_col}` {kind}, digest binary, n_bytes long"), "token-counts-rows")
+    # of the cache only what this run asks for; written, so that the join of a frequent text can be split
+    asked = read_cache(spark, cache_path, version).join(rows.select("digest").distinct(), "digest", "left_semi")
+    counts = stored(asked.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts-known")
     return rows.join(counts, "digest", "left").select(F.col(f"`{id_col}`"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
