@@ -10,49 +10,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from infragraph.functions.scalar import normalize_cycle
+from infragraph.operators.cycles import find_cycles, strong_components
+from infragraph.operators.paths import shortest_path
 from infragraph.operators.relational import both_ways
+from infragraph.plans.chains import find_chains
 from infragraph.plans.components import connected_components
-from infragraph.plans.lineage import cut
+from infragraph.plans.lineage import cut, release
+
+__all__ = ["find_cycles", "shortest_path", "strong_components"]
 
 SEEN_PARTS = 16  # levels after which what was seen is written together
 
 
-def _search(arcs: DataFrame, roots: DataFrame, max_depth: int | None = None, ordered: bool = True) -> DataFrame:
+def _search(arcs: DataFrame, roots: DataFrame, max_depth: int | None = None, ordered: bool = True, keep: DataFrame | None = None) -> DataFrame:
     """Breadth-first over arcs (src, dst, type): (root_id, node_id, parent_id, edge_type, depth, place), without the roots.
 
     W2: inside a level, nodes come in the order of (their parent's place, edge type, node id), and the first
     discoverer of a node is its parent. Places are numbers that grow in this order: a level is sorted by
     range, so no root's level is gathered in one task. Without ``ordered`` there is no parent, edge type and
     place: a level is only made distinct.
+
+    A long chain of nodes with one way in and out is walked in one step: who enters it arrives at its end as many levels
+    later. Nobody else can discover its nodes, so levels in which all are on their way are passed over. Until it
+    arrives, a walker takes part in the order of the levels, at the place of its node there. The chain's nodes are filled
+    in at the end; their place is their walker's last one. Roots and the nodes of ``keep`` (id) are not in chains.
     """
-    arcs = cut(arcs.select("src", "dst", "type").distinct() if ordered else arcs.select("src", "dst").distinct())
+    arcs = cut(arcs.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("type").alias("type")))
     start = roots.select(F.col("id").alias("root_id")).distinct()
+    fixed = start.select(F.col("root_id").alias("id"))
+    chains = find_chains(arcs, fixed if keep is None else fixed.unionByName(keep.select("id")))
+    if chains is not None:
+        heads, links = chains
+        inner = heads.select(F.col("head").alias("src")).unionByName(links.select(F.col("node_id").alias("src")))
+        arcs = cut(arcs.join(inner, "src", "left_anti"))
     columns = ["parent_id", "edge_type", "place"] if ordered else []
     kinds = {"parent_id": "string", "edge_type": "string", "place": "bigint"}
     front = cut(start.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("depth"), *[F.lit(0 if c == "place" else None).cast(kinds[c]).alias(c) for c in columns]))
-    seen, out, depth = front, None, 0
+    seen, out, depth, levels, walkers = front, None, 0, 0, None
     while max_depth is None or depth < max_depth:
-        depth += 1
-        step = front.select("root_id", F.col("node_id").alias("via"), *(["place"] if ordered else [])).join(arcs, F.col("via") == F.col("src"))
+        depth, levels = depth + 1, levels + 1
+        if walkers is not None and front.isEmpty():
+            depth = walkers.agg(F.min("arrive")).first()[0]
+            if depth is None or (max_depth is not None and depth > max_depth):
+                break
+        step = front.select("root_id", F.col("node_id").alias("via"), *(["place"] if ordered else [])).join(arcs, F.col("via") == F.col("src")).select("root_id", "via", "dst", *(["place", "type"] if ordered else []))
+        if walkers is not None:
+            ended = walkers.where(F.col("arrive") == depth).select("root_id", F.col("last").alias("via"), F.col("end").alias("dst"), *(["place", F.col("end_type").alias("type")] if ordered else []))
+            step = step.unionByName(ended)
         if ordered:
             first = step.groupBy("root_id", F.col("dst").alias("node_id")).agg(F.min(F.struct("place", "type", F.col("via").alias("parent_id"))).alias("m"))
             first = first.select("root_id", "node_id", F.lit(depth).alias("depth"), "m.parent_id", F.col("m.type").alias("edge_type"), F.col("m.place").alias("before"))
         else:
             first = step.select("root_id", F.col("dst").alias("node_id"), F.lit(depth).alias("depth")).distinct()
         first = first.join(seen.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
+        if chains is not None:
+            entered = heads.select(F.col("head").alias("node_id"), "last", (F.col("k") + depth).cast("int").alias("arrive"), "end", "end_type")
+            first = first.join(entered, "node_id", "left").withColumn("new", F.lit(True))
+            if walkers is not None:
+                still = walkers.where(F.col("arrive") > depth)
+                first = first.unionByName(still.withColumn("before", F.col("place")).drop("place") if ordered else still)
         if ordered:
             order = ["before", "edge_type", "node_id"]
             first = first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()).drop("before")
-        front = cut(first)
-        if front.isEmpty():
+        level = cut(first)
+        if chains is not None:
+            fresh, front = level.where("new").drop("new", *["last", "arrive", "end", "end_type"]), level.where("new and arrive is null").drop("new", "last", "arrive", "end", "end_type")
+            walkers = level.where("arrive is not null").withColumn("new", F.lit(False))
+        else:
+            fresh = front = level
+        if level.isEmpty():
             break
-        out = front if out is None else out.unionAll(front)
-        seen = seen.unionAll(front)
-        if depth % SEEN_PARTS == 0:  # a deep search does not read one part for each level
-            out = cut(out.coalesce(8))
-            seen = out.unionAll(cut(start.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("depth"), *[F.lit(None).cast(kinds[c]).alias(c) for c in columns])))
-    return front.limit(0) if out is None else out
+        out = fresh if out is None else out.unionByName(fresh)
+        seen = seen.unionByName(fresh)
+        if levels % SEEN_PARTS == 0:  # a deep search does not read one part for each level
+            out = cut(out)
+            seen = out.unionByName(cut(start.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("depth"), *[F.lit(None).cast(kinds[c]).alias(c) for c in columns])))
+    if out is None:
+        return front.limit(0)
+    if chains is not None:
+        walked = out.select("root_id", F.col("node_id").alias("head"), "depth", *(["place"] if ordered else [])).join(links, "head")
+        walked = walked.select("root_id", "node_id", (F.col("depth") + F.col("step")).alias("depth"), *columns)
+        out = out.unionByName(walked if max_depth is None else walked.where(F.col("depth") <= max_depth))
+    return out
 
 
 def with_paths(rows: DataFrame) -> DataFrame:
@@ -118,35 +157,75 @@ def dependency_chain(edges: DataFrame, roots: DataFrame, max_depth: int = 10) ->
     return with_paths(_search(_arcs(edges, False), roots, max(0, max_depth))).select("root_id", "node_id", "parent_id", "edge_type", "depth", "path")
 
 
-def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Pairs (root_id, node_id): each node with all that transitively points to it; semi-naive, a level a round."""
-    step = cut(edges.select(F.col("to_id").alias("root_id"), F.col("from_id").alias("node_id")).where("root_id <> node_id").distinct())
-    hop = step.select(F.col("root_id").alias("via"), F.col("node_id").alias("next"))
+def closure(edges: DataFrame, max_depth: int | None = None, plain_rounds: int = 4) -> DataFrame:
+    """Pairs (root_id, node_id): each node with all that transitively points to it; semi-naive.
+
+    The first rounds add an edge each, as most graphs are shallow; from then on what is new is joined with all pairs so
+    far, which doubles the distance a round, so that a deep graph takes a logarithm of its depth.
+    """
+    kind = edges.schema["to_id"].dataType.simpleString()
+    step = cut(edges.select(F.col("to_id").cast(kind).alias("root_id"), F.col("from_id").alias("node_id")).where("root_id <> node_id").distinct())
     every, fresh, depth = step, step, 1
     while max_depth is None or depth < max_depth:
         depth += 1
+        far = step if max_depth is not None or depth <= plain_rounds else every
+        hop = far.select(F.col("root_id").alias("via"), F.col("node_id").alias("next"))
         more = fresh.join(hop, fresh["node_id"] == hop["via"]).select("root_id", F.col("next").alias("node_id")).where("root_id <> node_id").distinct()
         fresh = cut(more.join(every, ["root_id", "node_id"], "left_anti"))
+        release(edges.sparkSession)
         if fresh.isEmpty():
             break
         every = every.unionAll(fresh)
+        if depth % plain_rounds == 0:
+            every = cut(every)
     return every
 
 
-def spof(nodes: DataFrame, edges: DataFrame, min_affected: int = 1, limit: int = 20, max_depth: int | None = None, lg_k: int = 12) -> DataFrame:
+def reach_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, affected, by_type) of every node that others depend on, exactly, over the graph of strong components.
+
+    Nodes on a common cycle are one place; places have dense numbers, so the closure holds pairs of numbers between places
+    instead of names between nodes. What a place counts of each type is counted once.
+    """
+    every = cut(edges.select("from_id", "to_id").where("from_id <> to_id").distinct())
+    ends = every.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    strong = strong_components(every).withColumnRenamed("node", "id")
+    placed = ends.join(strong, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    numbers = cut(placed.select("component").distinct().repartitionByRange("component").sortWithinPartitions("component").withColumn("place", F.monotonically_increasing_id()))
+    place = cut(placed.join(numbers, "component").join(nodes.select("id", "type"), "id", "left").select("id", "place", "type"))
+    number = lambda end: place.select(F.col("id").alias(f"{end}_id"), F.col("place").alias(end))
+    arcs = every.join(number("from"), "from_id").join(number("to"), "to_id").where("`from` <> `to`").select(F.col("from").alias("from_id"), F.col("to").alias("to_id")).distinct()
+    pairs = closure(arcs)
+    held = place.groupBy("place", "type").agg(F.count(F.lit(1)).alias("n"))
+    own = held.withColumn("root_place", F.col("place")).select("root_place", "type", "n")
+    above = pairs.select(F.col("root_id").alias("root_place"), F.col("node_id").alias("place")).join(held, "place").select("root_place", "type", "n")
+    counts = cut(own.unionByName(above).groupBy("root_place", "type").agg(F.sum("n").alias("n")))
+    # of its own place a node counts the others
+    each = place.join(counts.withColumnRenamed("root_place", "place").withColumnRenamed("type", "kind"), "place").select("id", "kind", (F.col("n") - F.when(F.col("kind").eqNullSafe(F.col("type")), 1).otherwise(0)).alias("n")).where("n > 0")
+    return each.groupBy("id").agg(F.sum("n").alias("affected"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct(F.col("kind").alias("type"), "n"))))).alias("by_type"))
+
+
+def spof(nodes: DataFrame, edges: DataFrame, min_affected: int = 1, limit: int = 20, max_depth: int | None = None, lg_k: int = 12, most: int = 2000) -> DataFrame:
     """(id, affected, by_type) of every node that at least ``min_affected`` others depend on.
 
     Most affected first, ties by id. The first ``limit`` are found by sketches of all nodes: only those whose
-    estimate comes within six standard errors of the last place are searched exactly. A limit of 0 means all,
-    by the closure, which has a row for each pair; so does a ``max_depth``.
+    estimate comes within six standard errors of the last place are searched exactly, so the result is right unless an
+    estimate is off by more, and where more than ``most`` nodes come that near (ties) all are counted instead. A limit of
+    0 means all, by ``reach_counts``; a ``max_depth`` takes the closure of names.
     """
     known = nodes.select("id")
+    roots = None
     if limit and max_depth is None:
         error = 6 * 1.04 / 2 ** (lg_k / 2)
         ranked = cut(_reach_sketches(edges, lg_k).join(known, "id", "left_semi"))
         last = ranked.orderBy(F.desc("affected")).limit(limit).agg(F.min("affected")).first()[0] or 0
         roots = cut(ranked.where(F.col("affected") * (1 + error) >= last * (1 - error)).select("id"))
+        roots = None if roots.count() > most else roots
+    if roots is not None:
         pairs = _search(_arcs(edges, True), roots, ordered=False)
+    elif max_depth is None:
+        counted = reach_counts(nodes, edges).join(known, "id", "left_semi").where(F.col("affected") >= min_affected).orderBy(F.desc("affected"), "id")
+        return counted.limit(limit) if limit else counted
     else:
         pairs = closure(edges, max_depth).join(known.withColumnRenamed("id", "root_id"), "root_id", "left_semi")
         roots = pairs.select(F.col("root_id").alias("id")).distinct()
@@ -180,68 +259,6 @@ def spof_approx(nodes: DataFrame, edges: DataFrame, min_affected: int = 1, limit
     return out.limit(limit) if limit else out
 
 
-def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(from_id, to_id, found, step, node_id, edge_id) along an undirected shortest path of each pair.
-
-    Equal ends give one step. Without a path there is one row with found = false. Ties go to the smallest
-    trail of node ids. A step's edge is the one that points forward, if there is one, with the smallest id.
-    """
-    want = cut(pairs.select("from_id", "to_id").distinct())
-    arcs = cut(both_ways(edges).groupBy("a", "b").agg(F.min(F.struct((~F.col("forward")).alias("back"), "edge_id")).alias("e")).select("a", "b", "e.edge_id"))
-    front = cut(want.select("from_id", "to_id", F.col("from_id").alias("node_id"), F.array("from_id").alias("path"), F.array().cast("array<string>").alias("by")))
-    seen = front.select("from_id", "to_id", "node_id")
-    found = front.where("from_id = to_id").select("from_id", "to_id", "path", "by")
-    front = front.where("from_id <> to_id")
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        reached = front.join(arcs, front["node_id"] == arcs["a"]).select("from_id", "to_id", F.col("b").alias("node_id"), F.concat("path", F.array("b")).alias("path"), F.concat("by", F.array("edge_id")).alias("by"))
-        level = cut(reached.join(seen, ["from_id", "to_id", "node_id"], "left_anti").groupBy("from_id", "to_id", "node_id").agg(F.min(F.struct("path", "by")).alias("m")).select("from_id", "to_id", "node_id", "m.path", "m.by"))
-        if level.isEmpty():
-            break
-        done = level.where("node_id = to_id").select("from_id", "to_id", "path", "by")
-        found = found.unionAll(done)
-        seen = seen.unionAll(level.select("from_id", "to_id", "node_id"))
-        front = level.join(done.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
-    steps = found.select("from_id", "to_id", F.lit(True).alias("found"), F.posexplode("path").alias("step", "node_id"), "by")
-    steps = steps.select("from_id", "to_id", "found", "step", "node_id", F.when(F.col("step") > 0, F.get("by", F.col("step") - 1)).alias("edge_id"))
-    none = want.join(found.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti").selectExpr("from_id", "to_id", "false as found", "cast(null as int) as step", "cast(null as string) as node_id", "cast(null as string) as edge_id")
-    return steps.unionByName(none)
-
-
-def find_cycles(edges: DataFrame, max_len: int = 50, limit: int = 100) -> DataFrame:
-    """(cycle, length): elementary directed cycles of up to ``max_len`` nodes, smallest id first (D3).
-
-    Nodes without a way in or out are trimmed until none is left, then paths grow from each node over larger
-    ids only, so each cycle is found once. ``limit`` keeps the first by (length, cycle), and paths stop growing
-    once that many cycles of the lengths so far are found; 0 keeps all.
-    """
-    e = cut(edges.select("from_id", "to_id").distinct())
-    size = e.count()
-    while size:
-        kept = e.join(e.select(F.col("to_id").alias("x")).distinct(), F.col("from_id") == F.col("x"), "left_semi")
-        kept = cut(kept.join(e.select(F.col("from_id").alias("x")).distinct(), F.col("to_id") == F.col("x"), "left_semi"))
-        now = kept.count()
-        e = kept
-        if now == size:
-            break
-        size = now
-    found = cut(e.where("from_id = to_id").select(F.array("from_id").alias("cycle")))
-    n = found.count()
-    hop = e.where("from_id <> to_id").select(F.col("from_id").alias("at"), F.col("to_id").alias("next"))
-    paths = cut(hop.where("next > at").select(F.array("at", "next").alias("path")))
-    length = 2
-    while length <= max_len and (not limit or n < limit) and not paths.isEmpty():
-        grown = paths.join(hop, F.element_at("path", -1) == F.col("at"))
-        closed = cut(grown.where(F.col("next") == F.col("path")[0]).select(F.col("path").alias("cycle")))
-        n += closed.count()
-        found = found.unionAll(closed)
-        paths = cut(grown.where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path")))
-        length += 1
-    out = found.select(normalize_cycle("cycle").alias("cycle")).distinct().withColumn("length", F.size("cycle")).orderBy("length", "cycle")
-    return out.limit(limit) if limit else out
-
-
 def reachable_undirected(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root_id, node_id): all nodes connected to each root, whatever the direction, roots left out."""
     parts = connected_components(edges, "from_id", "to_id")
@@ -258,8 +275,9 @@ def secrets_touched(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def external_exposure(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root_id, exposed, entry_id, path): the nearest upstream ingress or load balancer of each root."""
-    rows = _search(_arcs(edges, True), roots)
-    doors = rows.join(nodes.where(F.col("type").isin("ingress", "load_balancer")).select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    entries = nodes.where(F.col("type").isin("ingress", "load_balancer")).select("id")
+    rows = _search(_arcs(edges, True), roots, keep=entries)
+    doors = rows.join(entries.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
     near = cut(doors.groupBy("root_id").agg(F.min_by("node_id", F.struct("depth", "place")).alias("node_id")))
     # the ways down from the doors that were found, a level a round
     way = cut(near.select("root_id", F.col("node_id").alias("entry_id"), F.col("node_id").alias("at"), F.array("node_id").alias("path")))
