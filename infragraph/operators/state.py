@@ -62,19 +62,31 @@ def changed_fields(old: str, new: str) -> Column:
     return F.concat(F.array_compact(named), F.transform(keys, lambda k: F.concat(F.lit("metadata."), k)))
 
 
+def _signature(prefix: str) -> Column:
+    """128 bits of what ``changed_fields`` compares."""
+    parts = ("name", "type", F.array_sort(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>")))))
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("again"), *parts).alias("b")).alias(f"{prefix}_sig")
+
+
 def node_drift(current: DataFrame, batch: DataFrame, source: str) -> DataFrame:
     """DR1: (change, id, name, type, changes): added, removed and modified nodes of one source.
 
     The caller names the source (D9). Repeated ids in the batch count once (D7). Removed nodes stay stored
-    until pruned and so come back with every scan (D8).
+    until pruned and so come back with every scan (D8). In two phases: all nodes meet by id with a signature of their
+    fields; metadata are only fetched for those that differ.
     """
-    cols = ["id", "name", "type", "metadata"]
-    old = current.where(F.col("source") == source).select(F.col("id").alias("old_id"), F.struct(*cols).alias("old"))
-    new = batch.groupBy("id").agg(F.max_by(F.struct(*cols), F.struct("name", "type")).alias("new"))
-    both = old.join(new, F.col("old_id") == F.col("id"), "full_outer").withColumn("changes", F.when(F.col("old").isNotNull() & F.col("new").isNotNull(), changed_fields("old", "new")))
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.size("changes") > 0, "modified")
-    shown = F.coalesce("new", "old")
-    return both.withColumn("change", change).where("change is not null").select("change", shown["id"].alias("id"), shown["name"].alias("name"), shown["type"].alias("type"), F.coalesce("changes", F.array().cast("array<string>")).alias("changes"))
+    stored_rows = current.where(F.col("source") == source)
+    last = F.max_by(F.struct("name", "type", "metadata"), F.struct("name", "type", F.to_json(F.array_sort(F.map_entries("metadata")))))
+    new_rows = batch.groupBy("id").agg(last.alias("r")).select("id", "r.*")
+    old = stored_rows.select(F.col("id").alias("old_id"), F.col("name").alias("old_name"), F.col("type").alias("old_type"), _signature("old"))
+    both = old.join(new_rows.select("id", "name", "type", _signature("new")), F.col("old_id") == F.col("id"), "full_outer")
+    change = F.when(F.col("old_id").isNull(), "added").when(F.col("id").isNull(), "removed").when(F.col("old_sig") != F.col("new_sig"), "modified")
+    met = both.select(change.alias("change"), F.coalesce("id", "old_id").alias("id"), F.coalesce("name", "old_name").alias("name"), F.coalesce("type", "old_type").alias("type")).where("change is not null")
+    differ = met.where("change = 'modified'").select("id")
+    a = stored_rows.join(differ, "id", "left_semi").select("id", F.struct("id", "name", "type", "metadata").alias("old"))
+    b = new_rows.join(differ, "id", "left_semi").select("id", F.struct("id", "name", "type", "metadata").alias("new"))
+    fields = a.join(b, "id").select("id", changed_fields("old", "new").alias("changes"))
+    return met.join(fields, "id", "left").select("change", "id", "name", "type", F.coalesce("changes", F.array().cast("array<string>")).alias("changes"))
 
 
 def edge_drift(current_nodes: DataFrame, current_edges: DataFrame, batch_edges: DataFrame, source: str) -> DataFrame:
@@ -91,6 +103,12 @@ def is_initial(current: DataFrame, source: str) -> bool:
     return current.where(F.col("source") == source).isEmpty()
 
 
+def initial_sources(current: DataFrame, sources: DataFrame) -> DataFrame:
+    """DR4 for many sources in one job: rows (source, initial) for rows (source)."""
+    known = current.select("source").distinct().withColumn("known", F.lit(True))
+    return sources.select("source").distinct().join(known, "source", "left").select("source", F.col("known").isNull().alias("initial"))
+
+
 def fingerprint(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
     """All columns as one comparable text; maps as sorted entries."""
     parts = [F.array_sort(F.map_entries(f.name)).alias(f.name) if f.dataType.typeName() == "map" else F.col(f.name) for f in df.schema if f.name not in skip]

@@ -254,7 +254,7 @@ def t6_spof(nodes, edges):
 @case(CLOSURE + ", k AS (SELECT root_id AS id, count(*) AS n FROM c WHERE root_id <> node_id GROUP BY 1) SELECT id, true AS near FROM k")
 def t7_spof_approx(nodes, edges):
     """Every node of the exact ranking, and whether its sketched count is within a tenth of the exact one."""
-    exact = T.closure(edges).groupBy(F.col("root_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    exact = T.reach_counts(nodes, edges).select("id", F.col("affected").alias("n"))
     found = T.spof_approx(nodes, edges, limit=0).join(exact, "id")
     return found.select("id", (F.abs(F.col("affected") - F.col("n")) <= F.greatest(F.lit(2), F.col("n") * 0.1)).alias("near"))
 
@@ -618,7 +618,7 @@ def p2_record_scan(spark, sf_dir):
 @case("SELECT source, false AS initial FROM nodes GROUP BY 1 UNION ALL SELECT 'ansible', true")
 def dr4_is_initial(nodes, edges):
     names = ["terraform", "cloudformation", "pulumi", "kubernetes", "compose", "ansible"]
-    return nodes.sparkSession.createDataFrame([(x, S.is_initial(nodes, x)) for x in names], "source string, initial boolean")
+    return S.initial_sources(nodes, nodes.sparkSession.createDataFrame([(x,) for x in names], "source string"))
 
 
 @case("SELECT 'removed' AS change, id FROM edges WHERE type = 'member_of'")
