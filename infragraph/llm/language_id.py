@@ -27,6 +27,8 @@ from infragraph.llm.common import slices
 
 LETTER = regex.compile(r"\p{L}")
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Languages whose costs lie side by side.
+GROUP = 8
 
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -128,6 +130,11 @@ class Ppm:
             model.contexts.append(Table(ctx))
         return model
 
+    @property
+    def size(self) -> int:
+        """Bytes of its arrays."""
+        return sum(a.nbytes for a in (*self.costs, *self.leave)) + sum(t.keys.nbytes + t.at.nbytes for t in (*self.seen, *self.contexts))
+
     def bits(self, keys: np.ndarray, k: int) -> np.ndarray:
         """Bits of each key's last byte after its ``k`` bytes of context, a column for each language."""
         if k < 0:
@@ -160,18 +167,43 @@ class Ppm:
         return out
 
 
-def fit_language_model(docs: DataFrame, learn: Column, per_language: int = 150, most_rows: int = 9600, max_chars: int = 50_000, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Ppm:
+@dataclass
+class Languages:
+    """Models of ``GROUP`` languages each, in the order of names; what one language has seen takes no room in other groups."""
+
+    groups: list[Ppm]
+
+    @classmethod
+    def fit(cls, texts: dict[str, list[bytes]], order: int = 4) -> Languages:
+        names = sorted(texts)
+        return cls([Ppm.fit({n: texts[n] for n in names[i : i + GROUP]}, order) for i in range(0, len(names), GROUP)])
+
+    @property
+    def languages(self) -> list[str]:
+        return [n for g in self.groups for n in g.languages]
+
+    @property
+    def size(self) -> int:
+        return sum(g.size for g in self.groups)
+
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        return np.concatenate([g.code_lengths(texts) for g in self.groups], axis=1)
+
+
+def fit_language_model(docs: DataFrame, learn: Column, per_language: int = 150, most_rows: int = 9600, max_chars: int = 50_000, order: int = 4, max_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """The frozen model from a bounded sample of the rows where ``learn`` holds.
 
     At most ``per_language`` rows of each language are read, or ``most_rows`` in all, but 4 of each language at
     least: whole texts of up to ``max_chars`` characters, the rows with the smallest hashes, so reruns agree. A
     language of longer texts only is learned from its shortest one.
+
+    The model goes to all tasks, so its size is bounded too. An eighth of the rows is fitted first; if eight times that is over ``max_bytes``, each language keeps so many rows fewer, 2 at least.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     long = F.length("text") > max_chars
     counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count_if(~long).alias("n"), F.min(F.length("text")).alias("least")).collect()}
     if not counts:
-        return Ppm.fit({}, order)
+        return Languages([])
     per_language = min(per_language, max(4, most_rows // len(counts)))
     share = F.create_map(*[F.lit(x) for name, r in counts.items() for x in (name, min(1.0, (per_language * 2 + 50) / max(1, r["n"])))])
     alone = F.create_map(*[F.lit(x) for name, r in counts.items() for x in (name, 0 if r["n"] else r["least"])])
@@ -181,10 +213,12 @@ def fit_language_model(docs: DataFrame, learn: Column, per_language: int = 150,
     texts: dict[str, list[bytes]] = {}
     for r in sorted(ranked.select("lang", "place", "text").collect(), key=lambda r: (r["lang"], r["place"])):
         texts.setdefault(r["lang"], []).append(r["text"].encode())
-    return Ppm.fit(texts, order)
+    if (most := 8 * Languages.fit({k: t[: max(1, len(t) // 8)] for k, t in texts.items()}, order).size) > max_bytes:
+        texts = {k: t[: max(2, len(t) * max_bytes // most)] for k, t in texts.items()}
+    return Languages.fit(texts, order)
 
 
-def identify(docs: DataFrame, model: Ppm, text_col: str = "text", prefix: str = "") -> DataFrame:
+def identify(docs: DataFrame, model: Languages, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``bits_per_byte`` added (names under ``prefix``); map-only.
 
     ``score`` is the posterior share of the chosen language under equal priors, from 0 to 1. The code length
@@ -198,7 +232,7 @@ def identify(docs: DataFrame, model: Ppm, text_col: str = "text", prefix: str =
     base = docs.select(*[F.col(f"`{c}`") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm: Ppm = shared.value
+        ppm: Languages = shared.value
         at = keep.index(text_col)
         for part in slices(batches, text_col):
             texts = part.column(at).to_pylist()

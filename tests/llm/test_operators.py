@@ -266,6 +266,44 @@ def test_line_classes_and_removal(spark, hard, empty):
     assert line_classes(empty).count() == 0 and drop_repeated_lines(empty).count() == 0
 
 
+def test_many_lines_in_one_text(spark):
+    """Lines that go are found by hashing, not by looking through all of them for each."""
+    from infragraph.llm.line_dedup import drop_repeated_lines
+
+    line = "one line of a log that was copied again and again"
+    docs = spark.createDataFrame([(1, "\n".join([line] * 200_000)), (2, "\n".join([line] * 200_000 + ["the last line is another one"]))], "doc_id long, text string")
+    began = time.perf_counter()
+    assert {r["doc_id"]: r["text"] for r in drop_repeated_lines(docs).collect()} == {1: line, 2: "the last line is another one"}
+    assert time.perf_counter() - began < 90
+
+
+def test_lines_that_share_a_hash(spark):
+    """Two different lines under one 64-bit hash both stay."""
+    from infragraph.llm import line_dedup as L
+
+    docs = spark.createDataFrame([(1, "the first of two lines under one hash"), (2, "quite another line, which has the same hash"), (3, "the first of two lines under one hash")], "doc_id long, text string")
+    cut, keep = L.lines_of(docs).withColumn("lid", F.lit(7).cast("long")), L.lines_of
+    L.lines_of = lambda *a, **b: cut
+    try:
+        got = {r["doc_id"]: (r["class_doc_id"], r["kept"]) for r in L.line_classes(docs).collect()}
+    finally:
+        L.lines_of = keep
+    assert got == {1: (1, True), 2: (2, True), 3: (1, False)}
+
+
+def test_samples_far_below_a_millionth(spark):
+    """A share of 1 in 2^31 of a scaled hash still takes rows, and counts are scaled by what was taken."""
+    from infragraph.llm.common import in_sample
+
+    share = 1e-5
+    taken = spark.range(4_000_000).where(in_sample(share, "id", F.lit("x"))).count()
+    assert 10 < taken < 90
+    one = spark.range(1).select(in_sample(1e-12, F.lit(1)).alias("a"), in_sample(1.0, F.lit(1)).alias("b")).first()
+    assert one["b"] is True
+    tiny = in_sample(1e-12, F.lit(1))._jc.toString()
+    assert " < 0" not in tiny
+
+
 def test_every_line_class_keeps_a_line(spark):
     from infragraph.llm.line_dedup import drop_repeated_lines
 
@@ -402,11 +440,66 @@ def test_language_id(spark, hard, empty):
     assert {r["lang_pred"] for r in identify(long, fit_language_model(long, F.lit(True), max_chars=100)).where("lang = 'fr'").collect()} == {"fr"}
     many = spark.range(300).selectExpr("id as doc_id", "concat('word', id, ' ', repeat(char(97 + id % 26), 3 + id % 7)) as text", "concat('l', lpad(id, 3, '0')) as lang")
     assert len(fit_language_model(many, F.lit(True)).languages) == 300
+    marks = spark.createDataFrame([(1, "½ ² 3 ① Ⅷ _"), (2, "½ é"), (3, "ªʰ")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in identify(marks, model).orderBy("doc_id").collect()] == [True, False, False]
     none = fit_language_model(empty, F.lit(True))
     assert {r["lang_pred"] for r in identify(hard, none).collect()} == {"und"}
     assert identify(empty, model).count() == 0
 
 
+def test_language_scores_and_folds(spark):
+    """Held-out rows are not learned from, and scores are the posterior shares of plain code lengths."""
+    from infragraph.llm.common import fold
+    from infragraph.llm.language_id import Ppm, fit_language_model
+    from infragraph.llm.queries import op5_language_id
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows}
+    learned = {}
+    for r in rows:
+        if not held[r["doc_id"]] and r["lang"] is not None and r["text"] and len(r["text"]) <= 50_000:
+            learned.setdefault(r["lang"], []).append(r["text"].encode())
+    assert max(map(len, learned.values())) <= 150
+    model = Ppm.fit(learned)
+    # the other fold's texts under other languages change nothing
+    swapped = docs.withColumn("lang", F.when(fold("doc_id", 4) == 2, "xx").otherwise(F.col("lang")))
+    assert fit_language_model(swapped, ~(fold("doc_id", 4) == 2)).languages == model.languages
+    got = {r["doc_id"]: r for r in op5_language_id(spark, "/root/testdata/sf0.001").collect()}
+    right = 0
+    for r in rows:
+        own = got[r["doc_id"]]
+        assert own["held_out"] == held[r["doc_id"]]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (own["lang_pred"], own["score"]) == ("und", 0.0)
+            continue
+        bits = model.code_lengths([r["text"].encode()])[0]
+        share = [1 / sum(2.0 ** max(-1000, a - b) for b in bits) for a in bits] if max(bits) - min(bits) < 900 else None
+        assert own["lang_pred"] == model.languages[int(np.argmin(bits))]
+        least = min(bits)
+        assert own["score"] == pytest.approx(1 / sum(2.0 ** -min(b - least, 1000) for b in bits), abs=1e-9)
+        if share:
+            assert own["score"] == pytest.approx(1 / sum(2.0 ** (least - b) for b in bits), abs=1e-9)
+        right += own["held_out"] and own["lang_pred"] == r["lang"]
+    assert right >= 0.9 * sum(held[r["doc_id"]] and r["lang"] is not None for r in rows)
+
+
+def test_language_model_is_bounded(spark):
+    """Many languages share the model's bytes; each is still learned."""
+    from infragraph.llm.language_id import fit_language_model, identify
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+        rows += [(100 * k + i, " ".join(rng.choice(words) for _ in range(120)), f"l{k:02d}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, small = (fit_language_model(docs, F.lit(True), max_bytes=n) for n in (1 << 30, 4 << 20))
+    assert small.size < 0.6 * whole.size and small.languages == whole.languages and len(small.groups) == 8
+    found = identify(docs, small).where("lang = lang_pred").count()
+    assert found > 0.95 * len(rows)
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
