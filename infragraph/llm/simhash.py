@@ -293,33 +293,87 @@ def prefix_rows(texts: DataFrame, width: int, percent: int, common: np.ndarray)
     return texts.mapInArrow(run, "row long, fp long, sid long, n long, sig binary, prefix array<long>")
 
 
-def shingle_sets(texts: DataFrame, some: DataFrame, width: int, slots: int = 1 << 22) -> DataFrame:
-    """Rows (sid, shingles) in buckets of sid: the sets of the rows ``some`` names by (row), and a few others.
+def _bitmap(slots: DataFrame, n: int) -> np.ndarray:
+    """A packed bitmap of ``n`` bits for rows (slot); it is built in tasks, and n / 8 bytes of it reach the driver."""
+    found = slots.groupBy(F.shiftright("slot", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros(n >> 3, np.uint8)
+    for r in found.collect():
+        out[r["at"] << 12 : (r["at"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _held(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes, modulo the bitmap's size, have their bit set."""
+    at = hashes & np.uint64(len(packed) * 8 - 1)
+    return (packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-    A bitmap of the wanted rows' hashes spares the texts of most others their hashing.
+
+def shingle_sets(texts: DataFrame, some: DataFrame, width: int, shared: np.ndarray | None = None, slots: int = 1 << 22) -> DataFrame:
+    """Rows (sid, shingles): the sets of the rows ``some`` names by (row), and a few others, not stored; map-only.
+
+    A bitmap of the wanted rows' hashes spares the texts of most others their hashing. With ``shared``, a bitmap of
+    shingles, only those that it may hold are given.
     """
-    slot = F.pmod("row", F.lit(slots))
-    found = some.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits"))
-    wanted = np.zeros(slots, bool)
-    for r in found.collect():
-        wanted[r["at"] << 15 : (r["at"] + 1) << 15] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-    packed = np.packbits(wanted, bitorder="little")
+    wanted = _bitmap(some.select(F.pmod("row", F.lit(slots)).alias("slot")), slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy() % slots
-            kept = batch.filter(pa.array((packed[at >> 3] >> (at & 7) & 1).astype(bool)))
+            kept = batch.filter(pa.array(_held(wanted, batch.column(0).to_numpy().view(np.uint64))))
             for part in slices([kept], "text"):
                 sets = [np.unique(shingle_hashes(t, width)) for t in part.column(1).to_pylist()]
                 names = np.array([set_name(x) for x in sets], np.uint64).view(np.int64)
-                yield pa.record_batch([pa.array(names), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sid", "shingles"])
+                if shared is not None:
+                    sets = [x[_held(shared, x)] for x in sets]
+                yield pa.record_batch([part.column(0), pa.array(names), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["row", "sid", "shingles"])
 
-    # texts that repeat have one set
-    once = texts.mapInArrow(run, "sid long, shingles array<long>").groupBy("sid").agg(F.first("shingles").alias("shingles"))
-    return bucketed(once, "sid", "shingle_sets")
+    return texts.mapInArrow(run, "row long, sid long, shingles array<long>")
+
+
+def _met(keys: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    """Rows (sid, shingle, held, pivot, size, hots) of prefix keys (sid, shingle) that several sets hold; ``hots`` counts a set's keys over ``limit``."""
+    held = keys.repartition("shingle").distinct().selectExpr("sid", "shingle", "count(1) over (partition by shingle) as held", "min(sid) over (partition by shingle) as pivot").where("held > 1")
+    seen = stored(held, "shingle-met", "zstd")
+    met = stored(seen.join(sets.select("sid", "size"), "sid").withColumn("hots", F.expr(f"count_if(held > {limit}) over (partition by sid)")), "shingle-keys", "zstd")
+    discard(seen)
+    return met
 
 
-def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int, percent: int, hot: int = 64) -> DataFrame:
+def _candidates(met: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Pairs (a, b, shared) that meet at keys of up to ``limit`` sets and share enough of them, with all that may follow."""
+    cold = met.where(F.col("held") <= limit)
+    fits = f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}"
+    left, right = cold.selectExpr("shingle", "sid as a", "size as size_a", "hots as hots_a"), cold.selectExpr("shingle", "sid as b", "size as size_b", "hots as hots_b")
+    shared = left.join(right, "shingle").where("a < b").where(fits).groupBy("a", "b", "size_a", "size_b", "hots_a", "hots_b").agg(F.count(F.lit(1)).alias("shared"))
+    most = f"shared + least(hots_a, hots_b) + (greatest(size_a, size_b) * {percent} + 99) div 100 - 1"
+    return shared.where(f"({most}) * {100 + percent} >= (size_a + size_b) * {percent}").select("a", "b", "shared")
+
+
+def _rarer_prefixes(met: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int, often: int) -> DataFrame:
+    """Keys (sid, shingle) of the sets with a key of more than ``often`` sets: prefixes in the order of how many of these sets hold a shingle.
+
+    A shingle that one set alone holds comes first and meets nobody, so it is only counted. What remains of a prefix, if
+    anything does, are its rarest shared shingles.
+    """
+    some = stored(met.where(F.col("held") > often).select("sid").distinct().join(sets.select("sid", "row"), "sid"), "shingle-often")
+
+    def each(shared: np.ndarray | None) -> DataFrame:
+        # a set that several rows have, or that the bitmap let through, may count more than once: a shingle is then
+        # taken for less rare than it is, by all alike
+        return shingle_sets(texts, some, width, shared).select("sid", F.explode("shingles").alias("shingle"))
+
+    df = stored(each(None).groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle-df", "zstd")
+    # of all shingles only those that may be shared are dealt again; the join can split one that very many sets hold
+    bits = 1 << 26
+    held = each(_bitmap(df.select(F.pmod("shingle", F.lit(bits)).alias("slot")), bits)).join(df, "shingle")
+    listed = held.groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("k"))
+    room = F.col("size") - F.expr(f"(size * {percent} + 99) div 100") + 1 - (F.col("size") - F.size("k"))
+    ranked = listed.join(sets.select("sid", "size"), "sid").withColumn("room", room.cast("int")).where("room > 0")
+    keys = stored(ranked.select("sid", F.explode(F.slice("k", F.lit(1), F.col("room"))).alias("k")).select("sid", "k.shingle"), "shingle-rare", "zstd")
+    discard(some, df)
+    return keys
+
+
+def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int, percent: int, hot: int = 64, often: int = 8) -> DataFrame:
     """Rows (a, b): ``known`` links and others, whose components are those of ``known`` and all pairs of sets
     with a Jaccard similarity of ``percent``.
 
@@ -328,21 +382,23 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
     set is measured against the candidate that shares most with it; then only candidates that are not yet in
     one component are.
 
-    A shingle in more than ``hot`` prefixes is not expanded into pairs: its sets are measured against one of
-    them, the pivot. Those near the pivot are linked through it; the others meet only sets whose distance from
-    the pivot differs from theirs by no more than a link's, as Jaccard distance is a metric. That leaves out
-    no component.
+    Shingles of a passage that many texts share are in prefixes by chance, and would make all these texts meet. So keys of
+    more than ``often`` sets make no pairs: both sets of a pair that only meets there have such a key, and all sets
+    that have one get a second prefix, in the order of how rare their shingles are among them, where the pair meets
+    again. Texts that share less than four fifths have other, rarer shingles in these prefixes and do not meet.
+
+    A key in more than ``hot`` second prefixes, as in large groups of near copies, is not expanded into pairs: its sets
+    are measured against one of them, the pivot. Those near the pivot are linked through it; the others meet only sets
+    whose distance from the pivot differs from theirs by no more than a link's, as Jaccard distance is a metric. That
+    leaves out no component.
     """
     sets = stored(marked.groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("size"), F.first("sig").alias("sig")), "shingle-sets", "zstd")
-    keys = marked.select("sid", F.explode("prefix").alias("shingle")).repartition("shingle").distinct()
-    met = keys.selectExpr("sid", "shingle", "count(1) over (partition by shingle) as held", "min(sid) over (partition by shingle) as pivot").where("held > 1")
-    seen = stored(met, "shingle-met", "zstd")
-    met = stored(seen.join(sets.select("sid", "size"), "sid").withColumn("hots", F.expr(f"count_if(held > {hot}) over (partition by sid)")), "shingle-keys", "zstd")
-    cold, warm = met.where(F.col("held") <= hot), met.where((F.col("held") > hot) & (F.col("sid") != F.col("pivot")))
+    plain = _met(marked.select("sid", F.explode("prefix").alias("shingle")), sets, often)
+    rare = _rarer_prefixes(plain, sets, texts, width, percent, often)
+    met = _met(rare, sets, hot)
     fits = f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}"
-    left, right = cold.selectExpr("shingle", "sid as a", "size as size_a", "hots as hots_a"), cold.selectExpr("shingle", "sid as b", "size as size_b", "hots as hots_b")
-    shared = left.join(right, "shingle").where("a < b").where(fits).groupBy("a", "b", "size_a", "size_b", "hots_a", "hots_b").agg(F.count(F.lit(1)).alias("shared"))
-    most = f"shared + least(hots_a, hots_b) + (greatest(size_a, size_b) * {percent} + 99) div 100 - 1"
+    warm = met.where((F.col("held") > hot) & (F.col("sid") != F.col("pivot")))
+    shared = _candidates(plain, often, percent).unionAll(_candidates(met, hot, percent)).groupBy("a", "b").agg(F.max("shared").alias("shared"))
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,12 +411,13 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
         signed = pairs.join(sets.selectExpr("sid as a", "size as size_a", "sig as sig_a"), "a").join(sets.selectExpr("sid as b", "size as size_b", "sig as sig_b"), "b")
         return signed.select("a", "b", "shared", "size_a", "size_b", "sig_a", "sig_b").mapInArrow(possible, "a long, b long, shared long")
 
-    pairs = stored(not_ruled_out(shared.where(f"({most}) * {100 + percent} >= (size_a + size_b) * {percent}").select("a", "b", "shared")), "shingle-pairs")
-    discard(seen)
+    pairs = stored(not_ruled_out(shared), "shingle-pairs")
+    discard(plain, rare)
     rays = warm.select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
     some = pairs.select("a", "b").unionAll(rays).select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "row"), "sid")
     some = stored(some, "shingle-some")
-    own = shingle_sets(texts, some, width)
+    # texts that repeat have one set
+    own = bucketed(shingle_sets(texts, some, width).groupBy("sid").agg(F.first("shingles").alias("shingles")), "sid", "shingle_sets")
     discard(some)
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
