@@ -40,26 +40,29 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return cut.withColumn("lid", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit("check"), "line"))
 
 
-def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
-    """Start (from 1) and length of segment ``i`` (from 1) of a line; the last ones take the remainder."""
-    base, plain = f"({length} div {parts})", f"({parts} - {length} % {parts})"
-    return f"({i - 1} * {base} + greatest(0, {i - 1} - {plain}) + 1)", f"({base} + if({i} > {plain}, 1, 0))"
-
-
-def _keys(edits: int, least: int, most: int | None) -> list[str]:
-    """Keys that meet lines of ``least`` to ``most`` characters, which allow ``edits``."""
-    parts, keys = edits + 1, []
+def _probes(edits: int) -> str:
+    """All (gap, i, shift) as a literal array: segment ``i`` (from 1) of a line shorter by ``gap`` is looked for ``shift`` places on."""
+    parts, out = edits + 1, []
     for gap in range(edits + 1):
-        other = f"(n - {gap})"  # the length of the shorter line, whose segments are looked for
         for i in range(1, parts + 1):
-            start, size = _segment(other, i, parts)
             low, high = max(1 - i, gap - (parts - i)), min(i - 1, gap + parts - i)
-            for shift in range(low, high + 1):
-                own = gap == 0 and shift == 0
-                row = f"named_struct('key', xxhash64({other}, {i}, substring(line, {start} + {shift}, {size})), 'own', {str(own).lower()})"
-                fits = f"{other} >= {least} and {start} + {shift} >= 1 and {start} + {shift} + {size} - 1 <= n" + (f" and {other} <= {most}" if most else "")
-                keys.append(f"if({fits}, {row}, null)")
-    return keys
+            out += [f"named_struct('gap', {gap}, 'i', {i}, 'shift', {shift})" for shift in range(low, high + 1)]
+    return f"array({', '.join(out)})"
+
+
+def _keys_of(lines: DataFrame, edits: int, least: int, most: int | None) -> DataFrame:
+    """Rows (lid, key, own): keys that meet lines of ``least`` to ``most`` characters, which allow ``edits``.
+
+    A row for each probe and one expression for all: an array of all keys makes a method too long to be compiled.
+    """
+    parts = edits + 1
+    probes = lines.select("lid", "line", "n", F.explode(F.expr(_probes(edits))).alias("p")).selectExpr("lid", "line", "n", "p.i as i", "p.shift as shift", "n - p.gap as other", "p.gap = 0 and p.shift = 0 as own")
+    probes = probes.where(F.col("other") >= least) if most is None else probes.where(F.col("other").between(least, most))
+    # the last segments take the remainder
+    base, plain = f"(other div {parts})", f"({parts} - other % {parts})"
+    at = f"((i - 1) * {base} + greatest(0, i - 1 - {plain}) + 1 + shift)"
+    placed = probes.selectExpr("lid", "line", "n", "i", "other", "own", f"cast({at} as int) as at", f"cast({base} + if(i > {plain}, 1, 0) as int) as size")
+    return placed.where("at >= 1 and at + size - 1 <= n").selectExpr("lid", "xxhash64(other, i, substring(line, at, size)) as key", "own")
 
 
 def segment_keys(distinct: DataFrame, max_edits: int, per_edit: int) -> DataFrame:
@@ -71,8 +74,7 @@ def segment_keys(distinct: DataFrame, max_edits: int, per_edit: int) -> DataFram
     for t in range(1, max_edits + 1):
         most = None if t == max_edits else (t + 1) * per_edit - 1
         lines = distinct.where(F.col("n") >= t * per_edit) if most is None else distinct.where(F.col("n").between(t * per_edit, most + t))
-        keys = F.expr(f"array({', '.join(_keys(t, t * per_edit, most))})")
-        found = lines.select("lid", F.explode(keys).alias("k")).where("k is not null").select("lid", "k.key", "k.own")
+        found = _keys_of(lines, t, t * per_edit, most)
         out = found if out is None else out.unionAll(found)
     return out
 
