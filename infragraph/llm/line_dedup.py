@@ -53,7 +53,8 @@ def _probes(edits: int) -> str:
 def _keys_of(lines: DataFrame, edits: int, least: int, most: int | None) -> DataFrame:
     """Rows (lid, key, own): keys that meet lines of ``least`` to ``most`` characters, which allow ``edits``.
 
-    A row for each probe and one expression for all: an array of all keys makes a method too long to be compiled.
+    A row for each probe and one expression for all: one array of all keys took five times as long, probably as a method too
+    long to be compiled.
     """
     parts = edits + 1
     probes = lines.select("lid", "line", "n", F.explode(F.expr(_probes(edits))).alias("p")).selectExpr("lid", "line", "n", "p.i as i", "p.shift as shift", "n - p.gap as other", "p.gap = 0 and p.shift = 0 as own")
