@@ -70,7 +70,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(texts: list[bytes], width: int, gram: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all texts: text number, anchor hash, and packed place of each run of windows with one anchor hash.
 
-    A packed place holds the first window, the number of windows and how far the anchor lies behind it.
+    A packed place holds the first window, the number of windows and how far the anchor lies behind it. A run
+    with two or more places of its anchor, as in periodic text, comes in two parts at least.
     Another ``salt`` chooses other anchors.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -93,7 +94,12 @@ def anchors(texts: list[bytes], width: int, gram: int, salt: int = 0) -> tuple[n
     owner = np.searchsorted(begin, at, side="right") - 1
     place = low[at].astype(np.int64)
     found = h[place]
-    new = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])])
+    other = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    new = np.flatnonzero(np.r_[True, other])
+    moved = np.flatnonzero(~other & (place[1:] != place[:-1])) + 1
+    if len(moved):  # a run that holds its gram again may repeat itself; cut once, it counts as two
+        run = np.searchsorted(new, moved, side="right")
+        new = np.sort(np.r_[new, moved[np.r_[True, run[1:] != run[:-1]]]])
     count = np.diff(np.r_[new, len(at)])
     if count.max() > RUN:  # long runs come from texts that repeat one gram
         parts = -(-count // RUN)

@@ -697,6 +697,23 @@ def test_repeats_under_null_and_shared_ids(spark):
     assert got == Counter(want[r] for r in rows)
 
 
+def test_repeats_within_one_run_of_windows(spark):
+    """Periodic texts whose windows all have the anchor that no other text has."""
+    from infragraph.llm.repeats import RUN, remove_repeats
+
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(60):
+        period = rng.choice([1, 2, 3, 7, 20, 30, 60])
+        unit = bytes(rng.choice(b"abcdefgh") for _ in range(period - 1)) + bytes([0x20 + i])  # no unit is another's
+        n = rng.randint(period + 101, min(RUN + 99, 4 * period + 150))
+        raw = (unit * n)[:n]
+        rows.append((i, raw.decode()))
+        want[i] = (n, n - period, 1, hashlib.sha256(raw[:period]).hexdigest())
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 # 8 ------------------------------------------------------------------------------------------------
 
 
