@@ -20,8 +20,10 @@ documents every token has probability 1.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,29 +38,67 @@ REQUEST = "chunk long, tuning boolean, range int, grams binary, n binary"
 ANSWER = "chunk long, level int, range int, total binary, tuned binary, words long, words_counted long, tokens long, tokens_counted long"
 
 
-class Hashes(dict):
-    """64-bit hashes of tokens, kept while a chunk is read."""
+END, BEGIN = 0x9AE16A3B2F90404F, 0x3C79AC492BA7B653  # the token after each text, and the mark before it
 
-    def __missing__(self, token: bytes) -> int:
-        import xxhash
 
-        self[token] = h = xxhash.xxh64_intdigest(token)
-        return h
+BLOCK = 1 << 17  # bytes of text whose tokens are hashed together
+LONG = 64  # a longer token is hashed by itself
+BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
+BASE = 0xD1342543DE82EF95
 
 
-END, BEGIN = 0x9AE16A3B2F90404F, 0x3C79AC492BA7B653  # the token after each text, and the mark before it
+def mixed(z: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+with np.errstate(over="ignore"):
+    VALUE = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+VALUE[65:91] = VALUE[97:123]  # A-Z as a-z
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base, and of its inverse."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(x))].astype(np.uint64)) for x in (BASE, pow(BASE, -1, 2**64)))
+
+
+def token_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens of bytes that end with a blank, and where each starts: sums of powers, block by block."""
+    from xxhash import xxh64_intdigest
+
+    data, gap = np.frombuffer(raw, np.uint8), re.compile(rb"[\x09-\x0D ]")
+    hashes, starts, at = [], [], 0
+    while at < len(raw):
+        to = gap.search(raw, min(at + BLOCK, len(raw)) - 1).end()
+        part = data[at:to]
+        edge = np.flatnonzero(np.diff(BLANK[part], prepend=True))
+        start, end = edge[::2], edge[1::2]
+        power, inverse = powers(1 << len(part).bit_length())
+        with np.errstate(over="ignore"):
+            total = np.r_[np.uint64(0), np.cumsum(VALUE[part] * power[: len(part)])]
+            h = mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        for i in np.flatnonzero(end - start > LONG).tolist():
+            h[i] = xxh64_intdigest(raw[at + start[i] : at + end[i]].lower())
+        hashes.append(h)
+        starts.append(start + at)
+        at = to
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts, an end after each, and the tokens of each text; bytes methods know ASCII white space and A-Z only."""
-    hashes, out = Hashes(), []
-    for t in texts:
-        words = t.encode().lower().split() if t else []
-        a = np.empty(len(words) + 1, np.uint64)
-        a[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        a[-1] = END
-        out.append(a)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array([len(a) for a in out], np.int64)
+    """Token hashes of all texts, an end after each, and the tokens of each text; blanks are ASCII white space, A-Z are lower-cased."""
+    raws = [t.encode() if t else b"" for t in texts]
+    h, starts = token_hashes(b" ".join(raws) + b" ")
+    ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
+    last = ends + np.arange(len(raws))
+    out = np.full(len(h) + len(raws), END, np.uint64)
+    word = np.ones(len(out), bool)
+    word[last] = False
+    out[word] = h
+    return out, np.diff(last, prepend=-1)
 
 
 def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:

@@ -188,6 +188,29 @@ def test_lm_scores(hard, empty):
     assert score_documents(hard, F.lit(SCORED)).select(F.max("train_tokens")).first()[0] == 0
 
 
+def test_tokens_are_those_of_bytes_and_cost_less_than_hashing_each():
+    from xxhash import xxh64_intdigest
+
+    from infragraph.llm.lm_scoring import BLOCK, END, tokens
+
+    rng = random.Random(8)
+    texts = [None, "", " ", "\x0b\x0c\x1c a B \x85c d", "A" * 200 + " " + "a" * 200 + " " + "a" * 199, "É é x\0y X\0Y"]
+    texts += ["".join(rng.choice("abAB \n\té") for _ in range(rng.randint(0, 300))) for _ in range(500)]
+    texts += ["x" * (3 * BLOCK) + " yY " + "X" * (3 * BLOCK), "z " * BLOCK]
+    words = [t.encode().lower().split() if t else [] for t in texts]
+    h, sizes = tokens(texts)
+    assert sizes.tolist() == [len(w) + 1 for w in words] and (h[np.cumsum(sizes) - 1] == END).all()
+    both = set(zip([x for w in words for x in [*w, None]], h.tolist(), strict=True))
+    assert len(both) == len({a for a, _ in both}) == len({b for _, b in both})
+    many = [" ".join(f"w{i}x{j}" for i in range(1000)) for j in range(300)]
+    took = []
+    for f in (lambda: tokens(many), lambda: [xxh64_intdigest(w) for t in many for w in t.encode().lower().split()]):
+        began = time.process_time()
+        f()
+        took.append(time.process_time() - began)
+    assert took[0] < took[1]
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_scores_are_those_of_a_plain_model(spark, order):
     from infragraph.llm.lm_scoring import score_documents
