@@ -22,8 +22,10 @@ decodes to a space as in the library.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +112,16 @@ class Vocabulary:
         return cls(weight * sharpness, surface, byte_ids, Table(keys), np.array(list(found.values()), np.int32), max(len(text[i]) for i in plain), splits)
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str, changed: int, scoring: tuple) -> Vocabulary:
+    return Vocabulary.load(path, **dict(scoring))
+
+
+def vocabulary(path: str, **scoring) -> Vocabulary:
+    """The vocabulary of a file, read once by each worker until the file changes."""
+    return _loaded(path, os.stat(path).st_mtime_ns, tuple(sorted(scoring.items())))
+
+
 class Lattice:
     """The lattices of all distinct words of a batch, joined; a word runs from node to node up to its end.
 
@@ -382,7 +394,7 @@ def encode_samples(docs: DataFrame, model_path: str, k: int = 2, seed: int = 1,
     columns = [id_col, *(c.split()[0] for c in SAMPLES.split(", ")), *(["ids"] if keep_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary.load(model_path, **scoring)
+        vocab = vocabulary(model_path, **scoring)
         surfaces = pa.array(vocab.surface, pa.binary())
         for part in slices(batches, "text", max_bytes=max_bytes, max_rows=500):
             texts = [t or "" for t in part.column(1).to_pylist()]

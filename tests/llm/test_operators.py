@@ -79,6 +79,21 @@ def test_sampling_round_trip_and_distinct(hard, empty):
     assert len(set(many)) == len(many) == 24
 
 
+def test_vocabulary_is_read_once_for_each_file_and_scoring(tmp_path):
+    import os
+    import shutil
+
+    from infragraph.llm.sampling import vocabulary
+
+    path = shutil.copy(tokenizer_path(), tmp_path / "some.model")
+    first = vocabulary(str(path))
+    assert vocabulary(str(path)) is first
+    other = vocabulary(str(path), sharpness=2.0)
+    assert other is not first and np.array_equal(other.weight, 2 * first.weight)
+    os.utime(path, ns=(1, 1))
+    assert vocabulary(str(path), sharpness=2.0) is not other
+
+
 def test_sampling_follows_the_lattice():
     import sentencepiece
 
