@@ -56,8 +56,12 @@ class Table:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers, -1 where a key is missing."""
-        out = np.full(len(keys), -1, np.int32)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
+        slot = self._slot(keys)
+        got = self.keys[slot]
+        hit = got == keys
+        out = np.where(hit, self.at[slot], np.int32(-1))
+        todo = np.flatnonzero(~hit & (got != EMPTY))
+        keys, slot = keys[todo], (slot[todo] + 1) & self.mask
         while len(todo):
             got = self.keys[slot]
             hit = got == keys

@@ -37,6 +37,8 @@ from infragraph.llm.common import slices
 from infragraph.llm.language_id import Table
 
 MARK, NEWLINE = 0x2581, 10
+#: No character.
+OUTSIDE = 0x110000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
 
@@ -65,13 +67,17 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Pieces of a model file: log weights, surfaces, and a table over all prefixes of pieces."""
+    """Pieces of a model file: log weights, surfaces, a table over all prefixes of pieces, and its rows for single characters.
+
+    ``piece`` has the piece of each of the table's rows, -1 for a mere prefix; its last is for what the table has not.
+    """
 
     weight: np.ndarray
     surface: list[bytes]
     byte_ids: np.ndarray
     table: Table
     piece: np.ndarray
+    single: np.ndarray
     longest: int
     splits: bool
 
@@ -108,8 +114,10 @@ class Vocabulary:
                     found.setdefault(h, -1)
             found[h] = i
         keys = np.array(list(found), np.uint64)
+        table = Table(keys)
+        single = table.find(np.arange(1, 0x110001, dtype=np.uint64))
         splits = not any("\n" in text[i] or "▁" in text[i].lstrip("▁") for i in plain)
-        return cls(weight * sharpness, surface, byte_ids, Table(keys), np.array(list(found.values()), np.int32), max(len(text[i]) for i in plain), splits)
+        return cls(weight * sharpness, surface, byte_ids, table, np.array([*found.values(), -1], np.int32), single, max(len(text[i]) for i in plain), splits)
 
 
 @lru_cache(maxsize=1)
@@ -132,46 +140,55 @@ class Lattice:
         words = len(lengths)
         ends = np.cumsum(lengths)
         word = np.repeat(np.arange(words), lengths)
-        left = np.repeat(ends, lengths) - np.arange(len(points))  # characters up to the word's end
         node = (np.arange(len(points)) + word).astype(np.int32)  # one node more for each word: its end
-        self.first = ends - lengths + np.arange(words)
+        self.first = (ends - lengths + np.arange(words)).astype(np.int32)
         self.is_end = np.zeros(len(points) + words, bool)
         self.is_end[ends + np.arange(words)] = True
-        src, dst, piece = [], [], []
-        live, h = np.arange(len(points), dtype=np.int32), np.zeros(len(points), np.uint64)
-        plus = points.astype(np.uint64) + np.uint64(1)
+        self.point = np.full(len(self.is_end), OUTSIDE, np.uint32)
+        self.point[node] = points
+        src, dst, piece, rank = [], [], [], []
+        plus, seen = self.point + np.uint64(1), np.zeros(len(self.is_end), np.int32)  # edges of each node so far
+        live, h, at = node, plus[node], vocab.single[points]
         for n in range(1, vocab.longest + 1):
-            with np.errstate(over="ignore"):
-                h = h * np.uint64(BASE) + plus[live + n - 1]
-            at = vocab.table.find(h)
-            got = np.where(at >= 0, vocab.piece[at], -1)
+            if n > 1:
+                with np.errstate(over="ignore"):
+                    h = h * np.uint64(BASE) + plus[live + (n - 1)]
+                at = vocab.table.find(h)
+            got = vocab.piece[at]
             if n == 1:
-                got = np.where(got < 0, -2, got)  # no piece for the character: its bytes
-            hit = got != -1
-            src.append(node[live[hit]])
-            dst.append(node[live[hit]] + np.int32(n))
+                got = np.where(got < 0, np.int32(-2), got)  # no piece for the character: its bytes
+            hit = np.flatnonzero(got != -1)
+            own = live[hit]
+            src.append(own)
+            dst.append(own + np.int32(n))
             piece.append(got[hit])
-            go = (at >= 0) & (left[live] > n)
+            rank.append(seen[own])
+            seen[own] += 1
+            go = np.flatnonzero(at >= 0)  # no piece holds what stands at a word's end
             live, h = live[go], h[go]
-        src, dst, piece = np.concatenate(src), np.concatenate(dst), np.concatenate(piece)
-        order = np.argsort(src, kind="stable")
-        self.src, self.dst, self.piece = src[order], dst[order], piece[order]
-        self.point = np.zeros(len(self.is_end), np.uint32)
-        self.point[node] = points
-        size = np.ones(len(self.src), np.int64)
-        raw = self.piece == -2
+        # edges by node and then by length: each has its place from the number of its node's edges
+        self.start = np.r_[0, np.cumsum(seen)].astype(np.int32)
+        self.src = np.repeat(np.arange(len(seen), dtype=np.int32), seen)
+        self.dst, self.piece = np.empty_like(self.src), np.empty_like(self.src)
+        for own, to, got, k in zip(src, dst, piece, rank, strict=True):
+            spot = self.start[own] + k
+            self.dst[spot], self.piece[spot] = to, got
+        self.width = self.dst - self.src
+        size = np.ones(len(self.src), np.int32)
+        raw = np.flatnonzero(self.piece == -2)
         c = self.point[self.src[raw]]
-        size[raw] = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
+        size[raw] = 1 + (c > 0x7F).astype(np.int32) + (c > 0x7FF) + (c > 0xFFFF)
         self.n_ids = size
-        weight = np.where(raw, vocab.weight[vocab.byte_ids[0]] * size, vocab.weight[self.piece])
-        self.start = np.searchsorted(self.src, np.arange(len(self.is_end) + 1))
+        weight = vocab.weight[self.piece]
+        weight[raw] = vocab.weight[vocab.byte_ids[0]] * size[raw]
         beta = np.zeros(len(self.is_end))
-        reach = np.zeros(len(self.is_end), np.int64)
-        reach[node] = left
-        by = np.argsort(reach[self.src], kind="stable")
-        level = reach[self.src[by]]
-        cuts = np.searchsorted(level, np.arange(1, (level[-1] if len(level) else 0) + 2))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        most = int(lengths.max()) if words else 0
+        reach = np.zeros(len(self.is_end), np.uint16 if most < 1 << 16 else np.int64)  # of 16 bits: sorted by counting
+        reach[node] = np.repeat(ends, lengths) - np.arange(len(points))  # characters up to the word's end
+        level = reach[self.src]
+        by = np.argsort(level, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(level, minlength=most + 1))]
+        for lo, hi in zip(cuts[1:-1].tolist(), cuts[2:].tolist(), strict=True):
             if hi > lo:
                 e = by[lo:hi]
                 s = self.src[e]
@@ -180,19 +197,17 @@ class Lattice:
         self.log_q = weight + beta[self.dst] - beta[self.src]
         q = np.exp(self.log_q)
         total = np.cumsum(q)
-        base = np.r_[0.0, total][self.start[self.src]]
-        self.upto = total - base
-        last = self.start[1:][self.start[1:] > self.start[:-1]] - 1
-        self.upto[last] = 2.0  # rounding
-        only = self.start[self.src + 1] - self.start[self.src] == 1
+        self.upto = total - np.r_[0.0, total][self.start[:-1]][self.src]
+        self.upto[self.start[1:][seen > 0] - 1] = 2.0  # rounding
+        only = (seen == 1)[self.src]
         with np.errstate(divide="ignore"):
-            self.log_rest = np.where(only, -np.inf, np.log1p(-np.minimum(q, 1.0)))
+            self.log_rest = np.log1p(-np.minimum(q, 1.0))
+        self.log_rest[only] = -np.inf
         self.log_q[only] = 0.0
         # piece ids of each edge, bytes written out
-        self.id_start = np.cumsum(size) - size
-        self.ids = np.zeros(int(size.sum()), np.int32)
-        self.ids[self.id_start[~raw]] = self.piece[~raw]
-        for e in np.flatnonzero(raw):
+        self.id_start = np.cumsum(size, dtype=np.int32) - size
+        self.ids = np.repeat(self.piece, size)
+        for e in raw:
             b = chr(int(self.point[self.src[e]])).encode("utf-8", "surrogatepass")
             self.ids[self.id_start[e] : self.id_start[e] + len(b)] = vocab.byte_ids[list(b)]
 
@@ -201,9 +216,9 @@ class Lattice:
         who = np.flatnonzero(~self.is_end[nodes])
         count = np.zeros(len(nodes), np.int64)
         steps = []
-        at, place = nodes[who].copy(), places[who].copy()
+        at, place, key = nodes[who], places[who], keys[who]
         while len(who):
-            u = uniform(keys[who], place, salt)
+            u = uniform(key, place, salt)
             e = self.start[at]
             more = np.flatnonzero(self.upto[e] <= u)
             while len(more):
@@ -213,8 +228,8 @@ class Lattice:
             count[who] += 1
             to = self.dst[e]
             place = place + (to - at)
-            go = ~self.is_end[to]
-            who, at, place = who[go], to[go], place[go]
+            go = np.flatnonzero(~self.is_end[to])
+            who, at, place, key = who[go], to[go], place[go], key[go]
         offset = np.cumsum(count) - count
         edges = np.zeros(int(count.sum()), np.int64)
         for level, (who, e) in enumerate(steps):
@@ -298,7 +313,7 @@ class Batch:
 
     def _places(self, edges: np.ndarray, texts: np.ndarray, per: np.ndarray) -> np.ndarray:
         """The character place of each decision in its text."""
-        width = self.lattice.dst[edges] - self.lattice.src[edges]
+        width = self.lattice.width[edges]
         total = np.cumsum(width) - width
         first = (np.cumsum(per) - per)[per > 0]
         return total - np.repeat(total[first], per[per > 0]) if len(edges) else total
@@ -320,7 +335,7 @@ class Batch:
     def _branch(self, out, texts, where, bound, taken, r) -> dict[str, np.ndarray]:
         """Opens the best group of each text: another edge at its decision, then a fresh path to the end."""
         lat = self.lattice
-        heads, nodes, places, owner, ahead = [], [], [], [], np.zeros(len(texts), np.int64)
+        heads, nodes, places, owner, ahead, closed = [], [], [], [], np.zeros(len(texts), np.int64), []
         pick = uniform(self.keys[texts], np.zeros(len(texts), np.int64), 4 * r)
         again = uniform(self.keys[texts], np.zeros(len(texts), np.int64), 4 * r + 1)
         for i, (t, (j, row)) in enumerate(zip(texts.tolist(), where.tolist(), strict=True)):
@@ -336,16 +351,19 @@ class Batch:
             used.append(new)
             rest = [x for x in free if x != new]
             loc = float(s["before"][d] + np.log(np.exp(lat.log_q[rest]).sum())) if rest else -np.inf
-            s["group"][d] = truncated(np.array([loc]), bound[i : i + 1], again[i : i + 1])[0]
-            heads.append(np.append(s["edges"][lo:d], new))
+            closed.append((j, d, loc))
+            heads += [s["edges"][lo:d], [new]]
             ahead[i] = d - lo + 1
             place = int(s["place"][d])
             lo_w, hi_w = self.word_from[t], self.word_from[t + 1]
             w = lo_w + int(np.searchsorted(self.word_place[lo_w:hi_w], place, side="right"))
-            nodes += [np.array([lat.dst[new]]), self.word_node[w:hi_w]]
-            places += [np.array([place + int(lat.dst[new]) - node]), self.word_place[w:hi_w]]
-            owner.append(np.full(1 + hi_w - w, i))
-        owner = np.concatenate(owner)
+            nodes += [lat.dst[new : new + 1], self.word_node[w:hi_w]]
+            places += [[place + int(lat.dst[new]) - node], self.word_place[w:hi_w]]
+            owner.append(1 + hi_w - w)
+        # the groups that were opened, less the edge taken; a text has one, so none was read meanwhile
+        for (j, d, _), g in zip(closed, truncated(np.array([x[2] for x in closed]), bound, again).tolist(), strict=True):
+            out[j]["group"][d] = g
+        owner = np.repeat(np.arange(len(texts)), owner)
         tail, count = lat.walk(np.concatenate(nodes), self.keys[texts][owner], np.concatenate(places), 4 * r + 2)
         per_tail = np.bincount(owner, count, len(texts)).astype(np.int64)
         per = ahead + per_tail
@@ -359,6 +377,8 @@ class Batch:
         """Piece ids of a round's samples, and how many each has."""
         lat, e = self.lattice, sample["edges"]
         sizes = lat.n_ids[e]
+        if int(sizes.sum()) == len(sizes):
+            return lat.ids[lat.id_start[e]], sample["per"]
         flat = lat.ids[_spread(lat.id_start[e], sizes)]
         owner = np.repeat(np.arange(len(sample["texts"])), sample["per"])
         return flat, np.bincount(owner, sizes, len(sample["texts"])).astype(np.int64)

@@ -94,6 +94,31 @@ def test_vocabulary_is_read_once_for_each_file_and_scoring(tmp_path):
     assert vocabulary(str(path), sharpness=2.0) is not other
 
 
+def test_sampling_lattice_looks_up_no_single_characters(monkeypatch):
+    """The edges are all pieces of all words; single characters are read from an array and word ends looked up once at most."""
+    from infragraph.llm.language_id import Table
+    from infragraph.llm.sampling import Lattice, Vocabulary
+
+    vocab = Vocabulary.load(tokenizer_path())
+    words = ["\u2581the", "\u2581data", "\u2581\u2581", "\n", "x", "\u2581caf\u00e9\U0001f600", "\u2581" + "ab" * 300]
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    looked, find = [], Table.find
+    monkeypatch.setattr(Table, "find", lambda self, keys: looked.append(len(keys)) or find(self, keys))
+    lattice = Lattice(vocab, points, np.array([len(w) for w in words]))
+    assert len(looked) == vocab.longest - 1 and looked[0] == sum(vocab.single[points] >= 0)
+    ids = {p.decode("utf-8", "surrogatepass").replace(" ", "\u2581"): i for i, p in enumerate(vocab.surface) if p and i not in set(vocab.byte_ids.tolist())}
+    expected = []
+    for w, at in zip(words, lattice.first.tolist(), strict=True):
+        for i in range(len(w)):
+            found = [(at + i, at + j, ids[w[i:j]]) for j in range(i + 1, len(w) + 1) if w[i:j] in ids]
+            expected += ([] if w[i] in ids else [(at + i, at + i + 1, -2)]) + found
+    assert list(zip(lattice.src.tolist(), lattice.dst.tolist(), lattice.piece.tolist(), strict=True)) == expected
+    for w, at in zip(words, lattice.first.tolist(), strict=True):  # probabilities out of each node
+        for v in range(at, at + len(w)):
+            own = slice(lattice.start[v], lattice.start[v + 1])
+            assert abs(np.exp(lattice.log_q[own]).sum() - 1) < 1e-9
+
+
 def test_sampling_follows_the_lattice():
     import sentencepiece
 
