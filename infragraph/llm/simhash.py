@@ -201,7 +201,7 @@ def plan_for(distinct: DataFrame, n: int, max_bits: int, sample_rows: int) -> li
     """The plan for ``n`` distinct fingerprints, from a sample of at most ``sample_rows`` of them."""
     share = min(1.0, 1.2 * sample_rows / max(1, n))
     picked = distinct.where(in_sample(share, "fp", F.lit("plan"))).select("fp").limit(sample_rows)
-    return allocate(np.array([r["fp"] for r in picked.collect()], np.int64), n, max_bits)
+    return allocate(picked.toArrow()["fp"].to_numpy().astype(np.int64), n, max_bits)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, sample_rows: int = 20_000, hot: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +238,7 @@ def common_shingles(texts: DataFrame, width: int, sample_rows: int, least: int =
     share = min(1.0, sample_rows / max(1, texts.count()))
     picked = texts.select("text").where(in_sample(share, "text", F.lit("common")))
     often = picked.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(most)
-    return np.sort(np.array([r["shingle"] for r in often.select("shingle").collect()], np.int64).view(np.uint64))
+    return np.sort(often.select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def set_name(own: np.ndarray) -> int:
