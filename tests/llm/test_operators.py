@@ -963,3 +963,23 @@ def test_folds(spark):
 
     got = {r["i"]: r["f"] for r in spark.range(50).select(F.col("id").alias("i"), fold("id", 10).alias("f")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 10 for i in range(50)}
+
+
+def test_samples_reach_the_driver_as_arrays(spark, monkeypatch):
+    """The samples of shingles and fingerprints are right and are not collected as a Row for each value."""
+    from pyspark.sql import DataFrame
+
+    from infragraph.llm.simhash import common_shingles, plan_for, shingle_hashes
+
+    texts = [f"a passage that all have in common and then text number {i}" for i in range(12)]
+    held = Counter(h for t in texts for h in set(shingle_hashes(t, 3).tolist()))
+    fps = spark.range(50).selectExpr("xxhash64(id) as fp")
+
+    def refuse(self):
+        raise AssertionError("collected as rows")
+
+    monkeypatch.setattr(type(fps) if "collect" in type(fps).__dict__ else DataFrame, "collect", refuse)
+    got = common_shingles(spark.createDataFrame([(t,) for t in texts], "text string"), 3, 100)
+    assert got.dtype == np.uint64 and got.tolist() == sorted(h for h, n in held.items() if n >= 8)
+    assert sum(p.threshold + 1 for p in plan_for(fps, 50, 2, 100)) == 3
+    assert len(common_shingles(spark.createDataFrame([], "text string"), 3, 100)) == 0
