@@ -373,14 +373,14 @@ def _rarer_prefixes(met: DataFrame, sets: DataFrame, texts: DataFrame, width: in
     return keys
 
 
-def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int, percent: int, hot: int = 64, often: int = 8) -> DataFrame:
-    """Rows (a, b): ``known`` links and others, whose components are those of ``known`` and all pairs of sets
-    with a Jaccard similarity of ``percent``.
+def set_components(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int, percent: int, hot: int = 64, often: int = 8) -> DataFrame:
+    """Rows (node, component), stored: the components of ``known`` links and all pairs of sets with a Jaccard
+    similarity of ``percent``; a set without a link has no row.
 
     ``marked`` is from ``prefix_rows`` of ``texts``. A pair is a candidate if its prefixes meet, what they share,
     with all that may follow in the larger set, suffices, and their signatures do not rule it out. First each
     set is measured against the candidate that shares most with it; then only candidates that are not yet in
-    one component are.
+    one component are. Links found then join components, so only these are looked at again.
 
     Shingles of a passage that many texts share are in prefixes by chance, and would make all these texts meet. So keys of
     more than ``often`` sets make no pairs: both sets of a pair that only meets there have such a key, and all sets
@@ -429,13 +429,13 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
     near = f"same * 100 >= whole * {percent}"
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
     found = measured(first.unionAll(rays).distinct(), "first")
-    linked = known.unionAll(found.where(near).select("a", "b"))
-    component = stored(connected_components(linked), "shingle-components")
+    component = stored(connected_components(known.unionAll(found.where(near).select("a", "b"))), "shingle-components")
+    # a set without a link is its own component
+    roots = lambda pairs: pairs.join(component.selectExpr("node as a", "component as ca"), "a", "left").join(component.selectExpr("node as b", "component as cb"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs that no link found so far connects."""
-        of_a, of_b = component.selectExpr("node as a", "component as ca"), component.selectExpr("node as b", "component as cb")
-        return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        return roots(pairs).where("ca <> cb").select("a", "b")
 
     away = found.selectExpr("a as pivot", "b as sid", "1 - same / whole as away", f"{near} as linked")
     ring = stored(warm.select("shingle", "pivot", "sid", "size").join(away, ["pivot", "sid"]), "shingle-rings", "zstd")
@@ -445,12 +445,14 @@ def set_links(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int,
     across = u.join(v, "shingle").where("u <> v and (linked or u < v)").where(fits).where(close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     across = stored(not_ruled_out(apart(across).distinct().withColumn("shared", F.lit(0).cast("long"))).select("a", "b"), "shingle-across")
     rest = stored(apart(pairs).unionAll(across).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), "shingle-rest")
-    parts = [found]
+    out = component
     if not rest.isEmpty():
-        parts.append(measured(rest, "second"))
-        linked = linked.unionAll(parts[1].where(near).select("a", "b"))
-    out = stored(linked, "shingle-links")
-    discard(met, pairs, own, component, ring, across, rest, sets, *parts)
+        second = measured(rest, "second")
+        top = connected_components(roots(second.where(near).select("a", "b")).select("ca", "cb"), "ca", "cb")
+        moved = component.join(top.selectExpr("node as component", "component as top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        out = stored(moved.unionByName(top).distinct(), "shingle-joined")
+        discard(second, component)
+    discard(met, pairs, own, found, ring, across, rest, sets)
     return out
 
 
@@ -479,12 +481,11 @@ def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 2, percent: int
         a, b = fps.selectExpr("fp as a", "node as u"), fps.selectExpr("fp as b", "node as v")
         edges = edges.unionAll(close.join(a, "a").join(b, "b").selectExpr("u as a", "v as b"))
     known = stored(edges, "simhash-edges")
-    near = set_links(marked, texts, known, width, percent, hot)
-    found = connected_components(near)
+    found = set_components(marked, texts, known, width, percent, hot)
     of_row = marked.select("row", "sid").distinct().join(found.withColumnRenamed("node", "sid"), "sid", "left").select("row", F.coalesce("component", "sid").alias("component"))
     first = of_row.join(rows.select("key", "row").distinct(), "row").groupBy("component").agg(F.min(F.struct("key", "row")).alias("first")).select("first.*")
     first = stored(first, "simhash-first")
-    discard(marked, fps, known, near)
+    discard(marked, fps, known, found)
     # rows equal in id and text: the one with the smallest hash of its other columns
     rest = F.xxhash64(*[F.col("doc")[f.name] for f in docs.schema if f.name != text_col and f.dataType.typeName() not in ("map", "variant")])
     return rows.join(first, ["key", "row"], "left_semi").groupBy("key", "row").agg(F.min_by("doc", rest).alias("doc")).select("doc.*")

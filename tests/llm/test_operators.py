@@ -659,6 +659,19 @@ def test_keep_first_by_similarity(spark, hot):
     assert {r["doc_id"] for r in got.collect()} == set(low) and far > 20
 
 
+def test_keep_first_finds_components_once(spark, monkeypatch):
+    """Components are looked for again only among those that later links join."""
+    from infragraph.llm import simhash
+
+    calls = []
+    find = simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda *a, **b: calls.append(1) or find(*a, **b))
+    texts = [" ".join(f"t{i // 3}w{k}" for k in range(60)) + " end" * (i % 3) for i in range(30)]
+    got = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == set(range(0, 30, 3))
+    assert len(calls) == 1
+
+
 def test_signatures_bound_what_sets_share():
     from infragraph.llm.simhash import most_shared, signature
 

@@ -251,3 +251,24 @@ def test_report_baseline(spark, graph, tmp_path):
     assert ("assets", "added", "C") in diff and ("assets", "removed", "B") in diff and ("assets", "changed", "A") in diff
     assert ("findings", "resolved", "info|orphan-secret|A") in diff
     assert '"nodes":2' in report_row(base).first()["report"]
+
+
+def test_components_run_few_tasks(spark):
+    """Tasks cost the driver memory: 219 on edges in 8 partitions, 339 with unions and a distinct within each round."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    links = spark.range(1, 4000).selectExpr("id as a", "id div 3 as b").repartition(8, "a")
+    sc = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        sc.setJobGroup("few-tasks", "components")
+        got = connected_components(links)
+        jobs = sc.statusTracker().getJobIdsForGroup("few-tasks")
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got.where("component <> 0").isEmpty() and got.count() == 4000
+    stages = {s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds}
+    tasks = sum(sc.statusTracker().getStageInfo(s).numCompletedTasks for s in stages)
+    assert tasks <= 270
