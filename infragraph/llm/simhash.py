@@ -330,8 +330,8 @@ def shingle_sets(texts: DataFrame, some: DataFrame, width: int, shared: np.ndarr
 
 
 def _met(keys: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
-    """Rows (sid, shingle, held, pivot, size, hots) of prefix keys (sid, shingle) that several sets hold; ``hots`` counts a set's keys over ``limit``."""
-    held = keys.repartition("shingle").distinct().selectExpr("sid", "shingle", "count(1) over (partition by shingle) as held", "min(sid) over (partition by shingle) as pivot").where("held > 1")
+    """Rows (sid, shingle, held, pivot, size, hots) of prefix keys (sid, shingle), with their other columns, that several sets hold; ``hots`` counts a set's keys over ``limit``."""
+    held = keys.repartition("shingle").distinct().selectExpr(*keys.columns, "count(1) over (partition by shingle) as held", "min(sid) over (partition by shingle) as pivot").where("held > 1")
     seen = stored(held, "shingle-met", "zstd")
     met = stored(seen.join(sets.select("sid", "size"), "sid").withColumn("hots", F.expr(f"count_if(held > {limit}) over (partition by sid)")), "shingle-keys", "zstd")
     discard(seen)
@@ -349,10 +349,10 @@ def _candidates(met: DataFrame, limit: int, percent: int) -> DataFrame:
 
 
 def _rarer_prefixes(met: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int, often: int) -> DataFrame:
-    """Keys (sid, shingle) of the sets with a key of more than ``often`` sets: prefixes in the order of how many of these sets hold a shingle.
+    """Keys (sid, shingle, rest) of the sets with a key of more than ``often`` sets: prefixes in the order of how many of these sets hold a shingle.
 
     A shingle that one set alone holds comes first and meets nobody, so it is only counted. What remains of a prefix, if
-    anything does, are its rarest shared shingles.
+    anything does, are its rarest shared shingles; ``rest`` counts a set's shingles from the key on.
     """
     some = stored(met.where(F.col("held") > often).select("sid").distinct().join(sets.select("sid", "row"), "sid"), "shingle-often")
 
@@ -368,11 +368,25 @@ def _rarer_prefixes(met: DataFrame, sets: DataFrame, texts: DataFrame, width: in
     listed = held.groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("k"))
     room = F.col("size") - F.expr(f"(size * {percent} + 99) div 100") + 1 - (F.col("size") - F.size("k"))
     ranked = listed.join(sets.select("sid", "size"), "sid").withColumn("room", room.cast("int")).where("room > 0")
-    keys = stored(ranked.select("sid", F.explode(F.slice("k", F.lit(1), F.col("room"))).alias("k")).select("sid", "k.shingle"), "shingle-rare", "zstd")
+    keys = stored(ranked.select("sid", F.size("k").alias("shared"), F.posexplode(F.slice("k", F.lit(1), F.col("room"))).alias("at", "k")).select("sid", "k.shingle", (F.col("shared") - F.col("at")).alias("rest")), "shingle-rare", "zstd")
     discard(some, df)
     return keys
 
 
+def _ring_pairs(ring: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets at a pivot's key, not both linked to it, of rows (shingle, sid, size, rest, away, linked).
+
+    A pair that is linked shares nothing before its first common key, so what the smaller set has from there on is at
+    least what two sets of its size must share. Sets that share a passage, but have too much of their own before
+    it, are no smaller one of any pair, which keeps them from meeting each other.
+    """
+    x = ring.selectExpr("shingle", "sid as u", "size as size_a", "rest as rest_a", "away as away_u", "linked as linked_u")
+    y = ring.where(f"rest * {100 + percent} >= 2 * size * {percent}").selectExpr("shingle", "sid as v", "size as size_b", "rest as rest_b", "away as away_v", "linked as linked_v")
+    fits = f"size_b <= size_a and size_b * 100 >= size_a * {percent} and least(rest_a, rest_b) * {100 + percent} >= (size_a + size_b) * {percent}"
+    close = f"abs(away_u - away_v) <= {100 - percent} / 100 + 1e-9"
+    return x.join(y, "shingle").where("u <> v and not (linked_u and linked_v)").where(fits).where(close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
 def set_components(marked: DataFrame, texts: DataFrame, known: DataFrame, width: int, percent: int, hot: int = 64, often: int = 8) -> DataFrame:
     """Rows (node, component), stored: the components of ``known`` links and all pairs of sets with a Jaccard
     similarity of ``percent``; a set without a link has no row.
@@ -389,14 +403,13 @@ def set_components(marked: DataFrame, texts: DataFrame, known: DataFrame, width:
 
     A key in more than ``hot`` second prefixes, as in large groups of near copies, is not expanded into pairs: its sets
     are measured against one of them, the pivot. Those near the pivot are linked through it; the others meet only sets
-    whose distance from the pivot differs from theirs by no more than a link's, as Jaccard distance is a metric. That
-    leaves out no component.
+    whose distance from the pivot differs from theirs by no more than a link's, as Jaccard distance is a metric, and
+    with which they can still share enough from that key on. That leaves out no component.
     """
     sets = stored(marked.groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("size"), F.first("sig").alias("sig")), "shingle-sets", "zstd")
     plain = _met(marked.select("sid", F.explode("prefix").alias("shingle")), sets, often)
     rare = _rarer_prefixes(plain, sets, texts, width, percent, often)
     met = _met(rare, sets, hot)
-    fits = f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}"
     warm = met.where((F.col("held") > hot) & (F.col("sid") != F.col("pivot")))
     shared = _candidates(plain, often, percent).unionAll(_candidates(met, hot, percent)).groupBy("a", "b").agg(F.max("shared").alias("shared"))
 
@@ -438,12 +451,8 @@ def set_components(marked: DataFrame, texts: DataFrame, known: DataFrame, width:
         return roots(pairs).where("ca <> cb").select("a", "b")
 
     away = found.selectExpr("a as pivot", "b as sid", "1 - same / whole as away", f"{near} as linked")
-    ring = stored(warm.select("shingle", "pivot", "sid", "size").join(away, ["pivot", "sid"]), "shingle-rings", "zstd")
-    u = ring.where("not linked").selectExpr("shingle", "sid as u", "size as size_a", "away as away_u")
-    v = ring.selectExpr("shingle", "sid as v", "size as size_b", "away as away_v", "linked")
-    close = f"abs(away_u - away_v) <= {100 - percent} / 100 + 1e-9"
-    across = u.join(v, "shingle").where("u <> v and (linked or u < v)").where(fits).where(close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    across = stored(not_ruled_out(apart(across).distinct().withColumn("shared", F.lit(0).cast("long"))).select("a", "b"), "shingle-across")
+    ring = stored(warm.select("shingle", "pivot", "sid", "size", "rest").join(away, ["pivot", "sid"]), "shingle-rings", "zstd")
+    across = stored(not_ruled_out(apart(_ring_pairs(ring, percent)).distinct().withColumn("shared", F.lit(0).cast("long"))).select("a", "b"), "shingle-across")
     rest = stored(apart(pairs).unionAll(across).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), "shingle-rest")
     out = component
     if not rest.isEmpty():

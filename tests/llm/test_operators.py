@@ -672,6 +672,18 @@ def test_keep_first_finds_components_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_sets_with_a_passage_make_no_pairs(spark):
+    """Of sets of 60 shingles that share 50 (71 % at most), none meet; all pairs of sets that share 54 or more of 60 do."""
+    from infragraph.llm.simhash import _ring_pairs
+
+    def rows(first, n, rest):
+        return [(1, i, 60, rest, 0.5, False) for i in range(first, first + n)]
+
+    ring = spark.createDataFrame(rows(0, 200, 50) + rows(1000, 12, 54) + rows(2000, 3, 60), "shingle long, sid long, size long, rest long, away double, linked boolean")
+    got = {(r["a"], r["b"]) for r in _ring_pairs(ring, 80).distinct().collect()}
+    assert got == set(itertools.combinations([*range(1000, 1012), *range(2000, 2003)], 2))
+
+
 def test_signatures_bound_what_sets_share():
     from infragraph.llm.simhash import most_shared, signature
 
