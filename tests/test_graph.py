@@ -200,6 +200,37 @@ def test_correlation(spark):
     assert [(r["key"], r["sources"], r["node_ids"]) for r in groups] == [("ledger-store", ["ansible", "compose", "terraform"], ["a", "b", "c"]), ("quote-desk", ["compose", "kubernetes"], ["d", "e"])]
 
 
+def test_links_are_made_once_and_counted_without_making_them(spark):
+    """Nodes share up to three keys; pairs, counts and groups are those of brute force, also where some links are stored, and no pair is shuffled."""
+    sources, rows = ("compose", "terraform", "ansible"), []
+    for i in range(60):
+        meta = {k: v for k, v in (("hostname", f"host-{i % 7}"), ("app", f"team-{i % 4}")) if i % 3 or k == "app"}
+        rows.append(node(f"n{i:02}", "database", sources[i * 7 % 11 % 3], meta, name=f"thing-{i % 11}"))
+    n = spark.createDataFrame(rows, NODE_SCHEMA)
+    keys = {}
+    for r in C.correlation_keys(n).collect():
+        keys.setdefault((r["node_id"], r["source"]), set()).add(r["key"])
+    wanted = {(a, b, min(ka & kb)) for (a, sa), ka in keys.items() for (b, sb), kb in keys.items() if a < b and sa != sb and ka & kb}
+    pairs = lambda df: sorted((r["from_id"], r["to_id"], r["metadata"]["key"]) for r in df.collect())
+    none = spark.createDataFrame([], EDGE_SCHEMA)
+    made = C.correlate(n, none, block=5)
+    assert pairs(made) == sorted(wanted) and len(wanted) > 200
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
+    some = made.where("crc32(id) % 3 = 0").collect()
+    stored = spark.createDataFrame(some, EDGE_SCHEMA)
+    left = C.correlate(n, stored, block=5)
+    assert pairs(left) == sorted(wanted - {(r["from_id"], r["to_id"], r["metadata"]["key"]) for r in some})
+    for edges in (none, stored):
+        new = C.correlate(n, edges)
+        counts = C.link_counts(n, edges, block=2)
+        by_key = {r["key"]: r["n"] for r in new.selectExpr("metadata['key'] as key").groupBy("key").agg(F.count("*").alias("n")).collect()}
+        assert {r["key"]: r["links"] for r in counts.collect()} == by_key
+        slow, fast = C.correlated_groups(n, edges.unionByName(new)), C.correlated_groups(n, edges, counts)
+        assert [tuple(r) for r in fast.collect()] == [tuple(r) for r in slow.collect()]
+        assert C.correlation_summary(counts, fast).collect() == C.correlation_summary(new, slow).collect()
+
+
 def test_drift_and_upsert(spark):
     old = spark.createDataFrame([node("1", meta={"instance_type": "a", "region": "r"}), node("2"), node("9", source="other")], NODE_SCHEMA)
     new = spark.createDataFrame([node("1", meta={"instance_type": "b", "region": "r"}, name="one"), node("3")], NODE_SCHEMA)
