@@ -385,14 +385,13 @@ def c2_correlate(nodes, edges):
 SELECT key, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, string_agg(node_id, ',' ORDER BY node_id) AS node_ids, count(*) AS n FROM m GROUP BY 1""")
 def c3_correlated_groups(nodes, edges):
     """On these tables every group has one key."""
-    made = C.correlate(nodes, edges)
-    return C.correlated_groups(nodes, edges.unionByName(made)).select("key", joined("sources").alias("sources"), joined("node_ids").alias("node_ids"), "n")
+    return C.correlated_groups(nodes, edges, C.link_counts(nodes, edges)).select("key", joined("sources").alias("sources"), joined("node_ids").alias("node_ids"), "n")
 
 
 @case(PAIRS + " SELECT (SELECT count(DISTINCT key) FROM pr) AS groups, (SELECT count(*) FROM pr) AS edges_added")
 def c4_correlation_summary(nodes, edges):
-    made = C.correlate(nodes, edges)
-    return C.correlation_summary(made, C.correlated_groups(nodes, edges.unionByName(made)))
+    made = C.link_counts(nodes, edges)
+    return C.correlation_summary(made, C.correlated_groups(nodes, edges, made))
 
 
 # ---- audit, certificates, report
