@@ -12,12 +12,12 @@ from infragraph.operators.relational import audit_summary, edge_counts, latest_s
 from infragraph.operators.state import report_diff
 
 
-def report(nodes: DataFrame, edges: DataFrame, scans: DataFrame, sample: int = 20) -> dict[str, DataFrame]:
-    """B1: the report's tables by name."""
+def report(nodes: DataFrame, edges: DataFrame, scans: DataFrame, sample: int = 20, made: DataFrame | None = None) -> dict[str, DataFrame]:
+    """B1: the report's tables by name; ``made`` are counts of links that the groups hold besides ``edges``."""
     findings = audit(nodes, edges)
     return {
         "nodes_by_type": node_counts(nodes), "nodes_by_source": node_counts(nodes, "source"), "edges_by_type": edge_counts(edges),
-        "scans": latest_scans(scans, 10), "findings": findings, "summary": audit_summary(findings), "groups": correlated_groups(nodes, edges),
+        "scans": latest_scans(scans, 10), "findings": findings, "summary": audit_summary(findings), "groups": correlated_groups(nodes, edges, made),
         "nodes": nodes.orderBy("id"), "edges": edges.orderBy("id"), "sample": sample_nodes(nodes, sample),
     }
 
