@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 from collections import deque
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,32 @@ def test_searches_over_chains(spark):
         assert {(r["root_id"], r["node_id"]): r["depth"] for r in plain.collect()} == {k: v[0] for k, v in want.items() if v[0] <= 14}
 
 
+@pytest.mark.parametrize("after", [0, 3])
+def test_chains_found_on_the_way(spark, monkeypatch, after):
+    """Chains that a search looks for only after some levels, when it may stand in the middle of one."""
+    monkeypatch.setattr(T, "CHAINS_AFTER", after)
+    arcs, hubs = chained(random.Random(1))
+    nodes, edges = tables(spark, arcs)
+    roots = [h for h in hubs[:3] if any(h in e[:2] for e in arcs)]
+    found = T.blast_radius(nodes, edges, spark.createDataFrame([(r,) for r in roots], "id string"), paths=False, parents=True).collect()
+    want = {(r, k): v for r in roots for k, v in plain_search(arcs, r).items()}
+    assert {(r["root_id"], r["node_id"]): (r["depth"], r["parent_id"], r["edge_type"]) for r in found} == want and len(found) == len(want)
+
+
+def test_a_search_keeps_little_on_disk_and_ends_at_its_doors(spark):
+    """Levels and arcs lie compressed; a root whose entry is found goes no further."""
+    size = lambda: sum(f.stat().st_size for f in Path(spark.conf.get("spark.checkpoint.dir")[7:]).rglob("*") if f.is_file())
+    leaves = [(f"compose:container:order-{i:08}", "door") for i in range(20_000)]
+    nodes, edges = tables(spark, [("door", "root", "routes_to"), ("gate", "root", "routes_to"), *leaves])
+    nodes = nodes.withColumn("type", F.when(F.col("id").isin("door", "gate"), "ingress").otherwise("vm"))
+    ids = spark.createDataFrame([("root",)], "id string")
+    before = size()
+    rows = T.blast_radius(nodes, edges, ids, paths=False, parents=True)
+    assert size() - before < 1_000_000 and rows.count() == 20_002
+    assert T._search(T._arcs(edges, True), ids, until=nodes.where("type = 'ingress'").select("id")).count() == 1
+    assert [tuple(r) for r in T.external_exposure(nodes, edges, ids).collect()] == [("root", True, "door", ["root", "door"])]
+
+
 def test_reference_chains_in_time(spark):
     """A chain of 500 takes a few rounds, its counts too."""
     nodes, edges = tables(spark, [(f"n{i}", f"n{i - 1}") for i in range(1, 500)])
