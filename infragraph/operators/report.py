@@ -22,10 +22,15 @@ def report(nodes: DataFrame, edges: DataFrame, scans: DataFrame, sample: int = 2
     }
 
 
+def baseline_tables(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the report that B2 compares, without their order."""
+    return {"nodes": nodes, "edges": edges, "findings": audit(nodes, edges)}
+
+
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
-    """One folder of JSON lines for each table."""
+    """One folder of compressed JSON lines for each table."""
     for name, df in tables.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+        df.write.mode("overwrite").option("compression", "gzip").json(f"{path}/{name}")
 
 
 def report_with_baseline(tables: dict[str, DataFrame], spark: SparkSession, path: str) -> DataFrame:

@@ -110,9 +110,9 @@ def initial_sources(current: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
-    """All columns as one comparable text; maps as sorted entries."""
+    """128 bits of SHA-256 over all columns; maps as sorted entries."""
     parts = [F.array_sort(F.map_entries(f.name)).alias(f.name) if f.dataType.typeName() == "map" else F.col(f.name) for f in df.schema if f.name not in skip]
-    return F.sha2(F.to_json(F.struct(*parts)), 256)
+    return F.substring(F.unhex(F.sha2(F.to_json(F.struct(*parts)), 256)), 1, 16)
 
 
 def _changes(cur: DataFrame, base: DataFrame, kind: str) -> DataFrame:

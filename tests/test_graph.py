@@ -200,6 +200,29 @@ def test_correlation(spark):
     assert [(r["key"], r["sources"], r["node_ids"]) for r in groups] == [("ledger-store", ["ansible", "compose", "terraform"], ["a", "b", "c"]), ("quote-desk", ["compose", "kubernetes"], ["d", "e"])]
 
 
+def test_edges_are_marked_in_one_pass(spark):
+    """Ids of any kind come back, and there are two joins for both answers."""
+    n = spark.createDataFrame([node("a"), node("b"), node("a")], NODE_SCHEMA)
+    rows = [("a->t->b", "a", "b", "t"), ("own", "a", "x", "t"), (None, "b", "a", "t"), ("", "x", "b", "t"), ("q", None, "b", "t")]
+    e = spark.createDataFrame([(*r, {"k": "v"}) for r in rows], EDGE_SCHEMA)
+    marked = R.marked_edges(n, e)
+    assert sorted(((r["id"], r["from_id"], r["to_id"], r["type"], r["valid"]) for r in marked.collect()), key=str) == sorted(((*r, r[1] in ("a", "b") and r[2] in ("a", "b")) for r in rows), key=str)
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    good, bad = R.dangling_edges(n, e)
+    assert good.count() == 2 and bad.count() == 3 and good.columns == e.columns
+
+
+def test_a_baseline_is_small_on_disk(spark, tmp_path):
+    from infragraph.operators.report import baseline_tables, report_with_baseline, write_report
+
+    n = spark.createDataFrame([node(f"asset-{i:05}") for i in range(3000)], NODE_SCHEMA)
+    e = spark.createDataFrame([], EDGE_SCHEMA)
+    write_report(baseline_tables(n, e), str(tmp_path / "r"))
+    assert sum(f.stat().st_size for f in tmp_path.rglob("part-*")) < 150_000
+    assert report_with_baseline(baseline_tables(n, e), spark, str(tmp_path / "r")).count() == 0
+    assert report_with_baseline(baseline_tables(n.where("id <> 'asset-00007'"), e), spark, str(tmp_path / "r")).collect()[0][:3] == ("assets", "removed", "asset-00007")
+
+
 def test_links_are_made_once_and_counted_without_making_them(spark):
     """Nodes share up to three keys; pairs, counts and groups are those of brute force, also where some links are stored, and no pair is shuffled."""
     sources, rows = ("compose", "terraform", "ansible"), []
