@@ -95,6 +95,26 @@ def test_a_search_keeps_little_on_disk_and_ends_at_its_doors(spark):
     assert [tuple(r) for r in T.external_exposure(nodes, edges, ids).collect()] == [("root", True, "door", ["root", "door"])]
 
 
+def test_a_shared_end_is_searched_once(spark, monkeypatch):
+    """Pairs with the same ends share what is seen from them; a depth limit counts a pair's own steps."""
+    from infragraph.operators import paths as P
+
+    kept, real = [], P._meetings
+    monkeypatch.setattr(P, "_meetings", lambda *a: kept.append(real(*a)) or kept[-1])
+    arcs = [(f"n{i}", f"n{i + 1}") for i in range(6)] + [("n0", "m"), ("m", "n5")]
+    _, edges = tables(spark, arcs)
+    pairs = [("n0", f"n{i}") for i in range(1, 7)] + [("n2", "n6")]
+    want = {("n0", "n1"): 1, ("n0", "n2"): 2, ("n0", "n3"): 3, ("n0", "n4"): 3, ("n0", "n5"): 2, ("n0", "n6"): 3, ("n2", "n6"): 4}
+    for limit in (None, 3, 2):
+        rows = T.shortest_path(edges, spark.createDataFrame(pairs, "from_id string, to_id string"), limit).collect()
+        found = {}
+        for r in rows:
+            found[r["from_id"], r["to_id"]] = max(found.get((r["from_id"], r["to_id"]), 0), r["step"] or 0)
+        assert found == {k: v if limit is None or v <= limit else 0 for k, v in want.items()}
+    seen = kept[0][0]
+    assert seen.columns[:3] == ["side", "root", "node_id"] and seen.groupBy("side", "root", "node_id").count().where("count > 1").isEmpty()
+
+
 def test_reference_chains_in_time(spark):
     """A chain of 500 takes a few rounds, its counts too."""
     nodes, edges = tables(spark, [(f"n{i}", f"n{i - 1}") for i in range(1, 500)])
