@@ -115,6 +115,26 @@ def test_a_shared_end_is_searched_once(spark, monkeypatch):
     assert seen.columns[:3] == ["side", "root", "node_id"] and seen.groupBy("side", "root", "node_id").count().where("count > 1").isEmpty()
 
 
+@pytest.mark.parametrize("levels", [16, 2])
+def test_reachable_from_many_roots(spark, monkeypatch, levels):
+    """Roots of one component and of others, by a search; components are cut only where the search is too short."""
+    whole, real = [], T.connected_components
+    monkeypatch.setattr(T, "connected_components", lambda e, a, b: whole.append(a == "from_id") or real(e, a, b))
+    arcs = [("a", "b"), ("c", "b"), ("c", "d"), ("e", "d"), ("e", "f"), ("x", "y"), ("z", "z"), ("p", "q"), ("q", "r"), ("r", "p")]
+    _, edges = tables(spark, arcs)
+    near = {x: {x} for a in arcs for x in a}
+    for _ in arcs:
+        for a, b in arcs:
+            near[a] |= near[b]
+            near[b] |= near[a]
+    roots = ["a", "d", "f", "x", "z", "nowhere", "q"]
+    found = [tuple(r) for r in T.reachable_undirected(edges, spark.createDataFrame([(r,) for r in roots], "id string"), levels).collect()]
+    assert sorted(found) == sorted((r, n) for r in roots for n in near.get(r, {r}) if n != r)
+    assert levels == 2 or not any(whole)
+    alone = [tuple(r) for r in T.reachable_undirected(edges, spark.createDataFrame([("a",)], "id string"), levels).collect()]
+    assert sorted(alone) == [("a", n) for n in "bcdef"] and any(whole) == (levels == 2)
+
+
 def test_reference_chains_in_time(spark):
     """A chain of 500 takes a few rounds, its counts too."""
     nodes, edges = tables(spark, [(f"n{i}", f"n{i - 1}") for i in range(1, 500)])
