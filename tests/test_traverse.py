@@ -135,6 +135,16 @@ def test_reachable_from_many_roots(spark, monkeypatch, levels):
     assert sorted(alone) == [("a", n) for n in "bcdef"] and any(whole) == (levels == 2)
 
 
+def test_a_closure_keeps_little_on_disk(spark):
+    """Pairs lie as compressed columns, and what was written together again is gone."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir")[7:])
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    edges = spark.range(1, 300).selectExpr("id as from_id", "id - 1 as to_id")
+    before = size()
+    assert T.closure(edges).count() == 299 * 300 // 2
+    assert size() - before < 1_000_000
+
+
 def test_reference_chains_in_time(spark):
     """A chain of 500 takes a few rounds, its counts too."""
     nodes, edges = tables(spark, [(f"n{i}", f"n{i - 1}") for i in range(1, 500)])
